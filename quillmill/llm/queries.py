@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, splitting
+from quillmill.llm import mixing, residue, splitting
 from quillmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,15 @@ def _p2_report(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in ("share", "wanted_tokens", "rate", "actual_share")})
 
 
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_found(load(spark, d, "sft_examples"))
+
+
+def _p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = residue.residue(load(spark, d, "sft_examples"))
+    return rows.groupBy(F.coalesce("residue", F.lit("none")).alias("residue")).agg(F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
@@ -45,6 +54,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": _p2_found,
     "p2_sample": _p2_sample,
     "p2_report": _p2_report,
+    "p5_found": _p5_found,
+    "p5_coverage": _p5_coverage,
 }
 
 _TOKENS = "(13 * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+'))) // 10"
