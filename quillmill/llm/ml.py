@@ -99,7 +99,7 @@ class GradientBoosting:
         return out
 
 
-TABLE_BITS = 20
+TABLE_BITS = 19
 #: Orders of the n-gram models whose scores are kept; a longer one wins where it was seen.
 KEPT = (3, 5, 7)
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
@@ -130,25 +130,28 @@ def ratio_tables(classes: list[list[str]], prose: list[str], trust: float = 0.5)
     """Character n-gram models of each class and of prose, interpolated from order 1 to 7.
 
     Returns, for each kept order, a table [hash, class] of log P(byte | context, class) - log P(byte |
-    context, prose); nan where the n-gram was seen on neither side.
+    context, prose); nan where the n-gram was seen on neither side. Hashes are made anew where they
+    are needed, so that the memory stays near the size of the texts.
     """
     size = 1 << TABLE_BITS
     buffers = [fold("\n".join(t) + "\n") for t in (*classes, prose)]
-    hashes = [[_finish(h) for h in _raw_hashes(b)] for b in buffers]
-    counts = [[np.bincount(x, minlength=size).astype(np.float32) for x in h] for h in hashes]
+    counts = [[np.bincount(_finish(h), minlength=size).astype(np.float32) for h in _raw_hashes(b)] for b in buffers]
     tables = [np.full((size, len(classes)), np.nan, dtype=np.float32) for _ in KEPT]
-    for h in hashes:
-        _, at = np.unique(h[-1], return_index=True)  # one position of each distinct n-gram
-        logs = {k: [] for k in KEPT}
-        for c, b in zip(counts, buffers):
-            p = np.full(len(at), 1 / 96, dtype=np.float32)
-            for k in range(1, KEPT[-1] + 1):
-                seen = c[k - 2][h[k - 2][at - 1]] if k > 1 else np.float32(len(b))
-                p = (c[k - 1][h[k - 1][at]] + trust * p) / (seen + trust)
-                if k in logs:
-                    logs[k].append(np.log(p))
-        for k, table in zip(KEPT, tables):
-            table[h[k - 1][at]] = np.stack([x - logs[k][-1] for x in logs[k][:-1]], axis=1)
+    for b in buffers:
+        for h in _raw_hashes(b):
+            pass
+        _, at = np.unique(h, return_index=True)  # one position of each distinct n-gram of the highest order
+        p = np.full((len(buffers), len(at)), 1 / 96, dtype=np.float32)
+        before = None
+        for k, h in enumerate(_raw_hashes(b), 1):
+            here, last = _finish(h[at]), before
+            before = _finish(h[at - 1])
+            for i, c in enumerate(counts):
+                seen = c[k - 2][last] if k > 1 else np.float32(len(buffers[i]))
+                p[i] = (c[k - 1][here] + trust * p[i]) / (seen + trust)
+            if k in KEPT:
+                logs = np.log(p)
+                tables[KEPT.index(k)][here] = (logs[:-1] - logs[-1]).T
     return tables
 
 

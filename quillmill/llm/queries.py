@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, residue, splitting
+from quillmill.llm import mixing, pairs, residue, splitting
 from quillmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,17 @@ def _p2_report(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in ("share", "wanted_tokens", "rate", "actual_share")})
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects_found(load(spark, d, "sft_examples"))
+
+
+def _p3_by_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "sft_examples")
+    found = pairs.defects_found(rows)
+    status = F.lower(F.trim("review_status")).alias("review_status")
+    return found.join(rows.select("row_id", status), "row_id").groupBy("defect", "review_status").agg(F.countDistinct("row_id").alias("n_rows"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_found(load(spark, d, "sft_examples"))
 
@@ -54,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": _p2_found,
     "p2_sample": _p2_sample,
     "p2_report": _p2_report,
+    "p3_found": _p3_found,
+    "p3_by_status": _p3_by_status,
     "p5_found": _p5_found,
     "p5_coverage": _p5_coverage,
 }
