@@ -79,6 +79,8 @@ def copies_prompt(prompt: str, response: str) -> bool:
     The longest common subsequence must take up five sixths of the response's words and half of the
     prompt's, or nine tenths of the response's if the prompt was cut.
     """
+    if len(response) > 1.6 * len(prompt) + 60:
+        return False
     r = _WORD.findall(response.lower())
     p = _WORD.findall(prompt.lower())
     if not p or len(r) < 4 or len(r) > 1.35 * len(p) + 6:
@@ -108,7 +110,6 @@ FUNCTION_WORDS = {
 _ALL = Counter(w for words in FUNCTION_WORDS.values() for w in set(words.split()))
 #: Words of one language only.
 _OWN = {c: frozenset(w for w in words.split() if _ALL[w] == 1) for c, words in FUNCTION_WORDS.items()}
-_LETTERS = re.compile(r"[^\W\d_]+")
 #: Requests for a language; the names are fixed values.
 _REQUEST = re.compile(r"\b(?:(?:in|into|auf|en|in het)\s+(english|german|french|spanish|latin|deutsch|englisch|französisch|spanisch|latein(?:isch)?|anglais|allemand|français|espagnol|latin|inglés|alemán|francés|español|latín)|translate)\b", re.IGNORECASE)
 _CODES = {"english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "german": "de", "deutsch": "de", "allemand": "de", "alemán": "de", "french": "fr", "französisch": "fr", "français": "fr", "francés": "fr", "spanish": "es", "spanisch": "es", "espagnol": "es", "español": "es", "latin": "la", "latein": "la", "lateinisch": "la", "latín": "la"}
@@ -116,7 +117,7 @@ _CODES = {"english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "
 
 def language(text: str) -> tuple[str | None, float]:
     """(code, margin) by function words; None if there are too few of them."""
-    words = _LETTERS.findall(text.lower())
+    words = text.lower().replace("'", " ").replace("’", " ").split()
     score = {c: sum(map(own.__contains__, words)) for c, own in _OWN.items()}
     (second, _), (top, best) = sorted((n, c) for c, n in score.items())[-2:]
     return (best, (top - second) / sum(score.values())) if top >= 2 else (None, 0.0)
@@ -154,11 +155,15 @@ REFUSAL = re.compile(
 )
 #: The same words in an argument: the sentence rejects a claim and goes on to say why.
 _ARGUES = re.compile(r"\b(?:accept|grant|concede|agree|see|find|deny|believe|follow|allow) (?:that|the premise|a gap|any|it|how|why)\b|\bunable to find\b|\bargument fails\b|\bthe author (?:refuses|declines)\b", re.IGNORECASE)
+#: A refusal holds one of these words; looking them up is cheaper than the pattern.
+_TRIGGERS = frozenset("i i'm i’m i'd i’d my assistant request topic declined declined. refused refused. us je j' ich puedo posible debo estoy m'est appropriate unanswered prompt given bounds abilities abilities, please".split())
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def refuses(text: str) -> bool:
     """The response opens by declining (within its first three sentences) and is no longer than a refusal needs."""
+    if _TRIGGERS.isdisjoint(text.lower().split()):
+        return False
     sentences = [s for s in _SENTENCES.split(text.strip()) if s]
     for i, s in enumerate(sentences[:3]):
         if REFUSAL.search(s) and not _ARGUES.search(s):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, pairs, residue, splitting
+from quillmill.llm import mixing, pairs, residue, scans, splitting
 from quillmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,14 @@ def _p3_by_status(spark: SparkSession, d: str) -> DataFrame:
     return found.join(rows.select("row_id", status), "row_id").groupBy("defect", "review_status").agg(F.countDistinct("row_id").alias("n_rows"))
 
 
+def _p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise_found(load(spark, d, "sft_examples"))
+
+
+def _p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_passages(load(spark, d, "sft_examples"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue_found(load(spark, d, "sft_examples"))
 
@@ -67,6 +75,8 @@ QUERIES: dict[str, Query] = {
     "p2_report": _p2_report,
     "p3_found": _p3_found,
     "p3_by_status": _p3_by_status,
+    "p4_found": _p4_found,
+    "p4_repaired": _p4_repaired,
     "p5_found": _p5_found,
     "p5_coverage": _p5_coverage,
 }
