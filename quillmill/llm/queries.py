@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import mixing, pairs, residue, scans, splitting
+from quillmill.llm import leakage, mixing, packing, pairs, residue, scans, splitting
 from quillmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,22 @@ def _p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.coalesce("residue", F.lit("none")).alias("residue")).agg(F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
 
 
+def _p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(load(spark, d, "documents"), load(spark, d, "dataset_card"))
+
+
+def _p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(load(spark, d, "documents"), load(spark, d, "dataset_card"))
+
+
+def _p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks_found(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
+def _p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
@@ -79,6 +95,10 @@ QUERIES: dict[str, Query] = {
     "p4_repaired": _p4_repaired,
     "p5_found": _p5_found,
     "p5_coverage": _p5_coverage,
+    "p6_pack": _p6_pack,
+    "p6_report": _p6_report,
+    "p7_found": _p7_found,
+    "p7_report": _p7_report,
 }
 
 _TOKENS = "(13 * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+'))) // 10"
