@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import leakage, mixing, packing, pairs, residue, scans, splitting
+from quillmill.llm import leakage, mixing, packing, pairs, reading, residue, scans, splitting
 from quillmill.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,14 @@ def _p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def _p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels_found(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
+def _p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
@@ -99,6 +107,8 @@ QUERIES: dict[str, Query] = {
     "p6_report": _p6_report,
     "p7_found": _p7_found,
     "p7_report": _p7_report,
+    "p8_found": _p8_found,
+    "p8_profile": _p8_profile,
 }
 
 _TOKENS = "(13 * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+'))) // 10"
