@@ -149,13 +149,13 @@ def signal_sentences(text: Column) -> Column:
 
 def keyword_tokens(text: Column, stop: list[str]) -> Column:
     """Lower-case a-z words (inner ' and - allowed) of more than two characters that are no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z'\-]*[a-z]|[a-z])\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-z][a-z'\-]*[a-z]|[a-z])\b"), F.lit(1))
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(stop))
 
 
 def query_tokens(text: Column, stop: list[str]) -> Column:
     """Distinct a-z words that are no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]+)\b"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-z]+)\b"), F.lit(1))
     return F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)))
 
 

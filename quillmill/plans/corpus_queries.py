@@ -207,7 +207,7 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELEC
 _SIGS = f"""{_SHINGLED},
 hashed AS (SELECT doc_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM sh),
 sig AS (SELECT doc_id, i, min((a * h + b) % {D.PRIME}) AS m FROM hashed, {_PERM} GROUP BY doc_id, i)"""
-_TOKENS14 = "list_filter(regexp_extract_all(lower(text), '\\b([a-z][a-z''\\-]*[a-z]|[a-z])\\b', 1), lambda x: length(x) > 2 AND NOT list_contains(" + sql_list(L.STOPWORDS) + ", x))"
+_TOKENS14 = "list_filter(regexp_extract_all(regexp_replace(lower(text), '[\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]', '_', 'g'), '\\b([a-z][a-z''\\-]*[a-z]|[a-z])\\b', 1), lambda x: length(x) > 2 AND NOT list_contains(" + sql_list(L.STOPWORDS) + ", x))"
 _KEYWORDS = f"""kw AS (SELECT doc_id, unnest(t) AS keyword, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {_TOKENS14} AS t FROM documents)),
 scored AS (SELECT doc_id, keyword, count(*) * CASE WHEN list_contains({sql_list(L.DOMAIN_TERMS)}, keyword) THEN 3 ELSE 1 END AS score, min(pos) AS first FROM kw GROUP BY doc_id, keyword),
 ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) AS rank, keyword, score FROM scored QUALIFY rank <= 30)"""
