@@ -30,13 +30,13 @@ def run_available(stream: DataFrame, mode: str, name: str = "stream") -> DataFra
         batch.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={n}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(*stream.columns)
 
 
 def windowed(events: DataFrame, size: str, slide: str | None = None) -> DataFrame:
     """(start, event_type, n, total) per tumbling or sliding window."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") * 100).cast("bigint")).alias("total_cents")).select(F.col("w.start").alias("start"), "event_type", "n", "total_cents")
+    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("total_cents")).select(F.col("w.start").alias("start"), "event_type", "n", "total_cents")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
