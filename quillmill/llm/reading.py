@@ -181,6 +181,8 @@ class LevelModel:
         self.cuts = calibrate(out, level) if n else np.arange(1.5, LEVELS)
         self.held_out = out
         self.trees = GradientBoosting(trees=120, depth=3, rate=0.08).fit(x, level)
+        if not n:
+            self.trees.base = 3.0
         self.difficulty = word_levels(whole, level)
         rounded = np.rint(level)
         got = 1 + np.searchsorted(self.cuts, out)
