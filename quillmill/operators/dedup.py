@@ -135,7 +135,7 @@ def components(links: DataFrame) -> DataFrame:
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
             break
         edges = new
-    return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("class_id"))
+    return edges.select(F.explode(F.array("a", "b")).alias("id"), F.col("a").alias("m")).groupBy("id").agg(F.min("m").alias("class_id"))
 
 
 def near_duplicates(documents: DataFrame, kind: str = "xxhash", threshold: float = THRESHOLD) -> DataFrame:

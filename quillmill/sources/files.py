@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from html.parser import HTMLParser
 
@@ -20,8 +21,8 @@ MANIFEST = T.StructType([T.StructField(n, T.LongType() if n == "file_size" else
 def raw_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".pdf", ".html", ".htm", ".txt", ".epub", ".md", ".text")) -> DataFrame:
     """(path, rel, category, suffix, length, content, readable): all files below a root; others than `suffixes` are marked."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/") + "/"
-    rel = F.substring_index("path", base, -1)
+    base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
+    rel = F.substring_index(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), base, -1)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return files.select("path", rel.alias("rel"), S.path_category(rel).alias("category"), suffix.alias("suffix"), "length", "content", suffix.isin(*suffixes).alias("readable"))
 
