@@ -104,10 +104,10 @@ def test_edits():
 
 
 def test_repair_parts(spark):
-    clean = [r[0] for r in load(spark, SF, "sft_examples").filter("length(source_passage) > 300 and source_passage not like '%\n%'").select("source_passage").limit(80).collect()]
+    clean = [r[0] for r in load(spark, "/root/testdata/sf0.01", "sft_examples").filter("length(source_passage) > 300 and source_passage not like '%\n%'").select("source_passage").limit(400).collect()]
     texts = [t.split(" In 1")[0] for t in clean]
     known = frozenset(scans.bare(w) for t in texts for w in t.split())
-    model = scans.train_lines(texts[:40])
+    model = scans.train_lines(texts[::2])
     worker = scans.Repairer(known, model)
     page = "The argument depends on the con-\nscious habit of every mind and\n\n212 ON THE QUIET MEMORY\n\nit shows that the proof is cvery\nbit as | strong as the reply. It\nis p r o p e r l y so."
     text, kinds = worker.repair([page], {"cvery": "every"})[0]
@@ -116,7 +116,7 @@ def test_repair_parts(spark):
     assert worker.repair([None, "", "Plain text, in 1688."], {}) == [(None, []), ("", []), ("Plain text, in 1688.", [])]
     heading = "OF DOUBT AND CAUSE\n\nThe mind is one. In 1704 the point was made in 3 places."
     assert worker.repair([heading], {})[0][1] == []
-    x, y = scans.synthetic_lines(texts[40:], seed=9)
+    x, y = scans.synthetic_lines(texts[1::2], seed=9)
     assert ((model.predict(x) > 0) == (y > 0)).mean() > 0.95  # held out
 
 
