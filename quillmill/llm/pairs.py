@@ -77,13 +77,19 @@ def copies_prompt(prompt: str, response: str) -> bool:
     """The response's words are, in order, (nearly) the prompt's and hardly any others.
 
     The longest common subsequence must take up five sixths of the response's words and half of the
-    prompt's, or nine tenths of the response's if the prompt was cut.
+    prompt's, or nine tenths of the response's if the prompt was cut. A prompt repeated several times is a copy too.
     """
-    if len(response) > 1.6 * len(prompt) + 60:
+    if len(response) > 4.5 * len(prompt) + 60:
+        return False
+    own = set(response.lower().split())
+    if len(own - set(prompt.lower().split())) > 0.5 * len(own) + 2:
         return False
     r = _WORD.findall(response.lower())
     p = _WORD.findall(prompt.lower())
-    if not p or len(r) < 4 or len(r) > 1.35 * len(p) + 6:
+    if not p or len(r) < 4:
+        return False
+    p *= max(1, round(len(r) / len(p)))
+    if len(r) > 1.35 * len(p) + 6:
         return False
     common = sum((Counter(r) & Counter(p)).values())
     if common < 0.75 * len(r):

@@ -67,7 +67,7 @@ PROMPT = "Which premise would a critic of Ada Bell attack first, given that the
 
 @pytest.mark.parametrize("prompt,response,want", [
     (PROMPT, None, "empty"), (PROMPT, "", "empty"), (PROMPT, " ​\n", "empty"), (PROMPT, "N/A", "empty"), (PROMPT, "Answer:", "empty"), (PROMPT, "[no response]", "empty"), (PROMPT, "—", "empty"),
-    (PROMPT, PROMPT.upper(), "copied"), (PROMPT, "Q: " + PROMPT, "copied"), (PROMPT, PROMPT[:-30], "copied"),
+    (PROMPT, PROMPT.upper(), "copied"), (PROMPT, "Q: " + PROMPT, "copied"), (PROMPT, PROMPT[:-30], "copied"), (PROMPT, PROMPT + "\n" + PROMPT, "copied"), (PROMPT, PROMPT + "\n\nThe step from doubt to mind is the weak one, since nothing in it is shown; a rival can grant it all and still hold that it fails.", None),
     (PROMPT, "I'm sorry, but I can't help with that. Is there anything else?", "refusal"), (PROMPT, "Declined.", "refusal"), ("Warum gilt das, und was folgt nicht daraus?", "Dabei kann ich leider nicht helfen.", "refusal"),
     (PROMPT, "La mémoire du corps ne détruit pas une distinction réelle, et il faut donc admettre que le doute est une cause.", "language"),
     (PROMPT + " Please answer in French.", "La mémoire du corps ne détruit pas une distinction réelle, et il faut donc admettre que le doute est une cause.", None),
