@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,19 @@ def predict(features: Column, params: dict[str, np.ndarray]) -> Column:
     return run(features)
 
 
+def score(rows: DataFrame, key: str, features: str, params: dict[str, np.ndarray]) -> DataFrame:
+    """(key, confidence, routing, error) of rows with a feature array; rows with a null array are left out."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                _, c, r, e = forward(params, np.array(b[features].tolist(), dtype=float))
+                yield pd.DataFrame({key: b[key], "confidence": c, "routing": [ROUTES[i] for i in r.argmax(1)], "error": e.argmax(1)})
+
+    schema = T.StructType([rows.schema[key], *OUT.fields])
+    return rows.select(key, features).filter(F.col(features).isNotNull()).mapInPandas(run, schema)
+
+
 def train_step(p: dict[str, np.ndarray], x: np.ndarray, confidence: np.ndarray, routing: np.ndarray, error: np.ndarray, rate: float = 1e-2, clip: float = 1.0) -> float:
     """One step on 2 x squared error + 1.5 x routing + 1 x error cross-entropy, gradient norm clipped. Returns the loss before it."""
     n = len(x)
