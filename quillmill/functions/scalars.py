@@ -195,9 +195,9 @@ def repetition(w: Column) -> Column:
     return let(w, share)
 
 
-def lite_signals(text: Column) -> dict[str, Column]:
-    """The eleven text signals."""
-    w, low = lower_words(text), F.lower(text)
+def lite_signals(text: Column, w: Column | None = None) -> dict[str, Column]:
+    """The eleven text signals. `w`: a column that holds the lower-case words already, so that they are split once."""
+    w, low = lower_words(text) if w is None else w, F.lower(text)
     n = F.greatest(F.size(w), F.lit(1))
     s = F.size(signal_sentences(text))
     hedges = present(low, L.HEDGES)
@@ -216,9 +216,9 @@ def signal_vector(signals: dict[str, Column]) -> Column:
     return F.array(*[c / s for c, s in zip(signals.values(), SIGNAL_SCALES)])
 
 
-def full_signals(text: Column, query: Column, mean: Column | None = None, std: Column | None = None, token: Column | None = None, attention: Column | None = None) -> dict[str, Column]:
+def full_signals(text: Column, query: Column, w: Column | None = None, mean: Column | None = None, std: Column | None = None, token: Column | None = None, attention: Column | None = None) -> dict[str, Column]:
     """Text part of the full signals, model part from columns where given (default 0.5; token entropy from hedges)."""
-    w = lower_words(text)
+    w = lower_words(text) if w is None else w
     n = F.greatest(F.size(w), F.lit(1))
     hedges = present(F.lower(text), L.HEDGES) / n
     s = signal_sentences(text)

@@ -103,14 +103,14 @@ def subclaims(s, d):
 
 
 def lite_signals(s, d):
-    cols = S.lite_signals(F.col("assistant_response"))
-    rows = _responses(s, d).filter("assistant_response is not null").select("row_id", *[c.alias(n) for n, c in cols.items()])
+    cols = S.lite_signals(F.col("assistant_response"), F.col("w"))
+    rows = _responses(s, d).filter("assistant_response is not null").withColumn("w", X.lower_words(F.col("assistant_response"))).select("row_id", *[c.alias(n) for n, c in cols.items()])
     return rows.select("row_id", *[F.round(F.col(n).cast("double"), 6).alias(n) for n in cols])
 
 
 def full_signals(s, d):
-    cols = S.full_signals(F.col("assistant_response"), F.col("user_prompt"))
-    return sft(s, d).filter("assistant_response is not null").select("row_id", *[F.round(c.cast("double"), 6).alias(n) for n, c in cols.items() if n in ("hedge_ratio", "ood_score", "question_complexity", "formal_ratio", "factual_ratio", "token_entropy")])
+    cols = S.full_signals(F.col("assistant_response"), F.col("user_prompt"), F.col("w"))
+    return sft(s, d).filter("assistant_response is not null").withColumn("w", X.lower_words(F.col("assistant_response"))).select("row_id", *[F.round(c.cast("double"), 6).alias(n) for n, c in cols.items() if n in ("hedge_ratio", "ood_score", "question_complexity", "formal_ratio", "factual_ratio", "token_entropy")])
 
 
 def agreement(s, d):

@@ -122,8 +122,8 @@ def verified_answers(s, d):
 
 
 def learner_predictions(s, d):
-    cols = S.lite_signals(F.col("assistant_response"))
-    rows = load(s, d, "sft_examples").filter("assistant_response is not null").select("row_id", S.signal_vector(cols).alias("v"))
+    cols = S.lite_signals(F.col("assistant_response"), F.col("w"))
+    rows = load(s, d, "sft_examples").filter("assistant_response is not null").withColumn("w", X.lower_words(F.col("assistant_response"))).select("row_id", S.signal_vector(cols).alias("v"))
     return N.score(rows.withColumn("v", F.transform("v", lambda x: x.cast("double"))), "row_id", "v", N.init()).withColumn("confidence", F.round("confidence", 6))
 
 
