@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,10 +227,10 @@ def shortened(responses: DataFrame) -> DataFrame:
 
     marks = materialize(ordered.mapInPandas(run, _PREFIX), "neighbours")
     inner = marks.filter("at = 'inner'").select("response")
-    first = marks.filter("at = 'first'").select(F.col("partition").alias("_p"), F.col("response").alias("_first"))
-    last = marks.filter("at = 'last'").select("partition", "response")
-    nearest = last.join(broadcast_if_small(first), F.col("_p") > F.col("partition")).groupBy("partition", "response").agg(F.min_by("_first", "_p").alias("_first"))
-    return inner.union(nearest.filter(F.col("_first").startswith(F.col("response"))).select("response"))
+    ends = marks.filter("at <> 'inner'").groupBy("partition").agg(F.max(F.when(F.col("at") == "first", F.col("response"))).alias("first"), F.max(F.when(F.col("at") == "last", F.col("response"))).alias("last"))
+    following = F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("partition"))  # one row per partition
+    crossing = ends.select("last", following.alias("next")).filter(F.col("next").startswith(F.col("last")))
+    return inner.union(crossing.select(F.col("last").alias("response")))
 
 
 #: A length is a spike if this many times as many unfinished responses have it as the median of its neighbours.
