@@ -157,11 +157,12 @@ def keyword_search(postings: DataFrame, keys: list[str], queries: DataFrame, top
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", *keys, "score")
 
 
-def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFrame, least: int = 2) -> DataFrame:
+def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFrame, least: int = 2, best: bool = False) -> DataFrame:
     """(claim_id, keys, score): texts in which at least `least` keywords of a claim occur as substrings.
 
     `claims` is a stated query set (claim_id, claim): its keywords go to all executors in one automaton,
-    and each text is read once.
+    and each text is read once. With `best`, each task gives only its best match per claim (highest
+    score, lowest keys, which are numbers), so that `best_match` shuffles one row per claim and task.
     """
     stop = set(L.VERIFIER_STOP)
     claims_rows = [(r.claim_id, [w for w in r.claim.lower().split() if w not in stop and len(w) > 2]) for r in claims.select("claim_id", "claim").filter("claim is not null").collect()]
@@ -180,6 +181,7 @@ def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFram
             automaton.add_word(w, w)
         if sent.value:
             automaton.make_automaton()
+        top: dict[int, tuple] = {}
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
@@ -190,8 +192,17 @@ def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFram
                 for w in {w for _, w in automaton.iter(t.lower())}:
                     for cid, n in sent.value[w]:
                         score[cid] = score.get(cid, 0) + n
-                out += [(cid, *[getattr(row, k) for k in keys], n) for cid, n in score.items() if n >= least]
-            yield pd.DataFrame(out, columns=schema.names)
+                at = tuple(getattr(row, k) for k in keys)
+                if best:
+                    for cid, n in score.items():
+                        if n >= least and (cid not in top or (-n, at) < top[cid]):
+                            top[cid] = (-n, at)
+                else:
+                    out += [(cid, *at, n) for cid, n in score.items() if n >= least]
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
+        if top:
+            yield pd.DataFrame([(cid, *at, -n) for cid, (n, at) in top.items()], columns=schema.names)
 
     return rows.select(*keys, text).mapInPandas(run, schema)
 

@@ -173,7 +173,7 @@ def keyword_search(s, d):
 
 def _matches(s, d):
     claims = load(s, d, "eval_items").select(F.col("item_id").alias("claim_id"), F.col("q").alias("claim"))
-    return C.corpus_matches(docs(s, d), ["doc_id"], "text", claims, 16)
+    return C.corpus_matches(docs(s, d), ["doc_id"], "text", claims, best=True)
 
 
 def corpus_verify(s, d):

@@ -174,6 +174,17 @@ def test_learner(spark):
     assert rows[0].o.routing in learner.ROUTES and (rows[1].o is None or rows[1].o.routing is None)
 
 
+def test_corpus_verify_two_keywords(spark, tmp_path):
+    from quillmill.plans import catalog
+
+    texts = ["Doubt is a method.", "Doubt needs a thinker.", "A thinker with doubt and cause.", None]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts, 1)], "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    claims = [(1, "the thinker and doubt"), (2, "doubt alone"), (3, "cause of doubt thinker"), (4, None)]
+    spark.createDataFrame(claims, "item_id bigint, q string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = catalog.QUERIES["corpus_verify"](spark, str(tmp_path)).collect()
+    assert {r.claim_id: (r.doc_id, r.score) for r in got} == {1: (2, 2), 3: (3, 3)} and len(got) == 2
+
+
 def test_phases(spark):
     assert pipeline.parse_phases("1-4") == [1, 2, 3, 4] and pipeline.parse_phases("3") == [3] and pipeline.parse_phases("corpus") == [1, 2, 3, 4]
     raw = spark.createDataFrame([(i, f"cogito therefore mind{i} " * 60, "descartes_primary", "s") for i in range(5)], "doc_id bigint, text string, category string, source string")
