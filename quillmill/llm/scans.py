@@ -433,6 +433,17 @@ class Repairer:
         return text
 
 
+class _Asked(dict):
+    """Stands in for the corrections and keeps the words that are looked up."""
+
+    def __bool__(self) -> bool:
+        return True
+
+    def get(self, key, default=None):
+        self[key] = default
+        return default
+
+
 def _replace(token: str, good: str) -> str:
     core = token.strip(_EDGE)
     start = token.find(core)
@@ -470,8 +481,20 @@ def repair_passages(examples: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"row_id": b["row_id"], "clean_passage": [t for t, _ in got], "noise": [k for _, k in got]})
 
         return passages.mapInPandas(run, _REPAIRED)
-    words = passages.select("row_id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("source_passage", r"[-­¬–‐][ \t]*\r?\n[ \t]*", "")), r"[\s.,;:?()\[\]\"“”]+"))).alias("bad"))
-    own = words.join(fixes, "bad").groupBy("row_id").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("table"))
+    # the words a passage looks up are noted by a repair without corrections, so both ways find the same; a passage
+    # is known by its hash, and where two share one, each only gets corrections for words it does not hold
+    keyed = passages.withColumn("_k", F.xxhash64("source_passage"))
+
+    def run_words(batches):
+        worker = Repairer(*tools.value)
+        for b in batches:
+            asked = [_Asked() for _ in range(len(b))]
+            worker.repair(b["source_passage"].tolist(), {}, asked)
+            yield pd.DataFrame({"_k": b["_k"].repeat([len(a) for a in asked]), "bad": [w for a in asked for w in a]})
+
+    distinct = keyed.select("_k", "source_passage").dropDuplicates(["_k", "source_passage"])
+    words = distinct.mapInPandas(run_words, "_k bigint, bad string")
+    own = words.join(fixes, "bad").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("table"))
 
     def run_joined(batches):
         worker = Repairer(*tools.value)
@@ -479,7 +502,7 @@ def repair_passages(examples: DataFrame) -> DataFrame:
             got = worker.repair(b["source_passage"].tolist(), {}, [dict(t) if t is not None else None for t in b["table"]])
             yield pd.DataFrame({"row_id": b["row_id"], "clean_passage": [t for t, _ in got], "noise": [k for _, k in got]})
 
-    return passages.join(own, "row_id", "left").mapInPandas(run_joined, _REPAIRED)
+    return keyed.join(own, "_k", "left").select("row_id", "source_passage", "table").mapInPandas(run_joined, _REPAIRED)
 
 
 def noise_found(examples: DataFrame) -> DataFrame:

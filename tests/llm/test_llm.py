@@ -130,6 +130,18 @@ def test_repair_tables(spark, monkeypatch):
     assert scans.noise_found(rows.limit(0)).count() == 0
 
 
+def test_repair_joined_equal(spark, monkeypatch):
+    fixes = [("cvery", "every"), ("rnind", "mind"), ("ob.iect", "object"), ("fiuid", "fluid"), ("well-kn0wn", "well-known")]
+    monkeypatch.setattr(scans, "corrections", lambda counts: spark.createDataFrame(fixes, "bad string, good string"))
+    texts = ["the ‘cvery’ word", "*rnind* and —cvery—", "«rnind»", "so cvery!", "an ob.iect here", "the ﬁuid part", "a well-kn0wn man", "the cve-\nry end of it", "c v e r y", "cvery, rnind.", "CVERY", None, ""]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "row_id bigint, source_passage string")
+    rows = made.unionByName(load(spark, SF, "sft_examples").selectExpr("row_id + 1000 as row_id", "source_passage"))
+    whole = sorted((r.row_id, r.clean_passage or '', r.clean_passage is None, r.noise) for r in scans.repair_passages(rows).collect())
+    monkeypatch.setattr(scans, "BROADCAST_CORRECTIONS", -1)
+    joined = sorted((r.row_id, r.clean_passage or '', r.clean_passage is None, r.noise) for r in scans.repair_passages(rows).collect())
+    assert joined == whole and len({i for i, _, _, k in whole if i < 11 and "misread" in k}) == 11
+
+
 # ---- 5 ------------------------------------------------------------------------------------------
 
 
