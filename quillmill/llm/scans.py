@@ -1,6 +1,6 @@
 """Problem 4: repair text from scanned pages.
 
-Word counts over all passages give the vocabulary. Rare words are suspects: an inverted join on
+Word counts over all distinct passages give the vocabulary. Rare words are suspects: an inverted join on
 character q-grams retrieves frequent words that resemble them, boosted trees trained on synthetic
 damage rank these, and a candidate that known confusions of characters explain is the correction.
 Lines are judged in pairs with their neighbours by boosted trees trained on passages that were
@@ -66,7 +66,10 @@ def bare(token: str) -> str:
 
 
 def word_counts(passages: DataFrame) -> DataFrame:
-    """(word, n): how often each word occurs over all passages, without those broken at a line end."""
+    """(word, n): how often each word occurs over the distinct passages, without those broken at a line end.
+
+    Copies of a passage count once, so that a passage in many rows does not make its misread words frequent.
+    """
 
     def run(batches):
         raw: Counter = Counter()
@@ -89,7 +92,7 @@ def word_counts(passages: DataFrame) -> DataFrame:
             yield flush()
 
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
-    return passages.select("source_passage").mapInPandas(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
+    return passages.select("source_passage").distinct().mapInPandas(run, schema).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @lru_cache(maxsize=200_000)

@@ -142,6 +142,16 @@ def test_repair_joined_equal(spark, monkeypatch):
     assert joined == whole and len({i for i, _, _, k in whole if i < 11 and "misread" in k}) == 11
 
 
+def test_repair_copied_passage(spark):
+    plain = load(spark, "/root/testdata/sf0.01", "sft_examples").filter("length(source_passage) > 200 and source_passage rlike '\\\\bevery\\\\b'").select("source_passage").distinct().limit(300).collect()
+    texts = [r[0] for r in plain] + ["The mind in cvery case is one, and of this there is no doubt at all."] * (len(plain) // 2)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, source_passage string")
+    counts = {r.word: r.n for r in scans.word_counts(rows.select("row_id", "source_passage")).collect()}
+    assert counts["cvery"] == 1
+    got = {r.row_id: (r.clean_passage, r.noise) for r in scans.repair_passages(rows).collect()}
+    assert len(got) == len(texts) and all("in every case" in got[i][0] and got[i][1] == ["misread"] for i in range(len(plain), len(texts)))
+
+
 # ---- 5 ------------------------------------------------------------------------------------------
 
 
