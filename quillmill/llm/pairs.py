@@ -235,18 +235,19 @@ def shortened(responses: DataFrame) -> DataFrame:
 
 #: A length is a spike if this many times as many unfinished responses have it as the median of its neighbours.
 SPIKE_FACTOR, SPIKE_ROWS, SPIKE_REACH = 8, 20, 10
-#: A last line that at least this share of the unfinished responses have is a complete ending.
+#: A last line that at least this share of the distinct unfinished responses have is a complete ending.
 ENDING_SHARE, ENDING_ROWS = 0.004, 3
 
 
 def ending_statistics(examples: DataFrame) -> tuple[frozenset[str], frozenset[int]]:
-    """(complete endings, spike lengths) over all responses without a final stop.
+    """(complete endings, spike lengths) over the distinct responses without a final stop: copies count once.
 
     At most 1 / ENDING_SHARE endings reach their share, so the list is bounded; the histogram has one
-    row per length and is reduced to its spikes before it is collected.
+    row per length and is reduced to its spikes before it is collected (each stands for SPIKE_ROWS texts
+    and for SPIKE_FACTOR times its neighbours, so there are far fewer than lengths).
     """
     body = F.regexp_replace("assistant_response", r"\s+\z", "")
-    open_ = examples.filter(F.length("assistant_response") > 40).select(body.alias("b")).filter(~F.substring("b", -1, 1).isin(*".!?\"”»])}>"))
+    open_ = examples.filter(F.length("assistant_response") > 40).select(body.alias("b")).filter(~F.substring("b", -1, 1).isin(*".!?\"”»])}>")).distinct()
     open_ = open_.select(F.substring_index("b", "\n", -1).alias("line"), F.length("b").alias("n"))
     counts = open_.groupBy("n").agg(F.count("*").alias("rows"))
     total = counts.agg(F.sum("rows")).first()[0] or 0
@@ -256,7 +257,7 @@ def ending_statistics(examples: DataFrame) -> tuple[frozenset[str], frozenset[in
     high = counts.filter(F.col("rows") >= SPIKE_ROWS)
     near = high.select("n", "rows", F.explode(F.sequence(F.col("n") - SPIKE_REACH, F.col("n") + SPIKE_REACH)).alias("m")).filter("m <> n")
     around = near.join(counts.select(F.col("n").alias("m"), F.col("rows").alias("other")), "m", "left").groupBy("n", "rows").agg(F.percentile(F.coalesce("other", F.lit(0)), F.lit(0.5)).alias("mid"))
-    spikes = frozenset(r.n for r in around.filter(F.col("rows") >= SPIKE_FACTOR * F.greatest(F.col("mid"), F.lit(1))).orderBy(F.desc("rows")).limit(1000).collect())
+    spikes = frozenset(r.n for r in around.filter(F.col("rows") >= SPIKE_FACTOR * F.greatest(F.col("mid"), F.lit(1))).collect())
     return endings, spikes
 
 

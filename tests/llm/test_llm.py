@@ -86,6 +86,24 @@ def test_shortened_brute_force(spark):
     assert got == {t for t in texts if any(u != t and u.startswith(t) for u in texts)}
 
 
+def test_ending_statistics_copies(spark):
+    cut = "The reply is long enough to be an answer, and then it says that the proof of the"
+    copied = "A long answer that comes to the point\nand then stops within what it has said about minds"
+    label = [f"Answer number {i} " + "word " * (i % 400) + "\nVerdict: valid" for i in range(2000)]
+    rows = spark.createDataFrame(list(enumerate([copied] * 900 + [cut] * 100 + label)), "row_id bigint, assistant_response string")
+    endings, spikes = pairs.ending_statistics(rows)
+    assert endings == {"Verdict: valid"} and not spikes
+    assert pairs.judge("What of minds?", copied, False, False, endings) == "truncated"
+
+
+def test_spikes_all(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SPIKE_ROWS", 2)
+    monkeypatch.setattr(pairs, "SPIKE_FACTOR", 2)
+    texts = [f"{k}{'x' * (n - 1)}" for n in range(50, 50 + 3 * 1100, 3) for k in (1, 2)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id bigint, assistant_response string")
+    assert len(pairs.ending_statistics(rows)[1]) == 1100
+
+
 def test_pairs_tables(spark):
     rows = load(spark, SF, "sft_examples")
     got = pairs.defects_found(rows).collect()
