@@ -23,7 +23,7 @@ SEED_WORDS, RARE_SHARE, RARE_LEAST = 3, 0.25, 4
 SLACK_SEEDS, LEAST_SEEDS = 5, 2
 #: Alignment scores, and what makes a leak: share of the item's words, words per stretch, edits per word.
 MATCH, EDIT = 2, -4
-LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE, STRETCHES = 0.4, 10, 0.155, 2
+LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE = 0.4, 10, 1 / 6
 #: Seeds of one stretch lie within so many words of a diagonal, and are at least so many.
 DRIFT, BAND_SEEDS = 8, 3
 #: Evaluation words up to which the seeds are sent to all executors; the set is fixed by the evaluation, not by the corpus.
@@ -72,30 +72,72 @@ def stretch(pairs: list[tuple[int, int]]) -> tuple[int, int, int] | None:
         return None
     first, end = pairs[0][0], pairs[-1][0] + 1
     span = max(end - first, pairs[-1][1] + 1 - pairs[0][1])
-    if end - first < STRETCH_WORDS or span - len(pairs) > EDIT_SHARE * span:
+    if end - first < STRETCH_WORDS or span - len(pairs) > EDIT_SHARE * span + 1e-9:
         return None
     return first, end, len(pairs)
 
 
-def covered(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """(item words in stretches, matched words, stretches) over the best one or two stretches, in order."""
-    total = matched = found = 0
-    parts = [(item, region)]
-    for _ in range(STRETCHES):
-        best = None
-        for k, (a, b) in enumerate(parts):
-            if len(a) >= STRETCH_WORDS and len(b) >= STRETCH_WORDS:
-                score, pairs = align(a, b)
-                s = stretch(pairs)
-                if s and (best is None or score > best[0]):
-                    best = score, k, pairs, s
-        if best is None:
-            break
-        _, k, pairs, (first, end, hits) = best
-        total, matched, found = total + end - first, matched + hits, found + 1
-        a, b = parts.pop(k)
-        parts += [(a[:first], b[: pairs[0][1]]), (a[end:], b[pairs[-1][1] + 1 :])]
-    return total, matched, found
+def inner(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The longest part of an alignment that is a stretch, and the two parts that are longest together, as far as there are any."""
+    if stretch(pairs):
+        return [pairs]
+    if len(pairs) < 2:
+        return []
+    a, b = np.array(pairs).T
+    length = a[None, :] - a[:, None] + 1
+    span = np.maximum(length, b[None, :] - b[:, None] + 1)
+    k = np.arange(len(a))
+    wrong = span - (k[None, :] - k[:, None] + 1)
+    long = np.where((length >= STRETCH_WORDS) & (wrong <= EDIT_SHARE * span + 1e-9), length, 0)
+    i, j = divmod(int(long.argmax()), len(a))
+    if not long[i, j]:
+        return []
+    both = np.maximum.accumulate(long.max(0))[:-1] + np.maximum.accumulate(long.max(1)[::-1])[::-1][1:]
+    at = int(both.argmax()) + 1
+    out = [pairs[i : j + 1]]
+    if long[:at, :at].any() and long[at:, at:].any():
+        for lo, part in ((0, long[:at, :at]), (at, long[at:, at:])):
+            i, j = divmod(int(part.argmax()), len(part))
+            out.append(pairs[lo + i : lo + j + 1])
+    return out
+
+
+def covered(item: np.ndarray, region: np.ndarray, most: int = 2) -> tuple[int, int, int]:
+    """(item words in stretches, matched words, stretches) over the best one or two stretches, in order.
+
+    An alignment that bridges two stretches, or has a poor end, is judged by its parts; where no part
+    of it is a stretch, the text on either side of it is searched.
+    """
+    none = (0, 0, 0)
+    if len(item) < STRETCH_WORDS or len(region) < 2:
+        return none
+    # with at most n / 6 words of either side unmatched in a stretch of n, n / 2 - 1 pairs of words are whole: nothing is lost here
+    if np.isin(item[:-1] << 32 | item[1:], region[:-1] << 32 | region[1:]).sum() < STRETCH_WORDS / 2 - 1:
+        return none
+    _, pairs = align(item, region)
+    if not pairs:
+        return none
+
+    def sides(part):
+        return (item[: part[0][0]], region[: part[0][1]]), (item[part[-1][0] + 1 :], region[part[-1][1] + 1 :])
+
+    def add(*found):
+        return tuple(map(sum, zip(*found)))
+
+    parts = inner(pairs)
+    if not parts:
+        left, right = sides(pairs)
+        ways = [covered(*left, 1), covered(*right, 1)]
+        if most > 1:
+            ways = [add(*ways), covered(*left, most), covered(*right, most)]
+        return max(ways)
+    size = [(end - first, hits, 1) for first, end, hits in map(stretch, parts)]
+    if most == 1:
+        return size[0]
+    ways = [add(size[0], max(covered(*x, most - 1) for x in sides(parts[0])))]
+    if len(parts) == 3:
+        ways.append(add(size[1], size[2]))
+    return max(ways)
 
 
 class Seeds:

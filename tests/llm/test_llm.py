@@ -252,6 +252,30 @@ def test_alignment_brute_force():
         assert leakage.align(a, b)[0] == h.max()
 
 
+def test_leak_two_stretches_bridged(spark):
+    rng = random.Random(4)
+    item = [f"w{i}" for i in range(59)]
+    noise = lambda n: [f"z{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, q = [], [(1, " ".join(item))]
+    for gap in range(1, 12):  # item words left out between two exact stretches of 24 words
+        docs.append(noise(20) + item[:24] + item[24 + gap : 48 + gap] + noise(20))
+    for gap in range(5, 9):  # two wrong words in each
+        a, b = item[:24], item[24 + gap : 48 + gap]
+        a[5] = a[17] = b[6] = b[15] = "x"
+        docs.append(noise(20) + a + b + noise(20))
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    got = {r.doc_id for r in leakage.leaks_found(rows, spark.createDataFrame(q, "item_id bigint, q string")).collect()}
+    assert got == set(range(len(docs)))
+
+
+def test_leak_edit_share():
+    for n, wrong in ((12, (4, 8)), (18, (4, 8, 13)), (24, (4, 9, 14, 19))):
+        a = np.arange(1, n + 1)
+        b = a.copy()
+        b[list(wrong)] = 0
+        assert leakage.covered(a, b) == (n, n - len(wrong), 1)
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 
 
