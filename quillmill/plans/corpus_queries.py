@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quillmill.functions import lexicon as L
 from quillmill.functions import text as X
 from quillmill.operators import corpus as C
 from quillmill.operators import dedup as D
+from quillmill.plans import pipeline as P
 from quillmill.session import load
 
 DOCS = "documents"
@@ -112,6 +115,14 @@ def pipeline_counters(s, d):
     return step(raw, "input", 1).union(step(unique, "after_dedup", 2)).union(step(unique.filter(outcome.isin("priority", "dense")), "after_filter", 3))
 
 
+def corpus_counters(s, d):
+    """Documents left after each stage of `corpus_phases`: cleaned, near duplicates removed, filtered, split."""
+    done, _ = P.run_phases(P.corpus_phases(), {"raw": docs(s, d)})
+    stages = list(enumerate(("raw", "clean", "dedup", "filter", "split"), 1))
+    counts = [done[x].select("doc_id").agg(F.countDistinct("doc_id").alias("n_docs")).select(F.lit(n).alias("step"), F.lit(x).alias("stage"), "n_docs") for n, x in stages if x in done]
+    return reduce(lambda a, b: a.union(b), counts)
+
+
 def exact_dedup(s, d):
     return D.exact_groups(docs(s, d))
 
@@ -192,7 +203,7 @@ def passage_mining(s, d):
     return found.withColumn("rank", rank).filter("rank <= 50").select("name", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.col("pos").cast("bigint").alias("pos"))
 
 
-QUERIES = {f.__name__: f for f in (doc_token_stats, category_breakdown, source_breakdown, mixing_ratio_check, repeated_lines, strip_headers, dehyphenate, nfc_text, reconnect_paragraphs, squeeze_text, clean_documents, book_clean, diacritics_check, argument_density, quality_outcomes, quality_report, pipeline_counters, exact_dedup, shingle_counts, minhash_signatures, near_duplicates, dedup_survivors, split_sequences, train_val_split, dataset_card, train_categories, sentence_split, passage_chunks, document_keywords, keyword_search, corpus_verify, passage_mining)}
+QUERIES = {f.__name__: f for f in (doc_token_stats, category_breakdown, source_breakdown, mixing_ratio_check, repeated_lines, strip_headers, dehyphenate, nfc_text, reconnect_paragraphs, squeeze_text, clean_documents, book_clean, diacritics_check, argument_density, quality_outcomes, quality_report, pipeline_counters, corpus_counters, exact_dedup, shingle_counts, minhash_signatures, near_duplicates, dedup_survivors, split_sequences, train_val_split, dataset_card, train_categories, sentence_split, passage_chunks, document_keywords, keyword_search, corpus_verify, passage_mining)}
 
 _LINES = "string_split(text, chr(10))"
 _STRIPPED = f"list_transform({_LINES}, lambda l: {SQL_STRIP % 'l'})"

@@ -185,6 +185,17 @@ def test_corpus_verify_two_keywords(spark, tmp_path):
     assert {r.claim_id: (r.doc_id, r.score) for r in got} == {1: (2, 2), 3: (3, 3)} and len(got) == 2
 
 
+def test_corpus_counters(spark, tmp_path):
+    from quillmill.plans import catalog
+
+    body = " ".join(f"therefore the mind{i} is one" for i in range(60))
+    texts = [body, body.replace(" is", "  is"), body + " again", "cogito therefore sum " * 60, "short"]
+    rows = [(i, t, "descartes_primary", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, category string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stage: r.n_docs for r in catalog.QUERIES["corpus_counters"](spark, str(tmp_path)).collect()}
+    assert got == {"raw": 5, "clean": 5, "dedup": 3, "filter": 2, "split": 2}
+
+
 def test_phases(spark):
     assert pipeline.parse_phases("1-4") == [1, 2, 3, 4] and pipeline.parse_phases("3") == [3] and pipeline.parse_phases("corpus") == [1, 2, 3, 4]
     raw = spark.createDataFrame([(i, f"cogito therefore mind{i} " * 60, "descartes_primary", "s") for i in range(5)], "doc_id bigint, text string, category string, source string")
