@@ -1,69 +1,71 @@
 """Problem 7: documents that contain evaluation items, wholly or in part.
 
-Word n-grams of the items that few items share are seeds. A document that has enough seeds of an
-item is a candidate: a stretch of n words with at most n/6 edits keeps most of its n-grams. A
-Smith-Waterman alignment of the item with the document around the seeds then finds the stretches.
+Word n-grams of the items are seeds; how many documents hold each tells the rare ones. One pass over
+the texts keeps the seeds of each document with the words around them, a join on the n-gram leads
+from there to the items, and (document, item) pairs with enough rare seeds near a diagonal are
+aligned (Smith-Waterman within bands along these diagonals), which gives the stretches.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words per seed; a seed occurs in at most this share of the items (at least in RARE_LEAST of them).
-SEED_WORDS, RARE_SHARE, RARE_LEAST = 3, 0.25, 4
-#: A leak of c >= LEAK_SHARE n of an item's n words, in two stretches with an edit in six words, keeps at
-#: least c - 2 * 2 - 3 * c / 6 seeds: 0.2 n - 4. One less is asked for, as seeds that many items share are left out.
-SLACK_SEEDS, LEAST_SEEDS = 5, 2
+from quillmill.llm import tokens as K
+from quillmill.session import broadcast_if_small, materialize
+
+#: Words per seed. A seed is common if more than this share of the documents, or of the items, holds it (at least so many of them).
+SEED_WORDS, COMMON_DOCS, COMMON_ITEMS, COMMON_LEAST = 3, 0.01, 0.25, 4
+#: The rarest so many of any STRETCH_WORDS - SEED_WORDS + 1 seeds in a row are used, common or not.
+ALWAYS_USED = 5
 #: Alignment scores, and what makes a leak: share of the item's words, words per stretch, edits per word.
 MATCH, EDIT = 2, -4
 LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE = 0.4, 10, 1 / 6
-#: Seeds of one stretch lie within so many words of a diagonal, and are at least so many.
-DRIFT, BAND_SEEDS = 8, 3
-#: Evaluation words up to which the seeds are sent to all executors; the set is fixed by the evaluation, not by the corpus.
-MAX_EVAL_WORDS = 5_000_000
-
-_CUT = re.compile(r"(?<=[^\W\d_])[-\xad¬–‐][ \t]*\r?\n\s*(?=[^\W\d_])")
-_PUNCTUATION = {ord(c): " " for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’'…–—‐•·¬†‡§¶¡¿|\x0c\x00"} | {0xAD: None, 0x200B: None}
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-case words; punctuation and spacing dropped, words cut at line ends joined."""
-    if "\n" in text:
-        text = _CUT.sub("", text)
-    return text.lower().translate(_PUNCTUATION).split()
+#: Seeds of one stretch lie within so many words of a diagonal, and a pair has at least so many seeds.
+DRIFT, LEAST_SEEDS = 8, 2
+#: Bits of the filter that is sent to all executors: 32 for each seed, up to 16 MB; beyond, more n-grams pass it and meet no seed in the join.
+FILTER_BITS = 27
+_BUCKET_BITS = 15  # of the JVM's bitmap aggregate
 
 
-def align(item: np.ndarray, region: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
-    """Best local alignment: (score, matched (item, region) positions in order)."""
+def align(item: np.ndarray, region: np.ndarray, low: int | None = None, width: int | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Best local alignment: (score, matched (item, region) positions in order), over region positions
+    from item position + low on, `width` of them (all of the region where they are not given)."""
     n, m = len(item), len(region)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    step = np.arange(m + 1, dtype=np.int32) * -EDIT
+    if low is None:
+        low, width = -n, n + m
+    # column c of row i stands for region position i - 1 + low + c; a step up moves one column to the right
+    padded = np.full(n + width, -1, dtype=region.dtype) if region.dtype.kind == "i" else np.zeros(n + width, dtype=region.dtype)
+    inside = np.zeros(n + width, dtype=bool)
+    a, b = max(0, low), min(m, n + width + low)
+    if a < b:
+        padded[a - low : b - low] = region[a:b]
+        inside[a - low : b - low] = True
+    view = np.lib.stride_tricks.sliding_window_view
+    score = np.where((view(padded, width)[:n] == item[:, None]) & view(inside, width)[:n], MATCH, EDIT).astype(np.int32)
+    h = np.zeros((n + 1, width + 1), dtype=np.int32)
+    step = np.arange(width, dtype=np.int32) * -EDIT
     for i in range(1, n + 1):
-        row = np.zeros(m + 1, dtype=np.int32)
-        np.maximum(h[i - 1, :-1] + np.where(region == item[i - 1], MATCH, EDIT), h[i - 1, 1:] + EDIT, out=row[1:])
+        row = np.maximum(h[i - 1, :-1] + score[i - 1], h[i - 1, 1:] + EDIT)
         np.maximum(row, 0, out=row)
-        h[i] = np.maximum.accumulate(row + step) - step
-    score = int(h.max())
-    i, j = divmod(int(h.argmax()), m + 1)
+        h[i, :-1] = np.maximum.accumulate(row + step) - step
+    best = int(h.max())
+    i, c = divmod(int(h.argmax()), width + 1)
     pairs = []
-    while i and j and h[i, j] > 0:
-        if item[i - 1] == region[j - 1] and h[i, j] == h[i - 1, j - 1] + MATCH:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j - 1] + EDIT:
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + EDIT:
+    while i and h[i, c] > 0:
+        if score[i - 1, c] == MATCH and h[i, c] == h[i - 1, c] + MATCH:
+            pairs.append((i - 1, i - 1 + low + c))
             i -= 1
+        elif h[i, c] == h[i - 1, c] + EDIT:
+            i -= 1
+        elif h[i, c] == h[i - 1, c + 1] + EDIT:
+            i, c = i - 1, c + 1
         else:
-            j -= 1
-    return score, pairs[::-1]
+            c -= 1
+    return best, pairs[::-1]
 
 
 def stretch(pairs: list[tuple[int, int]]) -> tuple[int, int, int] | None:
@@ -102,145 +104,230 @@ def inner(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def covered(item: np.ndarray, region: np.ndarray, most: int = 2) -> tuple[int, int, int]:
-    """(item words in stretches, matched words, stretches) over the best one or two stretches, in order.
+def _whole_pairs(item: np.ndarray, region: np.ndarray) -> int:
+    """Neighbouring words of the item that are neighbours somewhere in the region, too."""
+    return int(np.isin(K.grams(item.astype(np.uint64), 2), K.grams(region.astype(np.uint64), 2)).sum())
 
-    An alignment that bridges two stretches, or has a poor end, is judged by its parts; where no part
-    of it is a stretch, the text on either side of it is searched.
-    """
-    none = (0, 0, 0)
-    if len(item) < STRETCH_WORDS or len(region) < 2:
-        return none
-    # with at most n / 6 words of either side unmatched in a stretch of n, n / 2 - 1 pairs of words are whole: nothing is lost here
-    if np.isin(item[:-1] << 32 | item[1:], region[:-1] << 32 | region[1:]).sum() < STRETCH_WORDS / 2 - 1:
-        return none
-    _, pairs = align(item, region)
-    if not pairs:
-        return none
 
-    def sides(part):
-        return (item[: part[0][0]], region[: part[0][1]]), (item[part[-1][0] + 1 :], region[part[-1][1] + 1 :])
+#: An edit breaks at most two of the pairs of neighbouring words in a stretch of n, so n - 2 (n // 6) - 1 or more stay whole.
+_LEAST_PAIRS = min(n - 2 * int(n * EDIT_SHARE + 1e-9) - 1 for n in range(STRETCH_WORDS, 2 * STRETCH_WORDS))
 
-    def add(*found):
-        return tuple(map(sum, zip(*found)))
 
+def band_stretches(item: np.ndarray, region: np.ndarray, low: int, width: int, at: tuple[int, int] = (0, 0)) -> list[list[tuple[int, int]]]:
+    """Stretches of the alignments within a band: that of the best one (or its parts, where it bridges stretches or
+    has a poor end), then those of the texts on either side of it. `at`: where item and region begin."""
+    if len(item) < STRETCH_WORDS or len(region) < 2 or _whole_pairs(item, region) < _LEAST_PAIRS:
+        return []
+    _, pairs = align(item, region, low, width)
+    if not pairs:
+        return []
     parts = inner(pairs)
-    if not parts:
-        left, right = sides(pairs)
-        ways = [covered(*left, 1), covered(*right, 1)]
-        if most > 1:
-            ways = [add(*ways), covered(*left, most), covered(*right, most)]
-        return max(ways)
-    size = [(end - first, hits, 1) for first, end, hits in map(stretch, parts)]
-    if most == 1:
-        return size[0]
-    ways = [add(size[0], max(covered(*x, most - 1) for x in sides(parts[0])))]
-    if len(parts) == 3:
-        ways.append(add(size[1], size[2]))
-    return max(ways)
-
-
-class Seeds:
-    """Word ids, rare n-grams and word sequences of the evaluation items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        texts = {i: words_of(q) for i, q in items}
-        self.ids: dict[str, int] = {}
-        self.items = {i: np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in ws], dtype=np.int64) for i, ws in texts.items() if len(ws) >= STRETCH_WORDS}
-        self.base = len(self.ids) + 1
-        owners: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, a in self.items.items():
-            for at, c in enumerate(self.codes(a).tolist()):
-                owners[c].append((i, at))
-        most = max(RARE_LEAST, RARE_SHARE * len(self.items))
-        self.owners = {c: o for c, o in owners.items() if len({i for i, _ in o}) <= most}
-        self.sorted = np.array(sorted(self.owners), dtype=np.int64)
-        bits = max(16, int(len(self.owners)).bit_length() + 5)
-        self.mask = (1 << bits) - 1
-        self.filter = np.zeros(1 << bits, dtype=bool)
-        self.filter[(self.sorted * 2654435761 >> 7) & self.mask] = True
-
-    def codes(self, a: np.ndarray) -> np.ndarray:
-        if len(a) < SEED_WORDS:
-            return np.zeros(0, dtype=np.int64)
-        c = a[: len(a) - SEED_WORDS + 1].copy()
-        for k in range(1, SEED_WORDS):
-            c = c * self.base + a[k : len(a) - SEED_WORDS + 1 + k]
-        return c
-
-    def hits(self, a: np.ndarray) -> np.ndarray:
-        """Positions where a seed starts."""
-        c = self.codes(a)
-        maybe = np.flatnonzero(self.filter[(c * 2654435761 >> 7) & self.mask])
-        at = np.searchsorted(self.sorted, c[maybe])
-        at[at == len(self.sorted)] = 0
-        return maybe[self.sorted[at] == c[maybe]] if len(self.sorted) else maybe[:0]
+    a, b = pairs[0] if not parts else parts[0][0]
+    c, d = pairs[-1] if not parts else parts[0][-1]
+    out = [[(i + at[0], j + at[1]) for i, j in p] for p in parts]
+    out += band_stretches(item[:a], region[:b], low, width, at)
+    return out + band_stretches(item[c + 1 :], region[d + 1 :], low + c - d, width, (at[0] + c + 1, at[1] + d + 1))
+
+
+def best_two(found: list[list[tuple[int, int]]]) -> tuple[int, int, int]:
+    """(item words, matched words, stretches) of the longest stretch or of the two in order that are longest together."""
+
+    def size(*parts):
+        return sum(p[-1][0] + 1 - p[0][0] for p in parts), sum(map(len, parts)), len(parts)
+
+    best = max((size(p) for p in found), default=(0, 0, 0))
+    for p in found:
+        for q in found:
+            if q is p or q[0][0] < p[0][0]:
+                continue
+            # what they share is left to one of them
+            later = inner([x for x in q if x[0] > p[-1][0] and x[1] > p[-1][1]])
+            sooner = inner([x for x in p if x[0] < q[0][0] and x[1] < q[0][1]])
+            best = max([best, *(size(p, x) for x in later[:1]), *(size(x, q) for x in sooner[:1])])
+    return best
+
+
+def covered(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
+    """`best_two` of the stretches of an item in a region, without bands."""
+    return best_two(band_stretches(item, region, -len(item), len(item) + len(region)))
+
+
+def judge(item: np.ndarray, segments: list[tuple[int, np.ndarray]], diagonals: np.ndarray) -> tuple[int, int, int]:
+    """`best_two` of an item in the kept segments of a document, within bands along the seeds' diagonals."""
+    reach = len(item) // 6 + DRIFT
+    d = np.sort(diagonals)
+    groups = np.split(d, np.flatnonzero(np.diff(d) > reach) + 1)
+    views = []
+    for g in groups:
+        lo, hi = int(g[0]) - reach, int(g[-1]) + reach
+        for start, words in segments:
+            a, b = max(lo, start), min(hi + len(item), start + len(words))
+            if a < b and start <= g[0] + len(item) and g[0] <= start + len(words):
+                views.append((lo, hi - lo + 1, a, words[a - start : b - start]))
+    pairs = [_whole_pairs(item, w) for *_, w in views]
+    if sum(pairs) < np.ceil(LEAK_SHARE * len(item)) * 2 / 3 - 2:
+        return 0, 0, 0
+    found = []
+    for (lo, width, a, w), n in zip(views, pairs):
+        if n >= _LEAST_PAIRS:
+            found += [[(i, j + a) for i, j in p] for p in band_stretches(item, w, lo - a, width)]
+    return best_two(found)
+
+
+# ---- seeds --------------------------------------------------------------------------------------
+
+
+def _words(texts: pd.Series) -> list[np.ndarray]:
+    out = []
+    texts = texts.tolist()
+    for a, b in K.blocks(texts):
+        h, first = K.hash_words([t or "" for t in texts[a:b]])
+        out += [h[first[k] : first[k + 1]] for k in range(b - a)]
+    return out
 
 
-_LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("item_words", T.IntegerType()), T.StructField("covered_words", T.IntegerType()), T.StructField("matched_words", T.IntegerType()), T.StructField("stretches", T.IntegerType())])
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, words, n): word hashes of each distinct question of ten or more words."""
 
+    def run(batches):
+        for b in batches:
+            words = _words(b["q"])
+            yield pd.DataFrame({"item_id": b["item_id"], "words": [w.astype(np.int64) for w in words], "n": [len(w) for w in words]})
 
-def _judge(seeds: Seeds, ids: np.ndarray, hits: np.ndarray, codes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    bands: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for p in hits.tolist():
-        for i, at in seeds.owners[int(codes[p])]:
-            bands[i][(p - at) // DRIFT].add(at)
-    out = []
-    for i, own in bands.items():
-        item = seeds.items[i]
-        least = max(LEAST_SEEDS, int(0.5 * LEAK_SHARE * len(item)) - SLACK_SEEDS)
-        if sum(map(len, own.values())) < least:
-            continue
-        joined: list[list] = []  # neighbouring diagonals are one band
-        for d in sorted(own):
-            if joined and d == joined[-1][1] + 1:
-                joined[-1][1] = d
-                joined[-1][2] |= own[d]
-            else:
-                joined.append([d, d, set(own[d])])
-        kept = [x for x in joined if len(x[2]) >= min(BAND_SEEDS, least)]
-        if len(set().union(*(x[2] for x in kept))) < least:
-            continue
-        # the text along the bands; places far from one another are put side by side, in order
-        spans: list[list[int]] = []
-        for lo, hi, _ in kept:
-            a, b = max(0, (lo - 1) * DRIFT), (hi + 2) * DRIFT + len(item)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-        region = np.concatenate([x for a, b in spans for x in (ids[a:b], np.zeros(4, dtype=np.int64))])
-        total, matched, found = covered(item, region)
-        if found:
-            out.append((i, len(item), total, matched, found))
+    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), "q").filter("q is not null and item_id is not null").distinct()
+    return rows.mapInPandas(run, "item_id bigint, words array<bigint>, n int").filter(F.col("n") >= STRETCH_WORDS)
+
+
+def item_seeds(words: DataFrame) -> DataFrame:
+    """(gram, item_id, at, n): every n-gram of every item."""
+
+    def run(batches):
+        for b in batches:
+            codes = [K.grams(np.asarray(w).astype(np.uint64), SEED_WORDS).astype(np.int64) for w in b["words"]]
+            size = [len(c) for c in codes]
+            yield pd.DataFrame({"gram": np.concatenate([*codes, np.zeros(0, np.int64)]), "item_id": b["item_id"].repeat(size), "at": np.concatenate([*map(np.arange, size), np.zeros(0)]).astype(int), "n": b["n"].repeat(size)})
+
+    return words.mapInPandas(run, "gram bigint, item_id bigint, at int, n int")
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """A bit per hash of a seed: at most 2^FILTER_BITS, whatever the number of seeds."""
+    distinct = seeds.select("gram").distinct()
+    bits = min(FILTER_BITS, max(16, int(32 * distinct.count()).bit_length()))
+    slot = F.col("gram").bitwiseAND((1 << bits) - 1)
+    # bit positions of the aggregate count from 1
+    per = distinct.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
+    size = 1 << _BUCKET_BITS >> 3
+    for r in per.toLocalIterator():
+        at = (r.bucket - 1) * size
+        out[at : at + size] = np.frombuffer(bytes(r.bits), dtype=np.uint8)[: len(out) - at]
     return out
 
 
+_HITS = "key bigint, doc_id bigint, hits array<struct<gram:bigint,at:int>>, segments array<struct<start:int,words:array<bigint>>>"
+
+
+def document_hits(documents: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
+    """(key, doc_id, hits, segments): n-grams of each document that pass the filter, with the words around them.
+
+    Only n-grams with another one no farther off than an item can reach are kept, as a pair needs two seeds.
+    """
+    reach = longest + longest // 6 + 2 * DRIFT
+    sent = documents.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        table = sent.value
+        mask = np.uint64(len(table) * 8 - 1)
+        for b in batches:
+            texts, out = b["text"].tolist(), []
+            for lo, hi in K.blocks(texts):
+                h, first = K.hash_words([t or "" for t in texts[lo:hi]])
+                g = K.grams(h, SEED_WORDS)
+                slot = g & mask
+                at = np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                doc = np.searchsorted(first, at, side="right") - 1
+                inside = at + SEED_WORDS <= first[doc + 1]
+                at, doc = at[inside], doc[inside]
+                near = (np.diff(at) <= reach) & (np.diff(doc) == 0)
+                kept = np.append(near, False) | np.append(False, near) if len(at) else np.zeros(0, bool)
+                at, doc = at[kept], doc[kept]
+                for k in np.unique(doc):
+                    own = at[doc == k]
+                    start, end = first[k], first[k + 1]
+                    cut = np.flatnonzero(np.diff(own) > 2 * reach) + 1
+                    segments = [{"start": int(max(start, p[0] - reach) - start), "words": h[max(start, p[0] - reach) : min(end, p[-1] + reach)].astype(np.int64)} for p in np.split(own, cut)]
+                    row = lo + int(k)
+                    out.append((b["key"].iloc[row], b["doc_id"].iloc[row], [{"gram": x, "at": y} for x, y in zip(g[own].astype(np.int64).tolist(), (own - start).tolist())], segments))
+            yield pd.DataFrame(out, columns=["key", "doc_id", "hits", "segments"]).astype({"doc_id": "Int64"})
+
+    return documents.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").mapInPandas(run, _HITS)
+
+
+def used_seeds(seeds: DataFrame, hits: DataFrame, n_documents: int, n_items: int) -> DataFrame:
+    """(gram, item_id, at, least): the seeds that occur and lead to their items, and how many of them a leak keeps.
+
+    Rare seeds are used, and of any run of seeds as long as the shortest stretch the rarest ALWAYS_USED: a passage
+    in very many documents makes its own seeds common and is found all the same. A leak of c words in two
+    stretches with an edit in six words keeps c / 2 - 4 of its seeds, less those that are not used.
+    """
+    frequency = hits.select("key", F.explode("hits.gram").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("docs"))
+    owners = seeds.groupBy("gram").agg(F.countDistinct("item_id").alias("owners"))
+    counted = seeds.join(owners, "gram").join(frequency, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    rare = (F.col("docs") <= max(COMMON_LEAST, COMMON_DOCS * n_documents)) & (F.col("owners") <= max(COMMON_LEAST, COMMON_ITEMS * n_items))
+    run = STRETCH_WORDS - SEED_WORDS + 1
+
+    def pick(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("at")
+        used = p["rare"].to_numpy(bool).copy()
+        if not used.all():
+            order = np.lexsort((p["at"], p["owners"], p["docs"]))
+            rank = np.empty(len(p), dtype=np.int64)
+            rank[order] = np.arange(len(p))
+            windows = np.lib.stride_tricks.sliding_window_view(rank, min(run, len(p)))
+            chosen = np.argsort(windows, axis=1)[:, :ALWAYS_USED] + np.arange(len(windows))[:, None]
+            used[chosen.ravel()] = True
+        n = int(p["n"].iloc[0])
+        least = max(LEAST_SEEDS, int(np.ceil(LEAK_SHARE * n) / 2 - 4) - int((~used).sum()))
+        return p.assign(least=least)[used & (p["docs"].to_numpy() > 0)][["gram", "item_id", "at", "least"]]
+
+    return counted.withColumn("rare", rare).groupBy("item_id").applyInPandas(pick, "gram bigint, item_id bigint, at int, least int")
+
+
+_LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("item_words", T.IntegerType()), T.StructField("covered_words", T.IntegerType()), T.StructField("matched_words", T.IntegerType()), T.StructField("stretches", T.IntegerType())])
+
+
 def leaks(documents: DataFrame, items: DataFrame, least_share: float = LEAK_SHARE) -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, matched_words, stretches) of each leaked item.
 
     Null texts and questions leak nothing, nor do questions under ten words; a document with repeated
-    rows is reported once per row; items that repeat a question are each reported. The evaluation
-    set is sent to the executors, which is allowed up to MAX_EVAL_WORDS words (else an error).
+    rows is reported once per row; items that repeat a question are each reported. There is no limit on
+    the number or length of items: only a filter of bounded size is sent to all executors.
     """
-    rows = items.select(F.col("item_id").cast("bigint"), "q").filter("q is not null").collect()
-    if sum(r.q.count(" ") for r in rows) > MAX_EVAL_WORDS:
-        raise ValueError("the evaluation set is too large to be sent to all executors; split it")
-    seeds = documents.sparkSession.sparkContext.broadcast(Seeds([(r.item_id, r.q) for r in rows]))
+    words = materialize(item_words(items), "items")
+    seeds = materialize(item_seeds(words), "seeds")
+    longest, n_items = words.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    hits = materialize(document_hits(documents, _filter(seeds), longest), "hits")
+    used = materialize(used_seeds(seeds, hits, documents.count(), n_items), "used")
+    single = hits.select("key", "hits").dropDuplicates(["key"]).select("key", F.inline("hits")).withColumnRenamed("at", "place")
+    met = single.join(broadcast_if_small(used), "gram").select("key", "item_id", "least", "at", (F.col("place") - F.col("at")).alias("diagonal"))
+    pairs = met.groupBy("key", "item_id", "least").agg(F.collect_set(F.struct("at", "diagonal")).alias("seeds"))
+    pairs = pairs.filter(F.size(F.array_distinct("seeds.at")) >= F.col("least")).select("key", "item_id", F.array_distinct("seeds.diagonal").alias("diagonals"))
+    with_words = pairs.join(broadcast_if_small(words), "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
 
     def run(batches):
-        s = seeds.value
-        get = s.ids.get
         for b in batches:
             out = []
-            arrays = [np.fromiter((get(w, 0) for w in words_of(t)), dtype=np.int64) if t else np.zeros(0, dtype=np.int64) for t in b["text"]]
-            for doc, ids in zip(b["doc_id"], arrays):
-                hits = s.hits(ids)
-                if len(hits) >= LEAST_SEEDS:
-                    out += [(doc, *x) for x in _judge(s, ids, hits, s.codes(ids)) if x[2] >= least_share * x[1]]
+            for doc, segments, candidates in zip(b["doc_id"], b["segments"], b["items"]):
+                parts = [(s["start"], np.asarray(s["words"])) for s in segments]
+                for c in candidates:
+                    item = np.asarray(c["words"])
+                    total, matched, found = judge(item, parts, np.asarray(c["diagonals"]))
+                    if found and total >= least_share * len(item):
+                        out.append((doc, c["item_id"], len(item), total, matched, found))
             yield pd.DataFrame(out, columns=_LEAK.names)
 
-    return documents.select("doc_id", "text").mapInPandas(run, _LEAK)
+    return hits.select("key", "doc_id", "segments").join(with_words, "key").select("doc_id", "segments", "items").mapInPandas(run, _LEAK)
 
 
 def leaks_found(documents: DataFrame, items: DataFrame) -> DataFrame:

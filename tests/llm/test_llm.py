@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import leakage, mixing, ml, packing, pairs, reading, residue, scans, splitting
+from quillmill.llm import leakage, mixing, ml, packing, pairs, reading, residue, scans, splitting, tokens
 from quillmill.llm.blank import is_blank
 from quillmill.session import load
 
@@ -276,6 +276,36 @@ def test_leak_edit_share():
         assert leakage.covered(a, b) == (n, n - len(wrong), 1)
 
 
+def test_leak_hot_and_shared(spark):
+    """A passage in a third of all documents, items that all share their words, and repeated rows and items."""
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join([f"n{rng.randint(0, 10**6)}" for _ in range(30)] + (item[10:35] if i % 3 == 0 else []) + ["end"])) for i in range(600)]
+    items = spark.createDataFrame([(k, " ".join(item) + f" x{k}") for k in range(40)] + [(0, " ".join(item) + " x0")], "item_id bigint, q string")
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = leakage.leaks_found(rows, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in range(0, 600, 3) for k in range(40)} and len(got) == 200 * 40
+    twice = leakage.leaks(rows.filter("doc_id = 3").union(rows.filter("doc_id = 3")), items.limit(1)).collect()
+    assert len(twice) == 2
+
+
+def test_leak_long_item(spark):
+    rng = random.Random(9)
+    item = [f"w{rng.randint(0, 10**7)}" for _ in range(6000)]
+    drifted = [w for i, w in enumerate(item[:4000]) if i % 9] + [w for w in item[4000:]]
+    docs = [(1, " ".join(["start"] * 50 + drifted)), (2, " ".join(item[:2300])), (3, " ".join(item[:500] + ["z"] * 400 + item[500:3000]))]
+    rows, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, q string")
+    assert {(r.doc_id) for r in leakage.leaks_found(rows, items).collect()} == {1, 3}
+
+
+def test_hash_words():
+    given = ["con-\nscious a\xadb -\n c", "", "x –  \r\n\n y", "“Quo” can’t 5-\n6 é-\né", "A\u00a0B\u2003C\u3000D"]
+    h, first = tokens.hash_words(given)
+    words = [h[first[k] : first[k + 1]].tolist() for k in range(5)]
+    assert [len(w) for w in words] == [3, 0, 2, 6, 4]
+    assert words[0] == [tokens.hash_words([w])[0][0] for w in ("conscious", "ab", "c")] and words[3][5] == tokens.hash_words(["éé"])[0][0]
+
+
 # ---- 8 ------------------------------------------------------------------------------------------
 
 
