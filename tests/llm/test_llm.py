@@ -204,6 +204,43 @@ def test_histogram():
         assert total == hist
 
 
+def _worst_fit(items, capacity):
+    """Item by item: longest first, into the pack with the most room, else a new one."""
+    rooms = []
+    for x in sorted(items, reverse=True):
+        best = max(rooms, default=0)
+        if best >= x:
+            rooms.remove(best)
+            rooms.append(best - x)
+        else:
+            rooms.append(capacity - x)
+    return sorted(rooms)
+
+
+def test_shortest_pack_first():
+    assert sorted(tuple(sorted(p.items())) for _, p in packing.pack_histogram([(7, 1), (5, 1), (3, 1)], 10)) == [((3, 1), (5, 1)), ((7, 1),)]
+    rng = random.Random(2)
+    for _ in range(40):
+        capacity = rng.randint(5, 60)
+        hist = {rng.randint(1, capacity): rng.randint(1, 60) for _ in range(rng.randint(1, 15))}
+        rooms = sorted(capacity - sum(k * v for k, v in p.items()) for n, p in packing.pack_histogram(list(hist.items()), capacity) for _ in range(n))
+        assert rooms == _worst_fit([k for k, n in hist.items() for _ in range(n)], capacity)
+
+
+def test_packing_hot_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 50)
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('word ', cast(if(id % 3 = 0, 5, id % 14) as int)) as text", "1 as card_id")
+    got = packing.pack_documents(docs, _cards(spark)).collect()
+    used = {}
+    for r in got:
+        used[r.container_no] = used.get(r.container_no, 0) + r.n_tokens
+    assert len(got) == 3000 and max(used.values()) <= 16 and set(used) == set(range(len(used)))
+    lengths = {}
+    for r in got:
+        lengths[r.n_tokens] = lengths.get(r.n_tokens, 0) + 1
+    assert len(used) == sum(n for n, _ in packing.pack_histogram([(k, n) for k, n in lengths.items() if k], 16))
+
+
 def test_packing(spark):
     rng = random.Random(6)
     rows = [(i, "word " * rng.choice([1, 3, 3, 3, 3, 7, 40]), rng.choice([1, 1, 2, 3])) for i in range(400)] + [(900, None, 1), (901, "", 1), (5, "word word", 1)]
