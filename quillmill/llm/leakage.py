@@ -26,7 +26,7 @@ MATCH, EDIT = 2, -4
 LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE = 0.4, 10, 1 / 6
 #: Seeds of one stretch lie within so many words of a diagonal, and a pair has at least so many seeds.
 DRIFT, LEAST_SEEDS = 8, 2
-#: Bits of the filter that is sent to all executors: 32 for each seed, up to 16 MB; beyond, more n-grams pass it and meet no seed in the join.
+#: Bits of the filter that is sent to all executors: 128 for each seed, up to 16 MB; beyond, more n-grams pass it and meet no seed in the join.
 FILTER_BITS = 27
 _BUCKET_BITS = 15  # of the JVM's bitmap aggregate
 
@@ -104,9 +104,13 @@ def inner(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
+_PAIR = 0x5851F42D4C957F2D
+
+
 def _whole_pairs(item: np.ndarray, region: np.ndarray) -> int:
     """Neighbouring words of the item that are neighbours somewhere in the region, too."""
-    return int(np.isin(K.grams(item.astype(np.uint64), 2), K.grams(region.astype(np.uint64), 2)).sum())
+    a, b = (w[:-1] * _PAIR + w[1:] for w in (item, region))
+    return int(((a[:, None] == b).any(1) if len(a) * len(b) < 1 << 17 else np.isin(a, b)).sum())
 
 
 #: An edit breaks at most two of the pairs of neighbouring words in a stretch of n, so n - 2 (n // 6) - 1 or more stay whole.
@@ -211,12 +215,12 @@ def item_seeds(words: DataFrame) -> DataFrame:
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit per hash of a seed: at most 2^FILTER_BITS, whatever the number of seeds."""
+    """Two bits per hash of a seed: at most 2^FILTER_BITS in all, whatever the number of seeds."""
     distinct = seeds.select("gram").distinct()
-    bits = min(FILTER_BITS, max(16, int(32 * distinct.count()).bit_length()))
-    slot = F.col("gram").bitwiseAND((1 << bits) - 1)
+    bits = min(FILTER_BITS, max(16, int(128 * distinct.count()).bit_length()))
+    slots = [c.bitwiseAND((1 << bits) - 1) for c in (F.col("gram"), F.shiftrightunsigned("gram", 32))]
     # bit positions of the aggregate count from 1
-    per = distinct.select((slot + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    per = distinct.select(F.explode(F.array(*[c + 1 for c in slots])).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = np.zeros(1 << bits >> 3, dtype=np.uint8)
     size = 1 << _BUCKET_BITS >> 3
     for r in per.toLocalIterator():
@@ -244,8 +248,10 @@ def document_hits(documents: DataFrame, bits: np.ndarray, longest: int) -> DataF
             for lo, hi in K.blocks(texts):
                 h, first = K.hash_words([t or "" for t in texts[lo:hi]])
                 g = K.grams(h, SEED_WORDS)
-                slot = g & mask
-                at = np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                at = np.arange(len(g))
+                for shift in (0, 32):
+                    slot = (g[at] >> np.uint64(shift)) & mask
+                    at = at[np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)]
                 doc = np.searchsorted(first, at, side="right") - 1
                 inside = at + SEED_WORDS <= first[doc + 1]
                 at, doc = at[inside], doc[inside]
