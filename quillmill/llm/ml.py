@@ -126,15 +126,15 @@ def _finish(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint32(15))) & np.uint32((1 << TABLE_BITS) - 1)).astype(np.intp)
 
 
-def ratio_tables(classes: list[list[str]], prose: list[str], trust: float = 0.5) -> list[np.ndarray]:
+def ratio_tables(classes: list[list[str]], prose: list[str], trust: float = 0.5, read=fold) -> list[np.ndarray]:
     """Character n-gram models of each class and of prose, interpolated from order 1 to 7.
 
     Returns, for each kept order, a table [hash, class] of log P(byte | context, class) - log P(byte |
     context, prose); nan where the n-gram was seen on neither side. Hashes are made anew where they
-    are needed, so that the memory stays near the size of the texts.
+    are needed, so that the memory stays near the size of the texts. `read` makes bytes of a text.
     """
     size = 1 << TABLE_BITS
-    buffers = [fold("\n".join(t) + "\n") for t in (*classes, prose)]
+    buffers = [read("\n".join(t) + "\n") for t in (*classes, prose)]
     counts = [[np.bincount(_finish(h), minlength=size).astype(np.float32) for h in _raw_hashes(b)] for b in buffers]
     tables = [np.full((size, len(classes)), np.nan, dtype=np.float32) for _ in KEPT]
     for b in buffers:

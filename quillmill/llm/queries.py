@@ -66,6 +66,10 @@ def _p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.coalesce("residue", F.lit("none")).alias("residue")).agg(F.count("*").alias("n_rows"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
 
 
+def _p5_by_step(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(load(spark, d, "sft_examples")).filter("residue is not null").groupBy("residue", "step").agg(F.count("*").alias("n_rows"))
+
+
 def _p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(load(spark, d, "documents"), load(spark, d, "dataset_card"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "p4_repaired": _p4_repaired,
     "p5_found": _p5_found,
     "p5_coverage": _p5_coverage,
+    "p5_by_step": _p5_by_step,
     "p6_pack": _p6_pack,
     "p6_report": _p6_report,
     "p7_found": _p7_found,

@@ -183,6 +183,31 @@ def test_residue(spark):
     assert residue.clean_examples(rows).count() + residue.residue_found(rows).count() == rows.count()
 
 
+def test_slots_located(spark):
+    """The model finds slots it was not trained on, in its windows; the syntax check runs on these only."""
+    rows = load(spark, SF, "sft_examples")
+    tables = residue.train_tables(*residue.prose_sample(rows))
+    prose = [r[0] for r in rows.select("source_passage").filter("length(source_passage) between 100 and 1500").collect()]
+    rng, made = random.Random(77), []
+    for t in prose[:200]:
+        w = t.split(" ")
+        w.insert(rng.randrange(len(w)), rng.choice(["{{who}}", "[INSERT WORK HERE]", "${where}", "<<Place>>", "[[when]]", "__VOLUME__", "TBD", "%(city)s", "[Your reply]", "XXXX"]))
+        made.append(" ".join(w))
+    kinds = [k for k, _ in residue.classify(made, tables)]
+    assert sum(k == "placeholder" for k in kinds) >= 0.97 * len(made)
+    windows = residue.slot_windows(prose, tables)
+    assert sum(len(w) for _, w in windows) < 0.25 * sum(map(len, prose))
+    two = residue.slot_windows(["x" * 9, "", "see {{a}}" + " word" * 100 + " or {{b}}."], tables)
+    assert [k for k, _ in two] == [2, 2] and all(residue.has_slot(w) for _, w in two)
+
+
+def test_prose_sample_bounds(spark):
+    rows = spark.range(3000).selectExpr("cast(id % 1000 as bigint) as row_id", "'p' as user_prompt", "repeat('x', cast(if(id % 2 = 0, 30000, 10) as int)) as source_passage", "concat('r', id) as assistant_response")
+    prose, responses = residue.prose_sample(rows, 100)
+    assert 60 <= len(responses) <= 100 and max(map(len, prose)) <= 20_000
+    assert residue.prose_sample(rows, 100) == (prose, responses)
+
+
 def test_blank():
     assert is_blank(None) and is_blank("...") and is_blank("\xa0") and not is_blank("No.") and not is_blank("__NAME__") and not is_blank("x" * 100)
 
