@@ -1,8 +1,9 @@
 """Problem 3: prompts whose response is no proper answer, with the kind of defect.
 
-Distinct responses are sorted by text over range partitions and neighbours are compared: a text that
-a longer neighbour continues is a shortened version. Spikes in the lengths of unfinished responses
-show length limits. Rules for empty, copied, refusing and wrong-language responses follow, row by row.
+Distinct responses are sorted by text over range partitions and the common prefixes of neighbours are
+compared: a text that a neighbour continues within a sentence is a shortened version. Spikes in the
+lengths of all distinct responses show length limits. Rules for copied, refusing and wrong-language
+responses follow, row by row. What neither neighbours nor lengths show is judged by its ending.
 """
 
 from __future__ import annotations
@@ -73,6 +74,19 @@ def unfinished(text: str, endings: frozenset[str] = frozenset()) -> int:
 _WORD = re.compile(r"[^\W_]+")
 
 
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table per word of b held in the bits of one number."""
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for w in b:
+        met = row & where.get(w, 0)
+        row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
+
+
 def copies_prompt(prompt: str, response: str) -> bool:
     """The response's words are, in order, (nearly) the prompt's and hardly any others.
 
@@ -94,12 +108,7 @@ def copies_prompt(prompt: str, response: str) -> bool:
     common = sum((Counter(r) & Counter(p)).values())
     if common < 0.75 * len(r):
         return False
-    row = [0] * (len(p) + 1)
-    for w in r:
-        diagonal = 0
-        for j, v in enumerate(p, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if w == v else max(row[j], row[j - 1])
-    same = row[-1]
+    same = common_subsequence(p, r)
     return same >= 0.8 * len(r) and same >= 0.5 * len(p) or same >= 0.9 * len(r) and len(r) >= 6
 
 
@@ -166,107 +175,177 @@ _TRIGGERS = frozenset("i i'm i’m i'd i’d my assistant request topic declined
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+#: What goes with a refusal: thanks, regrets, offers and talk about the request or the rules, by which no answer is given.
+_AROUND = re.compile(r"\b(?:sorry|apolog\w+|regret\w*|afraid|unfortunately|thank\w*|guidelines?|polic(?:y|ies)|rules?|instructions|allowed|permitted|appropriate|comfortable|sensitive|requests?|topics?|help|assist\w*|consult|experts?|something else|anything else|another (?:question|topic|task)|instead|let me know|feel free|understand(?:ing)? (?:that|your)|your (?:question|interest|request|understanding|patience)|désolé\w*|regrette|leider|entschuldig\w+|lo siento|lamento)\b", re.IGNORECASE)
+#: Shares of a response: of refusing sentences, or of these and what goes with them.
+REFUSING_SHARE, AROUND_SHARE = 0.25, 0.5
+
+
 def refuses(text: str) -> bool:
-    """The response opens by declining (within its first three sentences) and is no longer than a refusal needs."""
+    """The response declines: refusing sentences are a quarter of it, or half with those that go with a refusal."""
     if _TRIGGERS.isdisjoint(text.lower().split()):
         return False
-    sentences = [s for s in _SENTENCES.split(text.strip()) if s]
-    for i, s in enumerate(sentences[:3]):
+    no = around = whole = 0
+    for s in _SENTENCES.split(text.strip()):
+        whole += len(s)
         if REFUSAL.search(s) and not _ARGUES.search(s):
-            rest = sum(len(x) for x in sentences[i + 1 :])
-            return rest <= 200
-    return False
+            no += len(s)
+        elif _AROUND.search(s):
+            around += len(s)
+    return no > 0 and (no >= REFUSING_SHARE * whole or no + around >= AROUND_SHARE * whole)
 
 
 # ---- judging ----------------------------------------------------------------------------------
 
 
-def judge(prompt: str | None, response: str | None, cut: bool, at_limit: bool, endings: frozenset[str]) -> str | None:
-    """The defect of one pair. `cut`: a neighbour continues the text; `at_limit`: its length is a spike."""
+def decide(prompt: str | None, response: str | None, cut: bool, at_limit: bool, endings: frozenset[str]) -> tuple[str | None, str | None]:
+    """(defect, step) of one pair. `cut`: a neighbour continues the text within a sentence; `at_limit`: its length is a spike.
+
+    At a spike only a final stop or a shared last line is a complete ending.
+    """
     if is_blank(response):
-        return "empty"
+        return "empty", "rule"
     prompt = prompt or ""
     if copies_prompt(prompt, response):
-        return "copied"
-    if len(response) <= 600 and refuses(response):
-        return "refusal"
+        return "copied", "rule"
+    if refuses(response):
+        return "refusal", "rule"
     if wrong_language(prompt, response):
-        return "language"
+        return "language", "rule"
+    if cut:
+        return "truncated", "prefix"
     open_end = unfinished(response, endings)
-    return "truncated" if open_end == 2 or open_end == 1 and (cut or at_limit) else None
+    if at_limit and (open_end or not _STOP.search(response.rstrip()) and response.rstrip().rsplit("\n", 1)[-1].strip() not in endings):
+        return "truncated", "length"
+    return ("truncated", "ending") if open_end == 2 else (None, None)
+
+
+def judge(prompt: str | None, response: str | None, cut: bool, at_limit: bool, endings: frozenset[str]) -> str | None:
+    return decide(prompt, response, cut, at_limit, endings)[0]
+
+
+#: What may stand at the end of a shortened text instead of what was there, and the characters two texts must share.
+_MARK = re.compile(r"[\s.…\-–—]{0,4}\Z")
+LEAST_SHARED = 24
+
+
+def common_prefix(a: str, b: str) -> int:
+    """Length of the longest common prefix, by bisection."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
 
+def shortens(a: str, b: str, least: int = LEAST_SHARED) -> bool:
+    """`a` is `b` cut within a sentence, perhaps with an ellipsis or a dash at the cut.
 
-_PREFIX = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("response", T.StringType()), T.StructField("cut", T.BooleanType())])
+    The common prefix is all of `a` but such a mark, and what follows in `b` goes on: in the same word, or on
+    the same line after no final stop, or in lower case after one (an abbreviation). Texts cut where a
+    sentence or a line of `b` ends are complete as they stand.
+    """
+    n = common_prefix(a, b)
+    if n < least or len(b) - n <= len(a) - n or not _MARK.match(a[n:]):
+        return False
+    rest, kept = b[n:], a[:n].rstrip()
+    if not re.search(r"\w", rest):
+        return False
+    if a[n - 1].isalnum() and rest[0].isalnum():
+        return True
+    ahead = rest.lstrip(" \t")
+    if ahead[:1] in "\r\n":
+        return False
+    return not _STOP.search(kept) or ahead[:1].islower()
 
 
-def shortened(responses: DataFrame) -> DataFrame:
-    """(response): distinct texts that another text continues, by comparing neighbours in sorted order.
+_PREFIX = T.StructType([T.StructField("partition", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("response", T.StringType())])
 
-    Texts are range-partitioned and sorted; within a partition each is compared with the next one.
-    The last text of a partition is compared with the first of the next partition that has any: one
-    row per partition on either side. Nulls are left out; copies are collapsed before the shuffle.
+
+def shortened(responses: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """(response): distinct texts that another text continues within a sentence (`shortens`), by comparing sorted neighbours.
+
+    No other text shares a longer prefix with a text than one of its two neighbours. Texts are
+    range-partitioned and sorted; the last text of a partition is compared with the first of the next
+    partition that has any: two rows per partition. Nulls are left out; copies are collapsed before the shuffle.
     """
     texts = responses.filter(F.length("response") > 0).groupBy("response").agg(F.lit(1).alias("_n")).select("response")
     ordered = texts.repartitionByRange("response").sortWithinPartitions("response").withColumn("partition", F.spark_partition_id())
 
     def run(batches):
-        held = None
+        held, part = None, 0
         for b in batches:
-            rows, part = b["response"].tolist(), int(b["partition"].iloc[0]) if len(b) else 0
+            rows, part = b["response"].tolist(), int(b["partition"].iloc[0]) if len(b) else part
             out = []
             if held is None and rows:
-                out.append((part, "first", rows[0], False))
+                out.append((part, "first", rows[0]))
             for t in rows:
-                if held is not None and t.startswith(held) and t != held:
-                    out.append((part, "inner", held, True))
+                if held is not None:
+                    out += [(part, "inner", x) for x, y in ((held, t), (t, held)) if shortens(x, y, least)]
                 held = t
             if out:
                 yield pd.DataFrame(out, columns=_PREFIX.names)
         if held is not None:
-            yield pd.DataFrame([(part, "last", held, False)], columns=_PREFIX.names)
+            yield pd.DataFrame([(part, "last", held)], columns=_PREFIX.names)
+
+    @F.pandas_udf(T.BooleanType())
+    def cut(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([x is not None and y is not None and shortens(x, y, least) for x, y in zip(a, b)], dtype=bool)
 
     marks = materialize(ordered.mapInPandas(run, _PREFIX), "neighbours")
     inner = marks.filter("at = 'inner'").select("response")
     ends = marks.filter("at <> 'inner'").groupBy("partition").agg(F.max(F.when(F.col("at") == "first", F.col("response"))).alias("first"), F.max(F.when(F.col("at") == "last", F.col("response"))).alias("last"))
-    following = F.lead("first").over(Window.partitionBy(F.lit(0)).orderBy("partition"))  # one row per partition
-    crossing = ends.select("last", following.alias("next")).filter(F.col("next").startswith(F.col("last")))
-    return inner.union(crossing.select(F.col("last").alias("response")))
+    order = Window.partitionBy(F.lit(0)).orderBy("partition")  # one row per partition
+    met = ends.select("first", "last", F.lead("first").over(order).alias("next"), F.lag("last").over(order).alias("before"))
+    both = met.select(F.col("last").alias("a"), F.col("next").alias("b")).union(met.select("first", "before"))
+    return inner.union(both.filter(cut("a", "b")).select(F.col("a").alias("response"))).distinct()
 
 
-#: A length is a spike if this many times as many unfinished responses have it as the median of its neighbours.
+#: A length is a spike if this many times as many responses have it as the median of its neighbours.
 SPIKE_FACTOR, SPIKE_ROWS, SPIKE_REACH = 8, 20, 10
 #: A last line that at least this share of the distinct unfinished responses have is a complete ending.
 ENDING_SHARE, ENDING_ROWS = 0.004, 3
 
 
+def _spikes(lengths: DataFrame) -> frozenset[int]:
+    """Lengths (`n`) that stand out from their neighbours. The histogram has one row per length and is reduced before it
+    is collected: each spike stands for SPIKE_ROWS texts and SPIKE_FACTOR times its neighbours, so there are far fewer than lengths."""
+    counts = lengths.groupBy("n").agg(F.count("*").alias("rows"))
+    high = counts.filter(F.col("rows") >= SPIKE_ROWS)
+    near = high.select("n", "rows", F.explode(F.sequence(F.col("n") - SPIKE_REACH, F.col("n") + SPIKE_REACH)).alias("m")).filter("m <> n")
+    around = near.join(counts.select(F.col("n").alias("m"), F.col("rows").alias("other")), "m", "left").groupBy("n", "rows").agg(F.percentile(F.coalesce("other", F.lit(0)), F.lit(0.5)).alias("mid"))
+    return frozenset(r.n for r in around.filter(F.col("rows") >= SPIKE_FACTOR * F.greatest(F.col("mid"), F.lit(1))).collect())
+
+
 def ending_statistics(examples: DataFrame) -> tuple[frozenset[str], frozenset[int]]:
-    """(complete endings, spike lengths) over the distinct responses without a final stop: copies count once.
+    """(complete endings, spike lengths) over distinct responses: copies count once.
 
-    At most 1 / ENDING_SHARE endings reach their share, so the list is bounded; the histogram has one
-    row per length and is reduced to its spikes before it is collected (each stands for SPIKE_ROWS texts
-    and for SPIKE_FACTOR times its neighbours, so there are far fewer than lengths).
+    Lengths are those of all responses without a final stop or closing mark; at most 1 / ENDING_SHARE
+    endings reach their share, so the list is bounded.
     """
     body = F.regexp_replace("assistant_response", r"\s+\z", "")
-    open_ = examples.filter(F.length("assistant_response") > 40).select(body.alias("b")).filter(~F.substring("b", -1, 1).isin(*".!?\"”»])}>")).distinct()
-    open_ = open_.select(F.substring_index("b", "\n", -1).alias("line"), F.length("b").alias("n"))
-    counts = open_.groupBy("n").agg(F.count("*").alias("rows"))
-    total = counts.agg(F.sum("rows")).first()[0] or 0
+    # a text is told from others by its hash here, so that only hashes, lengths and last lines are shuffled
+    open_ = examples.filter(F.length("assistant_response") > 40).select(body.alias("b")).filter(~F.substring("b", -1, 1).isin(*".!?"))
+    last = F.substring_index("b", "\n", -1)
+    open_ = open_.groupBy(F.xxhash64("b").alias("h"), F.length("b").alias("n"), F.when(F.length(last) <= 80, last).alias("line"), F.substring("b", -1, 1).isin(*"\"”»])}>").alias("closed")).agg(F.lit(1).alias("_n"))
+    open_ = materialize(open_.select("n", "line", "closed"), "open-endings")
+    total = open_.filter("not closed").count()
     least = max(ENDING_ROWS, ENDING_SHARE * total)
-    lines = open_.filter(F.length("line") <= 80).groupBy("line").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
+    lines = open_.filter("line is not null and not closed").groupBy("line").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least)
     endings = frozenset(r.line.strip() for r in lines.collect() if not R.has_slot(r.line) and not _BARE.match(r.line.strip()) and r.line.strip().rsplit(" ", 1)[-1].lower() not in _OPEN_WORDS)
-    high = counts.filter(F.col("rows") >= SPIKE_ROWS)
-    near = high.select("n", "rows", F.explode(F.sequence(F.col("n") - SPIKE_REACH, F.col("n") + SPIKE_REACH)).alias("m")).filter("m <> n")
-    around = near.join(counts.select(F.col("n").alias("m"), F.col("rows").alias("other")), "m", "left").groupBy("n", "rows").agg(F.percentile(F.coalesce("other", F.lit(0)), F.lit(0.5)).alias("mid"))
-    spikes = frozenset(r.n for r in around.filter(F.col("rows") >= SPIKE_FACTOR * F.greatest(F.col("mid"), F.lit(1))).collect())
-    return endings, spikes
+    return endings, _spikes(open_)
 
 
-_OUT = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("defect", T.StringType())])
+_OUT = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("defect", T.StringType()), T.StructField("step", T.StringType())])
 
 
 def defects(examples: DataFrame) -> DataFrame:
-    """(row_id, defect) of every row whose response is no proper answer and holds no residue (problem 5).
+    """(row_id, defect, step) of every row whose response is no proper answer and holds no residue (problem 5).
 
+    `step` is what decided: "prefix" (a neighbour in sorted order), "length" (a spike), "ending" or "rule".
     Null, blank and label-only responses are `empty`; a null prompt can be neither copied nor answered
     in another language. Repeated rows are judged alike. An empty table gives no rows.
     """
@@ -274,12 +353,10 @@ def defects(examples: DataFrame) -> DataFrame:
     tables = spark.sparkContext.broadcast(R.train_tables(*R.prose_sample(examples)))
     rows = examples.select("row_id", "user_prompt", "assistant_response")
     endings, spikes = ending_statistics(rows)
-    short = shortened(rows.select(F.regexp_replace("assistant_response", r"\s+\z", "").alias("response"))).select(F.xxhash64("response").alias("_h"), F.md5(F.col("response").cast("binary")).alias("_m")).distinct()
     body = F.regexp_replace("assistant_response", r"\s+\z", "")
-    # only rows without a final stop can be shortened versions
-    open_ = rows.withColumn("_open", ~F.substring(body, -1, 1).isin(*".!?"))
-    open_ = open_.withColumn("_k", F.when(F.col("_open"), F.xxhash64(body))).withColumn("_km", F.when(F.col("_open"), F.md5(body.cast("binary"))))
-    marked = open_.join(broadcast_if_small(short), (F.col("_k") == F.col("_h")) & (F.col("_km") == F.col("_m")), "left").select("row_id", "user_prompt", "assistant_response", F.col("_h").isNotNull().alias("cut"))
+    short = shortened(rows.select(body.alias("response"))).select(F.xxhash64("response").alias("_h"), F.md5(F.col("response").cast("binary")).alias("_m")).distinct()
+    keyed = rows.withColumn("_k", F.xxhash64(body)).withColumn("_km", F.md5(body.cast("binary")))
+    marked = keyed.join(broadcast_if_small(short), (F.col("_k") == F.col("_h")) & (F.col("_km") == F.col("_m")), "left").select("row_id", "user_prompt", "assistant_response", F.col("_h").isNotNull().alias("cut"))
 
     def run(batches):
         for b in batches:
@@ -288,13 +365,13 @@ def defects(examples: DataFrame) -> DataFrame:
             out = []
             for i, p, t, c, (k, _) in zip(b["row_id"], b["user_prompt"], texts, b["cut"], held):
                 if k is None:
-                    d = judge(p, t, bool(c), t is not None and len(t.rstrip()) in spikes, endings)
+                    d, step = decide(p, t, bool(c), t is not None and len(t.rstrip()) in spikes, endings)
                     if d:
-                        out.append((i, d))
-            yield pd.DataFrame(out, columns=["row_id", "defect"])
+                        out.append((i, d, step))
+            yield pd.DataFrame(out, columns=_OUT.names)
 
     return marked.mapInPandas(run, _OUT)
 
 
 def defects_found(examples: DataFrame) -> DataFrame:
-    return defects(examples).distinct()
+    return defects(examples).select("row_id", "defect").distinct()

@@ -49,6 +49,10 @@ def _p3_by_status(spark: SparkSession, d: str) -> DataFrame:
     return found.join(rows.select("row_id", status), "row_id").groupBy("defect", "review_status").agg(F.countDistinct("row_id").alias("n_rows"))
 
 
+def _p3_by_step(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(load(spark, d, "sft_examples")).groupBy("defect", "step").agg(F.count("*").alias("n_rows"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise_found(load(spark, d, "sft_examples"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "p2_report": _p2_report,
     "p3_found": _p3_found,
     "p3_by_status": _p3_by_status,
+    "p3_by_step": _p3_by_step,
     "p4_found": _p4_found,
     "p4_repaired": _p4_repaired,
     "p5_found": _p5_found,

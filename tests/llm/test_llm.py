@@ -82,10 +82,58 @@ def test_shortened_brute_force(spark):
     rng = random.Random(4)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(120)}
     df = spark.createDataFrame([(t,) for t in texts] * 2 + [(None,), ("",)], "response string")
-    got = {r.response for r in pairs.shortened(df.repartition(5)).collect()}
+    got = {r.response for r in pairs.shortened(df.repartition(5), 1).collect()}
     assert got == {t for t in texts if any(u != t and u.startswith(t) for u in texts)}
 
 
+def test_common_prefix_and_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        n = pairs.common_prefix(a, b)
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+        row = [0] * (len(a) + 1)
+        for w in b:
+            row = _lcs_row(row, a, w)
+        assert pairs.common_subsequence(list(a), list(b)) == row[-1]
+
+
+def _lcs_row(row, a, w):
+    out = [0]
+    for j, v in enumerate(a, 1):
+        out.append(row[j - 1] + 1 if w == v else max(row[j], out[-1]))
+    return out
+
+
+def test_steps_decide(spark):
+    """Planted cuts: what only the sorted neighbours or only the lengths can show is found by them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    full = [" ".join(word() for _ in range(30)).capitalize() + f" as Prof. x{i} said (see p. {i}) of the mind. Then it ends." for i in range(60)]
+    rows, want = [], {}
+    for i, t in enumerate(full):
+        rows.append((i, "What of minds?", t, None))
+        cut = {0: t[: t.index("Prof.") + 5], 1: t[: t.index(")") + 1], 2: t[: t.index(" Then")]}[i % 3]  # an abbreviation, a bracket, a sentence end
+        rows.append((100 + i, "What of minds?", cut, None))
+        if i % 3 < 2:
+            want[100 + i] = ("truncated", "prefix")
+    for i in range(60):  # texts of one length that end in a bracket, without their full versions
+        head = f"Of mind {i} " + " ".join(word() for _ in range(60))
+        rows.append((200 + i, "What of minds?", head[:240] + " (as it)", None))
+        want[200 + i] = ("truncated", "length")
+    made = spark.createDataFrame(rows, "row_id bigint, user_prompt string, assistant_response string, source_passage string")
+    got = {r.row_id: (r.defect, r.step) for r in pairs.defects(made).collect()}
+    assert got == want
+
+
+def test_long_refusal():
+    reason = " My guidelines do not permit me to help with requests on such topics, and I am sorry for that." * 20
+    assert pairs.refuses("I cannot answer this question." + reason) and pairs.refuses("Thank you for asking. " * 40 + "I must decline to answer this request." + reason)
+    assert not pairs.refuses("The mind is one, and the body is many; from this it follows that the doubt is real. " * 20 + "I will not say that more is shown.")
+    prompt = " ".join(f"w{i}" for i in range(30_000))
+    assert pairs.copies_prompt(prompt, prompt[:-500])
+
+
 def test_ending_statistics_copies(spark):
     cut = "The reply is long enough to be an answer, and then it says that the proof of the"
     copied = "A long answer that comes to the point\nand then stops within what it has said about minds"
