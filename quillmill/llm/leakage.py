@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.llm import bits
 from quillmill.llm import tokens as K
 from quillmill.session import broadcast_if_small, materialize
 
@@ -26,9 +27,6 @@ MATCH, EDIT = 2, -4
 LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE = 0.4, 10, 1 / 6
 #: Seeds of one stretch lie within so many words of a diagonal, and a pair has at least so many seeds.
 DRIFT, LEAST_SEEDS = 8, 2
-#: Bits of the filter that is sent to all executors: 128 for each seed, up to 16 MB; beyond, more n-grams pass it and meet no seed in the join.
-FILTER_BITS = 27
-_BUCKET_BITS = 15  # of the JVM's bitmap aggregate
 
 
 def align(item: np.ndarray, region: np.ndarray, low: int | None = None, width: int | None = None) -> tuple[int, list[tuple[int, int]]]:
@@ -214,35 +212,19 @@ def item_seeds(words: DataFrame) -> DataFrame:
     return words.mapInPandas(run, "gram bigint, item_id bigint, at int, n int")
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Two bits per hash of a seed: at most 2^FILTER_BITS in all, whatever the number of seeds."""
-    distinct = seeds.select("gram").distinct()
-    bits = min(FILTER_BITS, max(16, int(128 * distinct.count()).bit_length()))
-    slots = [c.bitwiseAND((1 << bits) - 1) for c in (F.col("gram"), F.shiftrightunsigned("gram", 32))]
-    # bit positions of the aggregate count from 1
-    per = distinct.select(F.explode(F.array(*[c + 1 for c in slots])).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(1 << bits >> 3, dtype=np.uint8)
-    size = 1 << _BUCKET_BITS >> 3
-    for r in per.toLocalIterator():
-        at = (r.bucket - 1) * size
-        out[at : at + size] = np.frombuffer(bytes(r.bits), dtype=np.uint8)[: len(out) - at]
-    return out
-
-
 _HITS = "key bigint, doc_id bigint, hits array<struct<gram:bigint,at:int>>, segments array<struct<start:int,words:array<bigint>>>"
 
 
-def document_hits(documents: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
+def document_hits(documents: DataFrame, filter_: np.ndarray, longest: int) -> DataFrame:
     """(key, doc_id, hits, segments): n-grams of each document that pass the filter, with the words around them.
 
     Only n-grams with another one no farther off than an item can reach are kept, as a pair needs two seeds.
     """
     reach = longest + longest // 6 + 2 * DRIFT
-    sent = documents.sparkSession.sparkContext.broadcast(bits)
+    sent = documents.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches):
         table = sent.value
-        mask = np.uint64(len(table) * 8 - 1)
         for b in batches:
             texts, out = b["text"].tolist(), []
             for lo, hi in K.blocks(texts):
@@ -250,8 +232,7 @@ def document_hits(documents: DataFrame, bits: np.ndarray, longest: int) -> DataF
                 g = K.grams(h, SEED_WORDS)
                 at = np.arange(len(g))
                 for shift in (0, 32):
-                    slot = (g[at] >> np.uint64(shift)) & mask
-                    at = at[np.flatnonzero(table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)]
+                    at = at[bits.found(table, g[at] >> np.uint64(shift))]
                 doc = np.searchsorted(first, at, side="right") - 1
                 inside = at + SEED_WORDS <= first[doc + 1]
                 at, doc = at[inside], doc[inside]
@@ -313,7 +294,8 @@ def leaks(documents: DataFrame, items: DataFrame, least_share: float = LEAK_SHAR
     words = materialize(item_words(items), "items")
     seeds = materialize(item_seeds(words), "seeds")
     longest, n_items = words.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-    hits = materialize(document_hits(documents, _filter(seeds), longest), "hits")
+    filter_ = bits.build(seeds.select("gram").distinct(), F.col("gram"), F.shiftrightunsigned("gram", 32))
+    hits = materialize(document_hits(documents, filter_, longest), "hits")
     used = materialize(used_seeds(seeds, hits, documents.count(), n_items), "used")
     single = hits.select("key", "hits").dropDuplicates(["key"]).select("key", F.inline("hits")).withColumnRenamed("at", "place")
     met = single.join(broadcast_if_small(used), "gram").select("key", "item_id", "least", "at", (F.col("place") - F.col("at")).alias("diagonal"))

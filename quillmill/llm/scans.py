@@ -1,11 +1,12 @@
 """Problem 4: repair text from scanned pages.
 
 Word counts over all distinct passages give the vocabulary. Rare words are suspects: an inverted join on
-character q-grams retrieves frequent words that resemble them, boosted trees trained on synthetic
-damage rank these, and a candidate that known confusions of characters explain is the correction.
-Lines are judged in pairs with their neighbours by boosted trees trained on passages that were
-wrapped, hyphenated and furnished here: running headers and page numbers are taken out, then words
-cut at line ends are joined, then misread words are replaced.
+their rarest character q-grams retrieves frequent words that resemble them, and boosted trees trained on
+synthetic damage rank these. Confusions of characters are learned from the candidates, on top of a
+list of usual ones; a candidate that they explain is the correction. Lines are judged in pairs with
+their neighbours by boosted trees trained on passages that were wrapped, hyphenated and furnished
+here: running headers and page numbers are taken out, then words cut at line ends are joined (compounds
+broken at their own hyphen are not), then misread words are replaced.
 """
 
 from __future__ import annotations
@@ -21,18 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.llm import bits
 from quillmill.llm.ml import GradientBoosting
 from quillmill.session import broadcast_if_small, materialize
 
 KINDS = ("hyphenation", "misread", "header", "page_number")
-#: Rows of clean passages, lowest row hash first, on which the line classifiers are trained, and words the ranking is trained on.
-LINE_ROWS, RANK_WORDS = 600, 400
+#: Clean passages, lowest hash first, on which the line classifiers are trained, words the ranking is trained on, and the length of such a passage.
+LINE_ROWS, RANK_WORDS, SAMPLE_CHARS = 600, 400, 20_000
 #: A word of at least this share of all words is known; at most 1 / KNOWN_SHARE words are.
 KNOWN_SHARE, KNOWN_ROWS = 1e-6, 3
 #: Words of at least this share are no suspects; a correction is at least so many times as frequent as the suspect.
 SAFE_SHARE, TIMES = 1e-4, 25
-#: Rows up to which the correction table is broadcast; beyond, it is joined to the words of each passage.
-BROADCAST_CORRECTIONS = 500_000
+#: Rarest q-grams of a suspect that are looked up among those of the known words. A confusion changes three at most, so two
+#: confusions leave one of seven; q-grams that no known word has do not count.
+PREFIX_GRAMS = 7
+#: A pair of character strings is a confusion if it alone tells so many suspects from frequent words, in so many different words, mostly inside them.
+LEARN_PAIRS, LEARN_WORDS, LEARN_INSIDE = 12, 8, 0.6
 
 #: What scanning makes of characters (misread form, true form).
 CONFUSIONS = [
@@ -96,7 +101,7 @@ def word_counts(passages: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=200_000)
-def _edits(bad: str, good: str) -> tuple[int, int]:
+def _edits(bad: str, good: str, learned: frozenset[tuple[str, str]] = frozenset()) -> tuple[int, int]:
     """(confusions, other edits) of the cheapest way from the true to the misread form."""
     n, m = len(bad), len(good)
     far = 99
@@ -119,6 +124,8 @@ def _edits(bad: str, good: str) -> tuple[int, int]:
                 for g in _BY_BAD.get(bad[i : i + size], ()) if i + size <= n else ():
                     if good.startswith(g, j):
                         steps.append((size, len(g), 1, 0))
+                if learned:
+                    steps += [(len(b), len(g), 1, 0) for b, g in learned if bad.startswith(b, i) and good.startswith(g, j)]
             for di, dj, dc, do in steps:
                 new = (c + dc, o + do)
                 if weight(new) < weight(best[i + di][j + dj]):
@@ -131,8 +138,8 @@ def _grams(word: str) -> list[str]:
     return sorted({w[i : i + 2] for i in range(len(w) - 1)})
 
 
-def _rank_features(bad: str, good: str, n_bad: float, n_good: float, shared: float) -> list[float]:
-    confused, other = _edits(bad, good)
+def _rank_features(bad: str, good: str, n_bad: float, n_good: float, shared: float, learned: frozenset[tuple[str, str]] = frozenset()) -> list[float]:
+    confused, other = _edits(bad, good, learned)
     return [confused, other, abs(len(bad) - len(good)), len(good), shared, np.log1p(n_good), np.log1p(n_good) - np.log1p(n_bad), bad[:1] == good[:1], bad[-1:] == good[-1:], sum(not ch.isalpha() for ch in bad)]
 
 
@@ -163,31 +170,81 @@ def train_ranking(words: list[tuple[str, int]], seed: int = 11) -> GradientBoost
     return model.fit(np.array(x, float).reshape(-1, 10), np.array(y, float), np.array(groups, int))
 
 
+def _with_grams(words: DataFrame, name: str) -> DataFrame:
+    marked = f"concat('^', {name}, '$')"
+    return words.withColumn(f"g_{name}", F.expr(f"array_distinct(transform(sequence(1, length({marked}) - 1), i -> substring({marked}, i, 2)))"))
+
+
+def candidates(suspects: DataFrame, known: DataFrame, prefix: int = PREFIX_GRAMS, least: float = 0.25) -> DataFrame:
+    """(bad, good, n_bad, n_good, shared): suspects and much more frequent words of about their length that share q-grams.
+
+    Only the rarest q-grams of a suspect meet those of the known words, with the length in the key; how many q-grams
+    of the whole words are shared is counted inside the row.
+    """
+    good = _with_grams(known.select(F.col("word").alias("good"), F.col("n").alias("n_good")), "good")
+    bad = _with_grams(suspects.select(F.col("word").alias("bad"), F.col("n").alias("n_bad")), "bad")
+    index = good.select("good", "n_good", "g_good", F.explode("g_good").alias("gram"), F.length("good").alias("len"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("f"))  # at most one row per pair of characters
+    met = bad.select("bad", F.explode("g_bad").alias("gram")).join(broadcast_if_small(frequency), "gram")
+    rare = met.groupBy("bad").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "gram"))), 1, prefix).alias("_rare"))
+    looked = bad.join(rare, "bad").select("bad", "n_bad", "g_bad", F.explode("_rare.gram").alias("gram"))
+    looked = looked.withColumn("len", F.explode(F.sequence(F.length("bad") - 3, F.length("bad") + 3)))
+    enough = F.col("n_good") >= TIMES * F.col("n_bad") / F.when(F.col("bad").rlike(r"[^\p{L}'\-]"), 20).otherwise(1)
+    shared = 2 * F.size(F.array_intersect("g_bad", "g_good")) / (F.size("g_bad") + F.size("g_good"))
+    pairs = looked.join(index, ["gram", "len"]).filter(enough & (F.col("bad") != F.col("good"))).withColumn("shared", shared).filter(F.col("shared") >= least)
+    return pairs.groupBy("bad", "good").agg(*[F.first(c).alias(c) for c in ("n_bad", "n_good", "shared")])
+
+
+def difference(bad: str, good: str) -> tuple[str, str, bool] | None:
+    """(misread, true, inside): the one place where two words differ, at most three characters on either side."""
+    n = 0
+    while n < min(len(bad), len(good)) and bad[n] == good[n]:
+        n += 1
+    m = 0
+    while m < min(len(bad), len(good)) - n and bad[-1 - m] == good[-1 - m]:
+        m += 1
+    x, y = bad[n : len(bad) - m], good[n : len(good) - m]
+    return (x, y, n > 0 and m > 0) if 0 < len(x) <= 3 and 0 < len(y) <= 3 else None
+
+
+def learned_confusions(pairs: DataFrame) -> frozenset[tuple[str, str]]:
+    """Confusions that the candidates show again and again: (misread, true) strings that alone tell many suspects from
+    frequent words. At most one per LEARN_PAIRS candidates, and of three characters a side."""
+
+    def run(batches):
+        for p in batches:
+            rows = [(*d, g) for b, g in zip(p["bad"], p["good"]) if (d := difference(b, g))]
+            yield pd.DataFrame(rows, columns=["x", "y", "inside", "good"])
+
+    seen = pairs.select("bad", "good").mapInPandas(run, "x string, y string, inside boolean, good string")
+    often = seen.groupBy("x", "y").agg(F.count("*").alias("n"), F.countDistinct("good").alias("words"), F.avg(F.col("inside").cast("double")).alias("share"))
+    rows = often.filter((F.col("n") >= LEARN_PAIRS) & (F.col("words") >= LEARN_WORDS) & (F.col("share") >= LEARN_INSIDE)).collect()
+    return frozenset((r.x, r.y) for r in rows) - frozenset(CONFUSIONS)
+
+
 def corrections(counts: DataFrame) -> DataFrame:
-    """(bad, good): misread words and their corrections, from q-gram candidates and the ranking."""
+    """(bad, good): misread words and their corrections, from q-gram candidates, the confusions learned from them and the ranking."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(KNOWN_ROWS, KNOWN_SHARE * total)
     known = counts.filter((F.col("n") >= least) & F.col("word").rlike(r"^[\p{Ll}][\p{L}'\-]*$"))
     common = known.orderBy(F.desc("n"), "word").filter(F.length("word") >= 4).limit(RANK_WORDS).collect()
     model = train_ranking([(r.word, r.n) for r in common])
     suspects = counts.filter((F.col("n") < max(SAFE_SHARE * total, 2 * TIMES)) & (F.length("word") >= 2) & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[ivxlc]+$|^\d+$"))
-    gram = F.expr("array_distinct(transform(sequence(1, length(concat('^', word, '$')) - 1), i -> substring(concat('^', word, '$'), i, 2)))")
-    a = suspects.select(F.col("word").alias("bad"), F.col("n").alias("n_bad"), F.size(gram).alias("g_bad"), F.explode(gram).alias("gram"))
-    b = known.select(F.col("word").alias("good"), F.col("n").alias("n_good"), F.size(gram).alias("g_good"), F.explode(gram).alias("gram"))
-    near = (F.col("n_good") >= TIMES * F.col("n_bad") / F.when(F.col("bad").rlike(r"[^\p{L}'\-]"), 20).otherwise(1)) & (F.abs(F.length("good") - F.length("bad")) <= 3)
-    pairs = a.join(b, "gram").filter(near & (F.col("bad") != F.col("good"))).groupBy("bad", "n_bad", "good", "n_good").agg((2 * F.count("*") / (F.first("g_bad") + F.first("g_good"))).alias("shared")).filter("shared >= 0.25")
+    pairs = materialize(candidates(suspects, known), "candidates")
+    learned = learned_confusions(pairs)
 
     def run(batches):
         for p in batches:
             if not len(p):
                 continue
-            x = np.array([_rank_features(*r) for r in zip(p["bad"], p["good"], p["n_bad"], p["n_good"], p["shared"])], float)
+            x = np.array([_rank_features(*r, learned) for r in zip(p["bad"], p["good"], p["n_bad"], p["n_good"], p["shared"])], float)
             keep = (x[:, 1] == 0) & (x[:, 0] >= 1)
             out = p.loc[keep, ["bad", "good"]].assign(score=model.predict(x[keep])) if keep.any() else p.iloc[:0][["bad", "good"]].assign(score=0.0)
             yield out
 
     schema = T.StructType([T.StructField("bad", T.StringType()), T.StructField("good", T.StringType()), T.StructField("score", T.DoubleType())])
-    ranked = pairs.select("bad", "good", "n_bad", "n_good", "shared").mapInPandas(run, schema)
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to do for each
+    ranked = pairs.select("bad", "good", "n_bad", "n_good", "shared").repartition(parts, "bad").mapInPandas(run, schema)
     best = materialize(ranked.groupBy("bad").agg(F.max_by("good", F.struct("score", "good")).alias("good")), "ranked")
     # a correction may be a frequent misread form itself: follow it to the word it stands for
     step = best.select(F.col("bad").alias("_b"), F.col("good").alias("_g"))
@@ -309,14 +366,65 @@ def train_lines(texts: list[str]) -> GradientBoosting:
     return GradientBoosting(trees=60, depth=4, rate=0.15, loss="logistic").fit(x, (y > 0).astype(float))
 
 
+def join_features(left: str, right: str, mark: str, known: dict[str, int]) -> list[float]:
+    """Of a line's last word without its hyphen, the next line's first word, and the hyphen."""
+    a, b = bare(left), bare(right)
+    whole, compound = known.get(a + b, 0), known.get(f"{a}-{b}", 0)
+    tail, head = known.get(a.rsplit("-", 1)[-1], 0), known.get(b.split("-", 1)[0], 0)
+    return [whole > 0, compound > 0, tail > 0, head > 0, tail > 0 and head > 0, mark == "-", np.log1p(whole), np.log1p(compound), np.log1p(min(tail, head)), len(a), len(b), "-" in a or "-" in b]
+
+
+_JOIN_FEATURES = 12
+
+
+def synthetic_joins(texts: list[str], known: dict[str, int], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(features, label 1: one word) of words of clean passages cut at random and of compounds broken at their own hyphen.
+
+    Part of the cut words count as unknown, as most words of a large corpus are rare; compounds are those of the
+    passages and pairs of neighbouring words.
+    """
+    rng = random.Random(seed)
+    x, y = [], []
+    for t in texts:
+        words = [w for w in map(bare, t.split()) if w]
+        for k, w in enumerate(words):
+            if w.isalpha() and len(w) >= 5 and rng.random() < 0.3:
+                at = rng.randint(2, len(w) - 2)
+                seen = known if rng.random() < 0.7 else {v: known[v] for v in (w[:at], w[at:]) if v in known}
+                x.append(join_features(w[:at], w[at:], rng.choice("---" + HYPHENS[1:]), seen))
+                y.append(1)
+            pair = w.split("-", 1) if "-" in w else [w, words[k + 1]] if k + 1 < len(words) and rng.random() < 0.15 else None
+            if pair and all(p and p in known for p in pair):
+                a, b = pair
+                seen = {v: known[v] for v in pair} | ({f"{a}-{b}": known.get(f"{a}-{b}", 3)} if rng.random() < 0.5 else {})
+                x.append(join_features(a, b, "-", seen))
+                y.append(0)
+    return np.array(x, float).reshape(-1, _JOIN_FEATURES), np.array(y, int)
+
+
+def train_joins(texts: list[str], known: dict[str, int]) -> GradientBoosting:
+    """Log-odds that the two halves at a line end are one word."""
+    x, y = synthetic_joins(texts, known)
+    if not len(x):  # nothing to learn from: a word before a hyphen goes on in the next line
+        x, y = np.zeros((1, _JOIN_FEATURES)), np.ones(1)
+    return GradientBoosting(trees=40, depth=4, rate=0.2, loss="logistic").fit(x, y.astype(float))
+
+
 # ---- repair -----------------------------------------------------------------------------------
 
 
+def _ends_cut(line: str) -> bool:
+    """A letter and a hyphen end the line."""
+    return len(line) > 1 and line[-1] in HYPHENS and line[-2].isalpha()
+
+
 class Repairer:
     """Repairs passages with a vocabulary, a line classifier and corrections (bad -> good)."""
 
-    def __init__(self, known: frozenset[str], lines: GradientBoosting):
-        self.known, self.lines, self.fine, self.wrong = known, lines, set(), {}
+    def __init__(self, known: dict[str, int], lines: GradientBoosting, joins: GradientBoosting, misread: np.ndarray | None = None):
+        self.known, self.lines, self.joins, self.misread = known, lines, joins, misread
+        self.looked: dict[str, str | None] = {}
+        self.cuts: dict[tuple[str, str, str], bool] = {}
 
     def _furniture(self, split: list[list[str]]) -> list[list[int]]:
         x, where = [], []
@@ -342,20 +450,38 @@ class Repairer:
 
     def _is_cut(self, left: str, right: str, mark: str) -> bool:
         """Whether two halves at a line end are one word; a compound broken at its own hyphen is not."""
-        a, b = bare(left), bare(right)
-        if a + b in self.known:
-            return True
-        if mark == "-":
-            whole = f"{a}-{b}"
-            if whole in self.known or a.rsplit("-", 1)[-1] in self.known and b.split("-", 1)[0] in self.known:
-                return False
-        return True
-
-    def repair(self, texts: list[str | None], corrections: dict[str, str], per_row: list[dict[str, str] | None] | None = None) -> list[tuple[str | None, list[str]]]:
+        if (left, right, mark) not in self.cuts:
+            self._judge_cuts([(left, right, mark)])
+        return self.cuts[left, right, mark]
+
+    def _judge_cuts(self, places: list[tuple[str, str, str]]) -> None:
+        """Judge many places at once."""
+        if len(self.cuts) > 500_000:
+            self.cuts.clear()
+        new = [p for p in dict.fromkeys(places) if p not in self.cuts]
+        if new:
+            scores = self.joins.predict(np.array([join_features(*p, self.known) for p in new], float))
+            self.cuts.update(zip(new, (scores > 0).tolist()))
+
+    def prepare(self, texts: list[str | None]) -> list[tuple[str | None, set[str], list[str]]]:
+        """(text, kinds, words) of each passage: all but the correction of words, and the words that may be misread."""
         split = [(t or "").replace("\r\n", "\n").replace("\r", "\n").split("\n") for t in texts]
-        out = []
-        for k, (t, lines, drop) in enumerate(zip(texts, split, self._furniture(split))):
+        out, furniture = [], self._furniture(split)
+        places = []
+        for lines, drop in zip(split, furniture):
+            gone, held = set(drop), ""
+            for i, raw in enumerate(lines):
+                s = raw.strip()
+                if s and i not in gone:
+                    if _ends_cut(held) and s[0].islower():
+                        places.append((held[:-1].rsplit(" ", 1)[-1], s.split(" ", 1)[0], held[-1]))
+                    held = s
+        self._judge_cuts(places)
+        for t, lines, drop in zip(texts, split, furniture):
             kinds: set[str] = set()
+            if t is None:
+                out.append((None, kinds, []))
+                continue
             for i in drop:
                 s = lines[i].strip()
                 number = bool(_NUMBER.match(s))
@@ -363,17 +489,29 @@ class Repairer:
                     kinds.add("header")
                 if number or _EDGE_NUMBER.search(s):
                     kinds.add("page_number")
-            if t is None:
-                out.append((None, []))
-                continue
             gone = set(drop)
             kept = [s.replace("\f", "") for i, s in enumerate(lines) if i not in gone]
             text = self._join(kept, {sum(1 for j in range(i) if j not in gone) for i in drop}, kinds)
-            table = (per_row[k] or {}) if per_row is not None else corrections
-            text = self._words(text, table, kinds, per_row is not None)
-            out.append((text, [x for x in KINDS if x in kinds]))
+            text = self._characters(text, kinds)
+            out.append((text, kinds, sorted({w for w in map(self._lookup, set(text.split())) if w})))
         return out
 
+    def _lookup(self, token: str) -> str | None:
+        """The form under which a token may be among the misread words, by the filter."""
+        if token in self.looked:
+            return self.looked[token]
+        w = bare(token)
+        forms = [w, w[:-1]] if token[-1:] == "!" else [w]
+        found = next((f for f in forms if f and (self.misread is None or bits.has_word(self.misread, f))), None)
+        if len(self.looked) > 1_000_000:
+            self.looked.clear()
+        self.looked[token] = found
+        return found
+
+    def repair(self, texts: list[str | None], corrections: dict[str, str]) -> list[tuple[str | None, list[str]]]:
+        """(text, kinds) of each passage, with the corrections at hand."""
+        return [finish(t, kinds, corrections) for t, kinds, _ in self.prepare(texts)]
+
     def _join(self, lines: list[str], seams: set[int], kinds: set[str]) -> str:
         """Paragraphs of joined lines. `seams`: places where furniture was taken out; blanks there separate nothing
         if the text before is unfinished."""
@@ -391,7 +529,7 @@ class Repairer:
                 held = s
             elif not held:
                 held = s
-            elif held[-1] in HYPHENS and len(held) > 1 and held[-2].isalpha() and s[:1].isalpha():
+            elif _ends_cut(held) and s[:1].isalpha():
                 left, right = held[:-1].rsplit(" ", 1)[-1], s.split(" ", 1)[0]
                 if s[0].islower() and self._is_cut(left, right, held[-1]):
                     kinds.add("hyphenation")
@@ -407,44 +545,34 @@ class Repairer:
             paragraphs.append(held)
         return "\n\n".join(paragraphs)
 
-    def _words(self, text: str, table: dict[str, str], kinds: set[str], fresh: bool) -> str:
+    def _characters(self, text: str, kinds: set[str]) -> str:
+        """Words set in spaced letters, marks that belong to no word, ligatures."""
         if _SPACED.search(text):
             kinds.add("misread")
             text = _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
         if _STRAY.search(text):
             kinds.add("misread")
             text = re.sub(r"(?<=\s)[|■~^¦¤§°•¬†‡\\_<>=#]+\s", "", text)
-        fine, wrong = (set(), {}) if fresh else (self.fine, self.wrong)
         if any(a in text for a in LIGATURES):
             kinds.add("misread")
             for a, b in LIGATURES.items():
                 text = text.replace(a, b)
-        tokens = set(text.split())
-        for w in tokens - fine:
-            if w not in wrong:
-                g = table.get(bare(w)) or (table.get(bare(w)[:-1]) if w[-1:] == "!" else None)
-                if g is None:
-                    fine.add(w)
-                else:
-                    wrong[w] = g
-        if len(fine) > 2_000_000:
-            fine.clear()
-        bad = tokens & wrong.keys()
-        if bad:
-            kinds.add("misread")
-            text = re.sub(r"\S+", lambda m: _replace(m.group(), wrong[m.group()]) if m.group() in bad else m.group(), text)
         return text
 
 
-class _Asked(dict):
-    """Stands in for the corrections and keeps the words that are looked up."""
-
-    def __bool__(self) -> bool:
-        return True
-
-    def get(self, key, default=None):
-        self[key] = default
-        return default
+def finish(text: str | None, kinds: set[str], corrections: dict[str, str]) -> tuple[str | None, list[str]]:
+    """The text with its misread words replaced, and its kinds of noise in their usual order."""
+    if text is None:
+        return None, []
+    wrong = {}
+    for w in set(text.split()) if corrections else ():
+        g = corrections.get(bare(w)) or (corrections.get(bare(w)[:-1]) if w[-1:] == "!" else None)
+        if g is not None:
+            wrong[w] = g
+    if wrong:
+        kinds = kinds | {"misread"}
+        text = re.sub(r"\S+", lambda m: _replace(m.group(), wrong[m.group()]) if m.group() in wrong else m.group(), text)
+    return text, [x for x in KINDS if x in kinds]
 
 
 def _replace(token: str, good: str) -> str:
@@ -455,57 +583,56 @@ def _replace(token: str, good: str) -> str:
 
 
 _REPAIRED = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("clean_passage", T.StringType()), T.StructField("noise", T.ArrayType(T.StringType()))])
+_PREPARED = "row_id bigint, key bigint, text string, kinds array<string>, asked array<string>"
+
+
+def clean_sample(passages: DataFrame, rows: int = LINE_ROWS, most: int = SAMPLE_CHARS) -> list[str]:
+    """At most `rows` passages of running text without line ends, of 200 to `most` characters, lowest hash first."""
+    clean = passages.filter((F.length("source_passage") > 200) & (F.length("source_passage") <= most) & ~F.col("source_passage").rlike(r"[^\n]\n[^\n]|[\r\f]"))
+    n = clean.count()
+    mark = F.pmod(F.xxhash64("source_passage"), F.lit(1 << 40))
+    few = clean.select("source_passage", mark.alias("_h")).filter(F.col("_h") < int((1 << 40) * min(1.0, 3 * rows / max(n, 1)))).distinct()
+    return [r.source_passage for r in few.orderBy("_h", "source_passage").limit(rows).collect()]
 
 
 def repair_passages(examples: DataFrame) -> DataFrame:
     """(row_id, clean_passage, noise): every row's passage as continuous paragraphs and what was wrong in it.
 
     Null passages stay null, empty ones empty, with no noise; repeated rows are repaired alike; an
-    empty table gives no rows. Corrections are broadcast if they are few (counted), else joined to
-    the words of each passage.
+    empty table gives no rows. Words that may be misread are found by a filter of bounded size and
+    joined to the corrections, of which there may be any number; only passages that hold such words
+    are shuffled. The known words (at most 1 / KNOWN_SHARE) go to all executors.
     """
     sc = examples.sparkSession.sparkContext
     passages = examples.select("row_id", "source_passage")
     counts = materialize(word_counts(passages), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = frozenset(r.word for r in counts.filter(F.col("n") >= max(KNOWN_ROWS, KNOWN_SHARE * total)).select("word").collect())
-    clean = passages.filter((F.length("source_passage") > 200) & ~F.col("source_passage").rlike(r"[^\n]\n[^\n]|[\r\f]")).select("row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(LINE_ROWS)
-    ids = F.broadcast(clean.select(F.col("row_id").alias("_id")).distinct())
-    sample = [r[0] for r in passages.join(ids, F.col("row_id") == F.col("_id")).select("source_passage").limit(2 * LINE_ROWS).collect() if r[0]]
+    known = {r.word: r.n for r in counts.filter(F.col("n") >= max(KNOWN_ROWS, KNOWN_SHARE * total)).toLocalIterator()}
+    sample = clean_sample(passages)
     fixes = materialize(corrections(counts), "corrections")
-    tools = sc.broadcast((known, train_lines(sample)))
-    if fixes.count() <= BROADCAST_CORRECTIONS:
-        table = sc.broadcast({r.bad: r.good for r in fixes.collect()})
-
-        def run(batches):
-            worker = Repairer(*tools.value)
-            for b in batches:
-                got = worker.repair(b["source_passage"].tolist(), table.value)
-                yield pd.DataFrame({"row_id": b["row_id"], "clean_passage": [t for t, _ in got], "noise": [k for _, k in got]})
+    tools = sc.broadcast((known, train_lines(sample), train_joins(sample, known), bits.word_filter(fixes, "bad")))
 
-        return passages.mapInPandas(run, _REPAIRED)
-    # the words a passage looks up are noted by a repair without corrections, so both ways find the same; a passage
-    # is known by its hash, and where two share one, each only gets corrections for words it does not hold
-    keyed = passages.withColumn("_k", F.xxhash64("source_passage"))
-
-    def run_words(batches):
+    def run(batches):
         worker = Repairer(*tools.value)
         for b in batches:
-            asked = [_Asked() for _ in range(len(b))]
-            worker.repair(b["source_passage"].tolist(), {}, asked)
-            yield pd.DataFrame({"_k": b["_k"].repeat([len(a) for a in asked]), "bad": [w for a in asked for w in a]})
+            got = worker.prepare(b["source_passage"].tolist())
+            yield pd.DataFrame({"row_id": b["row_id"], "key": b["key"], "text": [t for t, *_ in got], "kinds": [[x for x in KINDS if x in k] for _, k, _ in got], "asked": [w for *_, w in got]})
 
-    distinct = keyed.select("_k", "source_passage").dropDuplicates(["_k", "source_passage"])
-    words = distinct.mapInPandas(run_words, "_k bigint, bad string")
-    own = words.join(fixes, "bad").groupBy("_k").agg(F.map_from_entries(F.collect_set(F.struct("bad", "good"))).alias("table"))
+    prepared = materialize(passages.withColumn("key", F.xxhash64("source_passage")).mapInPandas(run, _PREPARED), "prepared")
+    held = prepared.filter(F.size("asked") > 0)
+    words = held.select("key", F.explode("asked").alias("bad")).distinct().join(broadcast_if_small(fixes), "bad")
+    # a passage is known by its hash: where two share one, each meets only corrections of words
+    own = words.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("table"))
 
-    def run_joined(batches):
-        worker = Repairer(*tools.value)
+    def run_words(batches):
         for b in batches:
-            got = worker.repair(b["source_passage"].tolist(), {}, [dict(t) if t is not None else None for t in b["table"]])
+            got = [finish(t, set(k), dict(c)) for t, k, c in zip(b["text"], b["kinds"], b["table"])]
             yield pd.DataFrame({"row_id": b["row_id"], "clean_passage": [t for t, _ in got], "noise": [k for _, k in got]})
 
-    return keyed.join(own, "_k", "left").select("row_id", "source_passage", "table").mapInPandas(run_joined, _REPAIRED)
+    mended = held.join(own, "key").select("row_id", "text", "kinds", "table").mapInPandas(run_words, _REPAIRED)
+    # what passed the filter without a correction, and all other passages, are done
+    plain = prepared.filter(F.size("asked") == 0).unionByName(held.join(own.select("key"), "key", "left_anti"))
+    return mended.unionByName(plain.select("row_id", F.col("text").alias("clean_passage"), F.col("kinds").alias("noise")))
 
 
 def noise_found(examples: DataFrame) -> DataFrame:

@@ -172,9 +172,15 @@ def test_edits():
 def test_repair_parts(spark):
     clean = [r[0] for r in load(spark, "/root/testdata/sf0.01", "sft_examples").filter("length(source_passage) > 300 and source_passage not like '%\n%'").select("source_passage").limit(400).collect()]
     texts = [t.split(" In 1")[0] for t in clean]
-    known = frozenset(scans.bare(w) for t in texts for w in t.split())
+    known = {}
+    for t in texts:
+        for w in map(scans.bare, t.split()):
+            known[w] = known.get(w, 0) + 1
     model = scans.train_lines(texts[::2])
-    worker = scans.Repairer(known, model)
+    worker = scans.Repairer(known, model, scans.train_joins(texts[::2], known))
+    jx, jy = scans.synthetic_joins(texts[1::2], known, seed=10)
+    assert ((scans.train_joins(texts[::2], known).predict(jx) > 0) == (jy > 0)).mean() > 0.97  # held out
+    assert worker.repair(["A well-\nknown thought of the con-\nscious mind is the self-\nsame one."], {})[0][0].count("-") in (0, 1)
     page = "The argument depends on the con-\nscious habit of every mind and\n\n212 ON THE QUIET MEMORY\n\nit shows that the proof is cvery\nbit as | strong as the reply. It\nis p r o p e r l y so."
     text, kinds = worker.repair([page], {"cvery": "every"})[0]
     assert kinds == ["hyphenation", "misread", "header", "page_number"]
@@ -186,26 +192,68 @@ def test_repair_parts(spark):
     assert ((model.predict(x) > 0) == (y > 0)).mean() > 0.95  # held out
 
 
-def test_repair_tables(spark, monkeypatch):
+def test_repair_tables(spark):
     rows = load(spark, SF, "sft_examples")
     whole = {r.row_id: (r.clean_passage, tuple(r.noise)) for r in scans.repair_passages(rows).collect()}
     assert len(whole) == rows.count()
-    monkeypatch.setattr(scans, "BROADCAST_CORRECTIONS", -1)
-    joined = {r.row_id: (r.clean_passage, tuple(r.noise)) for r in scans.repair_passages(rows).collect()}
-    assert sum(whole[k] == joined[k] for k in whole) >= 0.97 * len(whole)
     assert scans.noise_found(rows.limit(0)).count() == 0
 
 
 def test_repair_joined_equal(spark, monkeypatch):
+    """The corrections joined through the filter give what a repair with all of them at hand gives, on all rows."""
     fixes = [("cvery", "every"), ("rnind", "mind"), ("ob.iect", "object"), ("fiuid", "fluid"), ("well-kn0wn", "well-known")]
     monkeypatch.setattr(scans, "corrections", lambda counts: spark.createDataFrame(fixes, "bad string, good string"))
     texts = ["the ‘cvery’ word", "*rnind* and —cvery—", "«rnind»", "so cvery!", "an ob.iect here", "the ﬁuid part", "a well-kn0wn man", "the cve-\nry end of it", "c v e r y", "cvery, rnind.", "CVERY", None, ""]
     made = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "row_id bigint, source_passage string")
     rows = made.unionByName(load(spark, SF, "sft_examples").selectExpr("row_id + 1000 as row_id", "source_passage"))
-    whole = sorted((r.row_id, r.clean_passage or '', r.clean_passage is None, r.noise) for r in scans.repair_passages(rows).collect())
-    monkeypatch.setattr(scans, "BROADCAST_CORRECTIONS", -1)
-    joined = sorted((r.row_id, r.clean_passage or '', r.clean_passage is None, r.noise) for r in scans.repair_passages(rows).collect())
-    assert joined == whole and len({i for i, _, _, k in whole if i < 11 and "misread" in k}) == 11
+    joined = sorted((r.row_id, r.clean_passage or "", r.clean_passage is None, tuple(r.noise)) for r in scans.repair_passages(rows).collect())
+    monkeypatch.undo()
+    counts = scans.word_counts(rows)
+    total = counts.agg(F.sum("n")).first()[0]
+    known = {r.word: r.n for r in counts.filter(F.col("n") >= max(scans.KNOWN_ROWS, scans.KNOWN_SHARE * total)).collect()}
+    sample = scans.clean_sample(rows)
+    worker = scans.Repairer(known, scans.train_lines(sample), scans.train_joins(sample, known))
+    given = rows.collect()
+    plain = sorted((r.row_id, t or "", t is None, tuple(k)) for r, (t, k) in zip(given, worker.repair([r.source_passage for r in given], dict(fixes))))
+    assert joined == plain and len({i for i, _, _, k in joined if i < 11 and "misread" in k}) == 11
+
+
+def test_candidates_prefix(spark):
+    """The prefix filter loses no pair that a few confusions explain, and joins few rows."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 11))) for _ in range(1200)})
+    inverse = {}
+    for b, g in scans.CONFUSIONS:
+        inverse.setdefault(g, []).append(b)
+    made = {}
+    for w in words[::3]:
+        d = w
+        for _ in range(rng.choice((1, 1, 2))):
+            spots = [(i, g) for g in inverse for i in range(len(d)) if d.startswith(g, i)]
+            i, g = rng.choice(spots or [(0, "")])
+            d = d[:i] + rng.choice(inverse.get(g, [""])) + d[i + len(g) :]
+        if d != w and d not in words:
+            made[d] = w
+    known = spark.createDataFrame([(w, 1000) for w in words], "word string, n bigint")
+    suspects = spark.createDataFrame([(w, 1) for w in made], "word string, n bigint")
+    few = {(r.bad, r.good) for r in scans.candidates(suspects, known).collect()}
+    whole = {(r.bad, r.good) for r in scans.candidates(suspects, known, prefix=99).collect()}
+    assert few <= whole
+    reach = {(b, g) for b, g in whole if made[b] == g}
+    assert len(reach & few) >= 0.995 * len(reach)
+    assert len(few) < 0.05 * len(made) * len(words)
+
+
+def test_learned_confusion(spark):
+    """A confusion outside the list is learned where many words show it, and endings of words are not."""
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("abdgkmprtvx") + rng.choice("aeou") for _ in range(rng.randint(3, 5))) for _ in range(300)})
+    bad = [w.replace("x", "j", 1) for w in words if "x" in w[1:-1]]
+    ends = [w + "t" for w in words[:80]]
+    counts = spark.createDataFrame([(w, 4000) for w in words] + [(w, 2) for w in bad + ends], "word string, n bigint")
+    got = {r.bad: r.good for r in scans.corrections(counts).collect()}
+    assert sum(got.get(b) == w for b, w in zip(bad, [w for w in words if "x" in w[1:-1]])) >= 0.9 * len(bad)
+    assert not set(ends) & set(got)
 
 
 def test_repair_copied_passage(spark):
