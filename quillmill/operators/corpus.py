@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +15,7 @@ from pyspark.sql import types as T
 
 from quillmill.functions import lexicon as L
 from quillmill.functions import text as X
-from quillmill.session import broadcast_if_small
+from quillmill.session import broadcast_if_small, materialize
 
 
 def category_key(category: Column) -> Column:
@@ -26,13 +32,21 @@ def mixing_check(documents: DataFrame, targets: dict[str, float] = L.MIXING_TARG
     """Each target category with its share (0 where it has no documents) and whether it is within the tolerance."""
     have = breakdown(documents.withColumn("category", category_key(F.col("category"))), "category")
     want = documents.sparkSession.createDataFrame(list(targets.items()), "category string, target double")
-    return F.broadcast(want).join(have.select("category", "share"), "category", "left").select("category", "target", F.coalesce("share", F.lit(0.0)).alias("actual"), (F.abs(F.coalesce("share", F.lit(0.0)) - F.col("target")) <= tolerance).alias("ok"))
+    return have.select("category", "share").join(F.broadcast(want), "category", "right").select("category", "target", F.coalesce("share", F.lit(0.0)).alias("actual"), (F.abs(F.coalesce("share", F.lit(0.0)) - F.col("target")) <= tolerance).alias("ok"))
 
 
 def repeated_lines(documents: DataFrame, times: int = 3) -> DataFrame:
-    """(doc_id, line, n): stripped lines that occur more than `times` times in a document."""
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", X.strip(F.col("line")).alias("line")).filter("line <> ''")
-    return lines.groupBy("doc_id", "line").agg(F.count("*").alias("n")).filter(F.col("n") > times)
+    """(doc_id, line, n): stripped lines that occur more than `times` times in a document, counted inside the row."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("line", T.StringType()), T.StructField("n", T.LongType())])))
+    def repeated(text: pd.Series) -> pd.Series:
+        def one(t):
+            counts = Counter(x for x in map(str.strip, (t or "").split("\n")) if x)
+            return [{"line": x, "n": n} for x, n in counts.items() if n > times]
+
+        return text.map(one)
+
+    return documents.select("doc_id", F.inline(repeated(F.col("text"))))
 
 
 def quality_outcome(text: Column, category: Column, path: Column, phrases: list[str] = L.ARGUMENT_PHRASES, least: int = 500, least_priority: int = 200, density: float = 2.0, density_neuro: float = 1.0) -> Column:
@@ -52,39 +66,64 @@ def quality_filter(documents: DataFrame) -> DataFrame:
 # ---- sequences ----------------------------------------------------------------------------------
 
 
+def cut_greedily(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Slices [from, to) of consecutive items, each as long as its sizes add up to `most` at the most (one item at least)."""
+    total, out, start = [0, *accumulate(sizes)], [], 0
+    while start < len(sizes):
+        end = max(start + 1, bisect_right(total, total[start] + most) - 1)
+        out.append((start, end))
+        start = end
+    return out
+
+
 def paragraph_chunks(text: Column, most: Column | int, separator: str = "\n\n") -> Column:
-    """Greedy chunks of whole paragraphs up to `most` tokens (estimated per paragraph); a longer paragraph is a chunk."""
-    most = F.lit(most) if isinstance(most, int) else most
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).cast("bigint").alias("used"))
+    """Greedy chunks of whole paragraphs up to `most` tokens (estimated per paragraph); a longer paragraph is a chunk.
+
+    The cuts are found in running totals, linear in the text; null stays null.
+    """
 
-    def step(a, p):
-        n = X.token_estimate(p)
-        return F.when(a["open"].isNull(), F.struct(a["done"].alias("done"), p.alias("open"), n.alias("used"))).when(a["used"] + n > most, F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), p.alias("open"), n.alias("used"))).otherwise(F.struct(a["done"].alias("done"), F.concat(a["open"], F.lit(separator), p).alias("open"), (a["used"] + n).alias("used")))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def chunks(texts: pd.Series, limits: pd.Series) -> pd.Series:
+        def one(t, limit):
+            if t is None:
+                return None
+            parts = t.split(separator)
+            return [separator.join(parts[a:b]) for a, b in cut_greedily([int(len(p.split()) * 1.3) for p in parts], int(limit))]
 
-    return F.aggregate(F.split(text, separator), zero, step, lambda a: F.concat(a["done"], F.array(a["open"])))
+        return pd.Series([one(t, m) for t, m in zip(texts, limits)], dtype=object)
+
+    return chunks(text, F.lit(most) if isinstance(most, int) else most)
 
 
 def split_sequences(documents: DataFrame, most: int = 8192, least_chars: int = 50) -> DataFrame:
     """(doc_id, chunk_idx, category, text, tokens): documents over `most` tokens in chunks, others whole; texts under `least_chars` are left out."""
     kept = documents.filter(F.length(X.strip(F.col("text"))) >= least_chars)
-    chunks = F.when(X.token_estimate(F.col("text")) > most, paragraph_chunks(F.col("text"), most)).otherwise(F.array("text"))
+    over = F.when(X.token_estimate(F.col("text")) > most, F.col("text"))  # only these go to a worker
+    chunks = F.coalesce(paragraph_chunks(over, most), F.array("text"))
     return kept.select("doc_id", "category", F.posexplode(chunks).alias("chunk_idx", "text")).withColumn("tokens", X.token_estimate(F.col("text")))
 
 
-def train_val(rows: DataFrame, keys: list[str], share: float = 0.95, seed: int = 42, buckets: int = 1024) -> DataFrame:
+def train_val(rows: DataFrame, keys: list[str], share: float = 0.95, seed: int = 42) -> DataFrame:
     """Rows with `split`: floor(share x n) rows in seeded hash order are train, the rest val.
 
-    The order is by md5 of seed and keys. Ranks are made without a global sort: rows are counted per
-    hash bucket, only the bucket that holds the cut is ranked inside.
+    The order is by md5 of seed and keys. Rows are counted per hash bucket (65,536 at most) and only the bucket that
+    holds the cut is sorted, on its keys; the others are placed by their bucket. No row is shuffled. Rows with the same
+    keys stay together, on the train side if the cut falls among them.
     """
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
-    rows = rows.withColumn("_m", mark).withColumn("_b", (F.conv(F.substring("_m", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
-    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", F.col("_n"), (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    placed = rows.join(F.broadcast(before), "_b")  # one row per bucket
-    cut = F.floor(F.col("_all") * F.lit(share))
-    rank = F.when((F.col("_before") < cut) & (cut < F.col("_before") + F.col("_n")), F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy("_m", *keys)) - 1).otherwise(F.col("_before"))
-    return placed.withColumn("split", F.when(rank < cut, "train").otherwise("val")).drop("_m", "_b", "_n", "_before", "_all")
+    place = materialize(rows.select(mark.alias("_m"), F.substring(mark, 1, 4).alias("_b")), "order")
+    counts = sorted((r._b, r.n) for r in place.groupBy("_b").agg(F.count("*").alias("n")).collect())
+    left, last = math.floor(sum(n for _, n in counts) * share), ""
+    bucket = None
+    for bucket, n in counts:
+        if left <= n:
+            break
+        left -= n
+    if bucket is not None and left > 0:
+        last = place.filter(F.col("_b") == bucket).orderBy("_m").limit(left).agg(F.max("_m")).first()[0]
+    elif bucket is not None:
+        last = bucket  # a prefix comes before all marks of its bucket
+    return rows.withColumn("split", F.when(mark <= last, "train").otherwise("val"))
 
 
 def dataset_card(split: DataFrame) -> DataFrame:
@@ -101,34 +140,27 @@ def train_categories(split: DataFrame) -> DataFrame:
 # ---- passages and search ------------------------------------------------------------------------
 
 
+def chunk_bounds(sizes: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Slices [from, to) of sentences by their word counts, from running totals.
+
+    A chunk ends before the first sentence that would take it over `size` words, but has one sentence more than what it
+    shares with the chunk before. The next one starts with the earliest of its sentences from which at most `overlap` words remain.
+    """
+    total = [0, *accumulate(sizes)]
+    bounds, start, end = [], 0, 0
+    while end < len(sizes):
+        end = max(end + 1, bisect_right(total, total[start] + size) - 1)
+        bounds.append((start, end))
+        start = max(start, bisect_left(total, total[end] - overlap))
+    return bounds
+
+
 def sentence_chunks(text: str | None, size: int = 512, overlap: int = 64, least: int = 50) -> list[str]:
-    """Chunks of whole sentences of up to `size` words that share up to `overlap` words of whole sentences."""
-    import re
-
-    out: list[str] = []
-    held: list[tuple[str, int]] = []
-    used = 0
-
-    def flush() -> None:
-        t = " ".join(s for s, _ in held).strip()
-        if len(t) > least:
-            out.append(t)
-
-    for s in re.split(r"(?<=[.!?])\s+", text or ""):
-        n = len(s.split())
-        if held and used + n > size:
-            flush()
-            keep, back = 0, len(held)
-            while back > 0 and keep + held[back - 1][1] <= overlap:
-                back -= 1
-                keep += held[back][1]
-            held = held[back:]
-            used = keep
-        held.append((s, n))
-        used += n
-    if held:
-        flush()
-    return out
+    """Chunks of whole sentences of up to `size` words that share up to `overlap` words of whole sentences; those of
+    `least` characters or fewer are left out."""
+    sentences = re.split(r"(?<=[.!?])\s+", text or "")
+    joined = (" ".join(sentences[a:b]).strip() for a, b in chunk_bounds([len(x.split()) for x in sentences], size, overlap))
+    return [c for c in joined if len(c) > least]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -142,11 +174,20 @@ def passages(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFr
 
 
 def keywords(rows: DataFrame, keys: list[str], text: str = "passage", top: int = 30, boost: int = 3) -> DataFrame:
-    """(keys, rank, keyword, score): words by frequency, domain terms times `boost`, ties by first place."""
-    words = rows.select(*keys, F.posexplode(X.keyword_tokens(F.col(text), L.STOPWORDS)).alias("at", "keyword"))
-    scored = words.groupBy(*keys, "keyword").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumn("score", F.col("n") * F.when(F.col("keyword").isin(L.DOMAIN_TERMS), boost).otherwise(1))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "first"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= top).select(*keys, "rank", "keyword", "score")
+    """(keys, rank, keyword, score): words by frequency, domain terms times `boost`, ties by first place; per row, in the row."""
+    domain = frozenset(L.DOMAIN_TERMS)
+    entry = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("score", T.LongType())])
+
+    @F.pandas_udf(T.ArrayType(entry))
+    def best(tokens: pd.Series) -> pd.Series:
+        def one(words):
+            counts = Counter(() if words is None else words)  # in order of first place
+            scored = sorted(((n * boost if w in domain else n, w) for w, n in counts.items()), key=lambda x: -x[0])[:top]
+            return [{"rank": i, "keyword": w, "score": n} for i, (n, w) in enumerate(scored, 1)]
+
+        return tokens.map(one)
+
+    return rows.select(*keys, F.inline(best(X.keyword_tokens(F.col(text), L.STOPWORDS))))
 
 
 def keyword_search(postings: DataFrame, keys: list[str], queries: DataFrame, top: int = 5) -> DataFrame:
@@ -184,15 +225,14 @@ def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFram
         top: dict[int, tuple] = {}
         for b in batches:
             out = []
-            for row in b.itertuples(index=False):
-                t = getattr(row, text)
-                if not t or not sent.value:
+            for t, *at in zip(b[text], *(b[k].tolist() for k in keys)) if sent.value else ():
+                if not t:
                     continue
                 score: dict[int, int] = {}
                 for w in {w for _, w in automaton.iter(t.lower())}:
                     for cid, n in sent.value[w]:
                         score[cid] = score.get(cid, 0) + n
-                at = tuple(getattr(row, k) for k in keys)
+                at = tuple(at)
                 if best:
                     for cid, n in score.items():
                         if n >= least and (cid not in top or (-n, at) < top[cid]):

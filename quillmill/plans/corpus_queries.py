@@ -166,7 +166,8 @@ def train_categories(s, d):
 
 
 def sentence_split(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("n", "sentence")).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max(F.length("sentence")).alias("longest"))
+    each = docs(s, d).select("doc_id", X.sentences(F.col("text")).alias("l")).filter("l is not null")
+    return each.select("doc_id", F.size("l").cast("bigint").alias("n_sentences"), F.array_max(F.transform("l", lambda x: F.length(x))).alias("longest"))
 
 
 def passage_chunks(s, d):
@@ -264,7 +265,7 @@ terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(q
 found AS (SELECT query_id, doc_id, sum(1 + list_contains({sql_list(L.DOMAIN_TERMS)}, keyword)::INT)::BIGINT AS score FROM terms JOIN ranked USING (keyword) WHERE NOT list_contains({sql_list(L.STOPWORDS)}, keyword) GROUP BY 1, 2)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM found QUALIFY rank <= 5""",
     "corpus_verify": f"""WITH kw AS (SELECT item_id AS claim_id, unnest(list_filter(string_split_regex(lower(q), '[{WS}]+'), lambda x: length(x) > 2 AND NOT list_contains({sql_list(L.VERIFIER_STOP)}, x))) AS k FROM eval_items),
-hits AS (SELECT claim_id, doc_id, count(*) AS score FROM kw JOIN documents ON contains(lower(text), k) GROUP BY 1, 2 HAVING count(*) >= 16)
+hits AS (SELECT claim_id, doc_id, count(*) AS score FROM kw JOIN documents ON contains(lower(text), k) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT claim_id, doc_id, score FROM hits QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) = 1""",
     "passage_mining": "WITH names AS (SELECT DISTINCT philosopher AS name FROM sft_examples WHERE philosopher IS NOT NULL), p AS (SELECT doc_id, unnest(l) AS passage, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents)) SELECT name, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS rank, doc_id, pos FROM p JOIN names ON contains(passage, name) WHERE length(passage) > 200 QUALIFY rank <= 50",
 }

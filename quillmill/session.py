@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,23 +37,37 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"quillmill-shared-{os.getuid()}")
-        os.makedirs(found[7:], exist_ok=True)
-        # the setting is static, so the choice is kept on the context instead
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
+    """The folder all executors share: `spark.checkpoint.dir`.
+
+    Where it is unset and everything runs on this machine (master `local`, as in tests), a local folder is
+    chosen; on a cluster that is an error, as its executors could not read it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    found = "file://" + os.path.join(tempfile.gettempdir(), f"quillmill-shared-{os.getuid()}")
+    os.makedirs(found[7:], exist_ok=True)
+    # the setting is static, so the choice is kept on the context instead
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

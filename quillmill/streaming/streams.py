@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import feedback as B
-from quillmill.session import shared_dir
+from quillmill.session import scratch_path
 
 
 def event_stream(spark: SparkSession, path: str, schema=None, lateness: str = "1 hour") -> DataFrame:
@@ -23,7 +22,7 @@ def event_stream(spark: SparkSession, path: str, schema=None, lateness: str = "1
 def run_available(stream: DataFrame, mode: str, name: str = "stream") -> DataFrame:
     """Everything available now, written batch by batch to the shared folder; `complete` keeps the last state."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/quillmill-{name}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, name)
 
     def write(batch: DataFrame, n: int) -> None:
         # the batch number in the path makes a repeated batch overwrite itself
@@ -77,8 +76,6 @@ def read_through(stream: DataFrame, lookup: Callable[[DataFrame], DataFrame], wr
     """Per micro-batch: look claims up in the store as it is now, then write new records back for the next batch."""
 
     def one(batch: DataFrame, n: int) -> None:
-        found = lookup(batch).persist()
-        write_back(found.filter("record_id is null"))
-        found.unpersist()
+        write_back(lookup(batch).filter("record_id is null"))
 
     stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
