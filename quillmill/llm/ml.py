@@ -102,6 +102,8 @@ class GradientBoosting:
 TABLE_BITS = 19
 #: Orders of the n-gram models whose scores are kept; a longer one wins where it was seen.
 KEPT = (3, 5, 7)
+#: What stands between training texts: no n-gram reaches from one into another.
+GAP = "\n" * KEPT[-1]
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
 
@@ -134,7 +136,7 @@ def ratio_tables(classes: list[list[str]], prose: list[str], trust: float = 0.5,
     are needed, so that the memory stays near the size of the texts. `read` makes bytes of a text.
     """
     size = 1 << TABLE_BITS
-    buffers = [read("\n".join(t) + "\n") for t in (*classes, prose)]
+    buffers = [read(GAP + GAP.join(t) + GAP) for t in (*classes, prose)]
     counts = [[np.bincount(_finish(h), minlength=size).astype(np.float32) for h in _raw_hashes(b)] for b in buffers]
     tables = [np.full((size, len(classes)), np.nan, dtype=np.float32) for _ in KEPT]
     for b in buffers:
