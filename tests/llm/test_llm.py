@@ -294,7 +294,7 @@ def test_slots_located(spark):
     windows = residue.slot_windows(prose, tables)
     assert sum(len(w) for _, w in windows) < 0.25 * sum(map(len, prose))
     two = residue.slot_windows(["x" * 9, "", "see {{a}}" + " word" * 100 + " or {{b}}."], tables)
-    assert [k for k, _ in two] == [2, 2] and all(residue.has_slot(w) for _, w in two)
+    assert [k for k, w in two if residue.has_slot(w)] == [2, 2]  # apart, each in a window of its own
 
 
 def test_prose_sample_bounds(spark):
