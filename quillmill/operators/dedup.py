@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -89,36 +90,80 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / F.lit(float(PERMUTATIONS))
 
 
-def near_links(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+#: Rounds with a pivot per bucket, documents per block of a bucket after that, and bucket size from which it is split first.
+PIVOT_ROUNDS, BLOCK_DOCS, SPLIT_DOCS = 3, 4000, 4000
+
+
+def equal_positions(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def near_links(signed: DataFrame, threshold: float = THRESHOLD, rounds: int = PIVOT_ROUNDS, block: int = BLOCK_DOCS, split: int = SPLIT_DOCS) -> DataFrame:
     """(a, b) with a < b: links that connect what all similar pairs within the buckets connect.
 
-    In each bucket the lowest document is the pivot and is compared with the rest. Those alike are
-    linked to it; the others are compared with those and go to the next round among themselves. A
-    bucket of n copies thus costs n comparisons, and no similar pair is left unconnected.
+    For `rounds` rounds the lowest document of each bucket is its pivot. Those like it are linked to it; the others
+    go to the next round, and are compared with those like the pivot as far as their distances to it allow: the share
+    of unequal positions is a metric, so two documents whose distances differ by 1 - threshold or more are not
+    alike, nor is a document twice that far from the pivot like any that is like it. What is left after that is compared in
+    blocks (`_block_links`). No similar pair of a bucket is left unconnected.
     """
     signed = materialize(signed, "signatures")
     sig = lambda name: signed.select(F.col("doc_id").alias(name), F.col("signature").alias(f"sig_{name}"))
     left = band_keys(signed)
     sizes = left.groupBy("band", "key").agg(F.count("*").alias("_n")).filter("_n > 1")
     left = materialize(left.join(sizes, ["band", "key"]).drop("_n"), "buckets")
-    links = None
+    far = (1 - threshold) * PERMUTATIONS  # similar pairs have fewer unequal positions
+    links = signed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sig("a"), "a").join(sig("b"), "b").select("band", "key", "a", "b", (similarity(F.col("sig_a"), F.col("sig_b")) > threshold).alias("alike"))
+        return pairs.join(sig("a"), "a").join(sig("b"), "b").withColumn("apart", PERMUTATIONS - equal_positions(F.col("sig_a"), F.col("sig_b"))).drop("sig_a", "sig_b")
 
-    while True:
+    for _ in range(rounds):
         pivot = left.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
         judged = materialize(compare(left.join(pivot, ["band", "key"]).filter("doc_id <> a").withColumnRenamed("doc_id", "b")), "judged")
-        alike = judged.filter("alike").select("a", "b")
-        links = alike if links is None else links.union(alike)
-        other = judged.filter("not alike").select("band", "key", F.col("b").alias("doc_id"))
-        if other.isEmpty():
-            break
-        crossed = judged.filter("alike").select("band", "key", F.col("b").alias("x")).join(other.withColumnRenamed("doc_id", "y"), ["band", "key"])
-        crossed = compare(crossed.select("band", "key", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("alike").select("a", "b")
-        links = links.union(crossed)
-        left = other
-    return materialize(links.distinct(), "links")
+        alike, other = judged.filter(F.col("apart") < far), judged.filter(F.col("apart") >= far)
+        links = links.union(alike.select("a", "b"))
+        left = other.select("band", "key", F.col("b").alias("doc_id"))
+        if left.isEmpty():
+            return materialize(links.distinct(), "links")
+        edge = other.filter(F.col("apart") < 2 * far).select("band", "key", F.col("b").alias("y"), F.col("apart").alias("_y"))
+        crossed = alike.select("band", "key", F.col("b").alias("x"), F.col("apart").alias("_x")).join(edge, ["band", "key"]).filter(F.col("_y") - F.col("_x") < far)
+        links = links.union(compare(crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).filter(F.col("apart") < far).select("a", "b"))
+    return materialize(links.union(_block_links(left, signed, far, block, split)).distinct(), "links")
+
+
+def _block_links(left: DataFrame, signed: DataFrame, far: float, block: int, split: int) -> DataFrame:
+    """Links between the documents left in each bucket, all compared with all, in blocks of about `block` documents a side.
+
+    A bucket over `split` documents is split once before: positions are cut into one more run than a similar pair may
+    have unequal positions, so such a pair agrees in a whole run, and only documents that do meet. Tasks get two
+    blocks each and give links only.
+    """
+    left = materialize(left, "left")
+    sizes = left.groupBy("band", "key").agg(F.count("*").alias("n"))
+    marked = left.join(sizes, ["band", "key"]).join(signed, "doc_id")
+    runs = math.ceil(far)  # fewer unequal positions than runs
+    cuts = [round(i * PERMUTATIONS / runs) for i in range(runs + 1)]
+    keys = F.array(*[F.xxhash64("band", "key", F.lit(i), F.concat_ws(",", F.slice("signature", a + 1, b - a))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    whole = F.array(F.xxhash64("band", "key"))
+    groups = materialize(marked.select("doc_id", F.explode(F.when(F.col("n") > split, keys).otherwise(whole)).alias("group")), "groups")
+    counts = groups.groupBy("group").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    placed = groups.join(counts, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # each block meets itself and every other one once, the lower number first
+    paired = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).join(signed, "doc_id")
+    paired = paired.select("group", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "doc_id", "signature")
+
+    def links(p: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(p["low"].iloc[0]), int(p["high"].iloc[0])
+        sides = [(q["doc_id"].to_numpy(), np.array(q["signature"].tolist(), dtype=np.int64).reshape(len(q), -1)) for q in (p[p["own"] == low], p[p["own"] == high])]
+        (ids, own), (others, their) = sides
+        out = []
+        for i, s in zip(ids, own) if len(others) else ():
+            near = others[((their != s).sum(1) < far) & (others != i)]
+            out += [(min(i, j), max(i, j)) for j in near.tolist()]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return paired.groupBy("group", "low", "high").applyInPandas(links, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

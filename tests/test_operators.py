@@ -42,6 +42,56 @@ def test_near_duplicates_brute_force(spark):
     assert got[900] == 900 and got[904] == 904 and got[903] == 902
 
 
+def _classes(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("rounds,block,split", [(3, 4000, 4000), (1, 40, 10_000), (1, 40, 50)])
+def test_hot_mixed_bucket(spark, rounds, block, split):
+    """All documents share a band but most are unlike: pivots, blocks and split buckets find the same classes as all pairs."""
+    rng = random.Random(2)
+    rows, n = [], 0
+    for _ in range(60):
+        base = [rng.randint(0, 10**6) for _ in range(128)]
+        for _ in range(rng.choice([1, 1, 1, 2, 5])):
+            s = [x if rng.random() > 0.1 else rng.randint(0, 10**6) for x in base]
+            s[:8] = range(8)
+            rows.append((n, s))
+            n += 1
+    got = dedup.near_links(spark.createDataFrame(rows, "doc_id bigint, signature array<bigint>"), rounds=rounds, block=block, split=split).collect()
+    near = [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if sum(x == y for x, y in zip(s, t)) / 128 > 0.8]
+    assert near and {(r.a, r.b) for r in got} <= set(near)
+    assert _classes(range(n), [(r.a, r.b) for r in got]) == _classes(range(n), near)
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs of distinct texts with exact Jaccard 0.85 or more on five words end in one class."""
+    from quillmill.session import load
+
+    rows = load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").filter("text is not null")
+    found = {r.doc_id: r.class_id for r in dedup.near_duplicates(rows).collect()}
+    sets = {}
+    for r in rows.collect():
+        w = r.text.lower().split()
+        sets[r.doc_id] = {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+    where = {}
+    for i, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(i)
+    pairs = {p for ids in where.values() if len(ids) < 60 for p in itertools.combinations(ids, 2)}
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    assert alike and sum(found[a] == found[b] for a, b in alike) >= 0.95 * len(alike)
+
+
 def test_components_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.class_id for r in dedup.components(links).collect()}
@@ -54,6 +104,50 @@ def test_survivors(spark):
     assert sorted(r.doc_id for r in dedup.survivors(rows, classes).collect()) == [2, 4]
 
 
+def test_chunk_bounds():
+    assert corpus.chunk_bounds([3, 3, 3, 3], 6, 0) == [(0, 2), (2, 4)]
+    assert corpus.chunk_bounds([3, 3, 3, 3], 6, 3) == [(0, 2), (1, 3), (2, 4)]
+    assert corpus.chunk_bounds([9, 1, 9], 5, 1) == [(0, 1), (1, 2), (1, 3)]  # a long sentence is a chunk, shared ones come before
+    assert corpus.chunk_bounds([], 5, 1) == []
+    long, short = " ".join(["word"] * 12) + ".", "Short one here is now, of nine words all."
+    assert corpus.sentence_chunks(f"{long} {short} {long}", 21, 9) == [f"{long} {short}", f"{short} {long}"]
+    assert corpus.sentence_chunks(None) == corpus.sentence_chunks("") == corpus.sentence_chunks("Too short.") == []
+    rng = random.Random(5)
+    for _ in range(50):
+        sizes = [rng.randint(0, 9) for _ in range(rng.randint(1, 30))]
+        bounds = corpus.chunk_bounds(sizes, 15, 4)
+        assert bounds[0][0] == 0 and bounds[-1][1] == len(sizes)
+        for (a, b), (c, e) in zip(bounds, bounds[1:]):
+            assert a <= c <= b < e and sum(sizes[c:b]) <= 4
+        assert all(sum(sizes[a:b]) <= 15 or b - max(a, p) == 1 for (a, b), p in zip(bounds, [0, *(b for _, b in bounds)]))
+
+
+def test_paragraph_chunks(spark):
+    text = "a b c\n\nd e\n\n" + "w " * 30 + "\n\nf"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    got = {r.id: r.c for r in rows.select("id", corpus.paragraph_chunks(F.col("text"), 6).alias("c")).collect()}
+    assert got == {1: ["a b c\n\nd e", "w " * 30, "f"], 2: None, 3: [""]}
+
+
+def test_train_val_exact(spark):
+    rows = spark.range(1000).selectExpr("id as doc_id")
+    got = corpus.train_val(rows, ["doc_id"], 0.95)
+    assert got.filter("split = 'train'").count() == 950 and got.count() == 1000
+    for share, n in ((0.0, 0), (1.0, 1000)):
+        assert corpus.train_val(rows, ["doc_id"], share).filter("split = 'train'").count() == n
+    assert corpus.train_val(rows.limit(0), ["doc_id"]).count() == 0
+
+
+def test_shared_dir_on_cluster():
+    from types import SimpleNamespace
+
+    from quillmill import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        session.shared_dir(far)
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert dedup.near_duplicates(none).count() == 0
