@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmill.functions import lexicon as L
 from quillmill.functions import scalars as S
@@ -66,13 +72,44 @@ def route(claim_type: Column, status: Column) -> Column:
     return F.when(status.isin("verified", "conditional"), "vks_hit").when(claim_type == "formal", "z3").when(claim_type == "factual", "corpus").otherwise("soft_pass")
 
 
-def lemma_candidates(claims: DataFrame, key: str, store: DataFrame, top: int = 5) -> DataFrame:
-    """(key, rank, record_id, shared): verified or conditional records that share two words with a claim, by tier, shared words and id."""
-    words = lambda c: F.explode(F.array_distinct(X.lower_words(F.col(c))))
-    usable = store.filter(F.col("status").isin("verified", "conditional")).select("record_id", "tier", words("claim_text").alias("w"))
-    shared = claims.select(key, words("claim").alias("w")).join(usable, "w").groupBy(key, "record_id", "tier").agg(F.count("*").alias("shared")).filter("shared >= 2")
+#: Records that go to all executors at once; a larger store is searched block by block.
+STORE_BLOCK = 100_000
+
+
+def lemma_candidates(claims: DataFrame, key: str, store: DataFrame, top: int = 5, block: int = STORE_BLOCK) -> DataFrame:
+    """(key, rank, record_id, shared): verified or conditional records that share two words with a claim, by tier, shared words and id.
+
+    Claims meet the inverted word lists of a block of records at a time, in memory, and give their best `top` of it:
+    a word that stands in very many claims and records makes no rows.
+    """
+    usable = store.filter(F.col("status").isin("verified", "conditional")).select("record_id", "tier", "claim_text")
+    blocks = max(1, -(-usable.count() // block))
+    schema = T.StructType([claims.schema[key], T.StructField("tier", T.IntegerType()), store.schema["record_id"], T.StructField("shared", T.LongType())])
+    parts = []
+    for k in range(blocks):
+        rows = sorted(usable.filter(F.pmod(F.xxhash64("record_id"), F.lit(blocks)) == k).collect(), key=lambda r: r.record_id)
+        lists: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for w in set((r.claim_text or "").lower().split()):
+                lists.setdefault(w, []).append(i)
+        sent = claims.sparkSession.sparkContext.broadcast(({w: np.array(v) for w, v in lists.items()}, np.array([r.tier for r in rows], dtype=np.int64), [r.record_id for r in rows]))
+
+        def run(batches, sent=sent):
+            held, tiers, ids = sent.value
+            for b in batches:
+                out, known = [], {}
+                for i, text in zip(b[key].tolist(), b["claim"].tolist()):
+                    if text is not None and text not in known:
+                        found = [held[w] for w in set(text.lower().split()) if w in held]
+                        at, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int), np.zeros(0, int))
+                        at, n = at[n >= 2], n[n >= 2]
+                        known[text] = [(int(tiers[at[j]]), ids[at[j]], int(n[j])) for j in np.lexsort((at, -n, tiers[at]))[:top]]
+                    out += [(i, *x) for x in known.get(text, ())]
+                yield pd.DataFrame(out, columns=schema.names)
+
+        parts.append(claims.select(key, "claim").mapInPandas(run, schema))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("tier", F.desc("shared"), "record_id"))
-    return shared.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, F.col("rank").cast("bigint").alias("rank"), "record_id", "shared")
+    return reduce(DataFrame.union, parts).withColumn("rank", rank).filter(F.col("rank") <= top).select(key, F.col("rank").cast("bigint").alias("rank"), "record_id", "shared")
 
 
 def store_stats(store: DataFrame) -> DataFrame:
@@ -80,23 +117,32 @@ def store_stats(store: DataFrame) -> DataFrame:
     spark = store.sparkSession
     dims = spark.createDataFrame([("tier", str(t)) for t in TIERS] + [("status", x) for x in STATUSES], "kind string, value string")
     have = store.select(F.explode(F.array(F.struct(F.lit("tier").alias("kind"), F.col("tier").cast("string").alias("value")), F.struct(F.lit("status").alias("kind"), F.col("status").alias("value")))).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
-    return F.broadcast(dims).join(have, ["kind", "value"], "left").select("kind", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    return have.join(F.broadcast(dims), ["kind", "value"], "right").select("kind", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def hash_chain(records: DataFrame, order: list[str], own: str, chain: str | None = None) -> DataFrame:
     """(chain, n, own, chained): sha256(previous|own)[:16] along the order, within each chain.
 
-    A chain is sequential by nature; one chain is folded in one task, different chains in parallel.
+    A chain is sequential by nature: its sorted rows pass through one task, batch by batch, of which only the last hash
+    is kept; different chains run in parallel. A null `own` gives a null hash, after which the chain starts anew.
     """
-    by = F.col(chain) if chain else F.lit(0)
-    listed = records.groupBy(by.alias("chain")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(own).alias("own")))).alias("l"))
-    zero = F.array().cast("array<struct<own:string,chained:string>>")
-
-    def step(done, r):
-        last = F.coalesce(F.try_element_at(done, F.lit(-1))["chained"], F.lit(""))
-        return F.concat(done, F.array(F.struct(r["own"].alias("own"), F.substring(F.sha2(F.concat(last, F.lit("|"), r["own"]), 256), 1, 16).alias("chained"))))
-
-    return listed.select("chain", F.posexplode(F.aggregate("l", zero, step)).alias("n", "x")).select("chain", (F.col("n") + 1).cast("bigint").alias("n"), "x.own", "x.chained")
+    rows = records.select((F.col(chain) if chain else F.lit(0)).alias("chain"), *order, F.col(own).alias("own"))
+    schema = T.StructType([rows.schema["chain"], T.StructField("n", T.LongType()), T.StructField("own", T.StringType()), T.StructField("chained", T.StringType())])
+
+    def fold(batches):
+        at, n, last = object(), 0, ""
+        for b in batches:
+            out = []
+            for c, value in zip(b["chain"].tolist(), b["own"].tolist()):
+                if c != at:
+                    at, n, last = c, 0, ""
+                n += 1
+                hashed = None if value is None else hashlib.sha256(f"{last}|{value}".encode()).hexdigest()[:16]
+                out.append((c, n, value, hashed))
+                last = hashed or ""
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.repartition("chain").sortWithinPartitions("chain", *order, "own").mapInPandas(fold, schema)
 
 
 def chain_integrity(stored: DataFrame, computed: DataFrame) -> DataFrame:

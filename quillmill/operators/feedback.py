@@ -146,7 +146,8 @@ def nudge_latest(rows: DataFrame, order: str, signal: Column) -> DataFrame:
     """The latest row's confidence moved by a signal: accept +0.1, reject -0.2, solver_ok +0.15 (error 0), solver_fail -0.3 (error 3)."""
     last = rows.agg(F.max(order).alias("_last"))
     step = F.when(signal == "accept", 0.1).when(signal == "reject", -0.2).when(signal == "solver_ok", 0.15).when(signal == "solver_fail", -0.3).otherwise(0.0)
-    hit = F.col(order) == F.col("_last")
+    hit = F.col("_last").isNotNull()
     moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("true_confidence") + step))
     error = F.when(signal == "solver_ok", 0).when(signal == "solver_fail", 3).otherwise(F.col("true_error"))
-    return rows.join(F.broadcast(last), F.col(order) <= F.col("_last")).withColumn("true_confidence", F.when(hit, moved).otherwise(F.col("true_confidence"))).withColumn("true_error", F.when(hit, error).otherwise(F.col("true_error"))).drop("_last")
+    # one row; rows of a null order stay as they are
+    return rows.join(F.broadcast(last), F.col(order) == F.col("_last"), "left").withColumn("true_confidence", F.when(hit, moved).otherwise(F.col("true_confidence"))).withColumn("true_error", F.when(hit, error).otherwise(F.col("true_error"))).drop("_last")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import scalars as S
-from quillmill.session import broadcast_if_small, materialize
+from quillmill.session import materialize
 
 #: Conditions of the modal systems on their accessibility relation.
 SYSTEMS = {"K": (), "T": ("reflexive",), "KB": ("symmetric",), "S4": ("reflexive", "transitive"), "S5": ("reflexive", "symmetric", "transitive")}
@@ -80,37 +85,55 @@ def consistent_subsets(conflicts: DataFrame, labels: list[str]) -> list[list[str
     return largest or [labels]
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+#: Queries that go to all executors at once, and those a batch of rows is multiplied with at a time.
+QUERY_BLOCK, QUERY_TILE = 50_000, 256
+
+
+def _first(query: np.ndarray, vec: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest per query, by distance (nine decimals) and id."""
+    order = np.lexsort((vec, np.round(distance, 9), query))
+    q = query[order]
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[rank < k]
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, distance): exact k nearest of a stated query set against all rows.
 
-    The queries, checked to be few, go to all executors; each block of rows is multiplied with all of
-    them at once and keeps k per query, so only k rows per query and block are shuffled.
+    The queries go to all executors, `block` at a time. Each task multiplies its rows with tiles of them and keeps the
+    k nearest per query over all its batches, so k rows per query and task are shuffled. Rows without a vector are left out.
     """
-    import numpy as np
-    import pandas as pd
-
-    few = queries.select("query_id", "embedding").limit(200_001).collect()
-    if len(few) > 200_000:
-        raise ValueError("split the query set into blocks of 200000")
-    ids = np.array([r.query_id for r in few], dtype=np.int64)
-    q = np.array([r.embedding for r in few], dtype=np.float64).reshape(len(few), -1)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q))
-
-    def run(batches):
-        own, vectors = sent.value
-        for b in batches:
-            if not len(b) or not len(own):
-                continue
-            m = np.array(b["embedding"].tolist(), dtype=np.float64)
-            vec = b["vec_id"].to_numpy()
-            d = np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * vectors @ m.T, 0))
-            d[own[:, None] == vec[None]] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, : k + 4]
-            exact = np.sqrt(((vectors[:, None, :] - m[top]) ** 2).sum(2))
-            exact[np.isinf(np.take_along_axis(d, top, 1))] = np.inf
-            yield pd.DataFrame({"query_id": np.repeat(own, top.shape[1]), "vec_id": vec[top].ravel(), "distance": exact.ravel()}).query("distance < inf")
-
-    near = rows.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
+    given = queries.filter("embedding is not null").select("query_id", "embedding").toLocalIterator()
+    source, parts = rows.filter("embedding is not null").select("vec_id", "embedding"), []
+    while few := list(islice(given, block)):
+        ids = np.array([r.query_id for r in few], dtype=np.int64)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, np.array([r.embedding for r in few], dtype=np.float64).reshape(len(few), -1)))
+
+        def run(batches, sent=sent):
+            own, vectors = sent.value
+            squares = (vectors**2).sum(1)
+            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # place of the query, vec_id, distance
+            for b in batches:
+                if not len(b):
+                    continue
+                m, vec = np.array(b["embedding"].tolist(), dtype=np.float64), b["vec_id"].to_numpy()
+                size = (m**2).sum(1)
+                for t in range(0, len(own), QUERY_TILE):
+                    q = vectors[t : t + QUERY_TILE]
+                    d = squares[t : t + QUERY_TILE, None] + size[None] - 2 * q @ m.T
+                    d[own[t : t + QUERY_TILE, None] == vec[None]] = np.inf
+                    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                    # what rounding may have moved is judged by its exact distance
+                    i, j = np.nonzero((d <= (kth + 1e-6 * (1 + np.abs(kth)))[:, None]) & (d < np.inf))
+                    exact = np.sqrt(((q[i] - m[j]) ** 2).sum(1))
+                    held = [np.concatenate(x) for x in zip(held, (i + t, vec[j], exact))]
+                keep = _first(*held, k)
+                held = [x[keep] for x in held]
+            yield pd.DataFrame({"query_id": own[held[0]] if len(own) else held[0], "vec_id": held[1], "distance": held[2]})
+
+        parts.append(source.mapInPandas(run, "query_id long, vec_id long, distance double"))
+    near = reduce(DataFrame.union, parts) if parts else source.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
@@ -141,7 +164,7 @@ def context_verdicts(claims: DataFrame, theories: DataFrame) -> DataFrame:
     opposite = F.when(F.col("literal").startswith("not "), F.substring("literal", 5, 10_000)).otherwise(F.concat(F.lit("not "), F.col("literal")))
     yes = theories.join(claims, "literal").groupBy("theory").agg(F.array_sort(F.collect_set("claim")).alias("entailed"))
     no = theories.select("theory", opposite.alias("literal")).join(claims, "literal").groupBy("theory").agg(F.array_sort(F.collect_set("claim")).alias("contradicted"))
-    return broadcast_if_small(theories.select("theory").distinct()).join(yes, "theory", "left").join(no, "theory", "left")
+    return theories.select("theory").distinct().join(yes, "theory", "left").join(no, "theory", "left")
 
 
 def soft_optimum(assignments: DataFrame, constraints: DataFrame) -> DataFrame:

@@ -31,21 +31,29 @@ def latest(entries: DataFrame) -> DataFrame:
 def containments(a: DataFrame, b: DataFrame, least: int = 1) -> DataFrame:
     """(a_id, b_id): pairs in which the key of `a` (at least `least` long) is a substring of the key of `b`.
 
-    A substring's first 8 characters are an 8-gram of the text around it, so the candidates come from an
-    equi-join on 8-grams; shorter keys are joined on all substrings of their length. Empty keys match nothing.
+    All 8-grams of a substring are 8-grams of the text around it, so the candidates come from an equi-join on the one
+    that the fewest texts have, and a common beginning joins nothing. Shorter keys are joined on the substrings of
+    their length. Empty keys match nothing.
     """
     a = a.filter(F.length("key") >= max(1, least))
-    grams = lambda n: F.expr(f"array_distinct(transform(sequence(1, length(key) - {n - 1}), i -> substring(key, i, {n})))")
-    long_a = a.filter(F.length("key") >= GRAM).select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.substring("key", 1, GRAM).alias("gram"))
-    wide_b = b.filter(F.length("key") >= GRAM).select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.explode(grams(GRAM)).alias("gram"))
-    out = long_a.join(wide_b, "gram").filter(F.col("b_key").contains(F.col("a_key"))).select("a_id", "b_id")
+    grams = F.expr(f"array_distinct(transform(sequence(1, length(key) - {GRAM - 1}), i -> substring(key, i, {GRAM})))")
+    wide_b = b.filter(F.length("key") >= GRAM).select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.explode(grams).alias("gram"))
+    counts = wide_b.groupBy("gram").agg(F.count("*").alias("_n"))
+    each = a.filter(F.length("key") >= GRAM).select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.explode(grams).alias("gram")).join(counts, "gram", "left")
+    rarest = each.groupBy("a_id", "a_key").agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    out = rarest.join(wide_b, "gram").filter(F.col("b_key").contains(F.col("a_key"))).select("a_id", "b_id")
     if least < GRAM:
         short = a.filter(F.length("key") < GRAM).select(F.col("id").alias("a_id"), F.col("key").alias("gram"))
-        every = b.filter(F.length("key") >= 1).select(F.col("id").alias("b_id"), F.explode(F.expr(f"array_distinct(flatten(transform(sequence(1, least(length(key), {GRAM - 1})), n -> transform(sequence(1, length(key) - n + 1), i -> substring(key, i, n)))))")).alias("gram"))
-        out = out.union(short.join(every, "gram").select("a_id", "b_id"))
+        out = out.union(short.join(_short_parts(b, F.col("id").alias("b_id")), "gram").select("a_id", "b_id"))
     return out
 
 
+def _short_parts(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns and `gram`: each distinct substring of the key of fewer than GRAM characters."""
+    every = F.expr(f"array_distinct(flatten(transform(sequence(1, least(length(key), {GRAM - 1})), n -> transform(sequence(1, length(key) - n + 1), i -> substring(key, i, n)))))")
+    return rows.filter(F.length("key") >= 1).select(*columns, F.explode(every).alias("gram"))
+
+
 def title_matches(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
     """(a_id, b_id): one key contains the other, which has at least `least` characters."""
     swapped = containments(b, a, least).select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))
@@ -55,14 +63,18 @@ def title_matches(a: DataFrame, b: DataFrame, least: int = 15) -> DataFrame:
 def cross_source_duplicates(entries: DataFrame) -> DataFrame:
     """(entry_id, duplicate_of): the first other entry with a fuzzy equal title, if its source differs.
 
-    Alike titles are compared once per distinct title, so copies do not multiply.
+    Alike titles are compared once per distinct title, so copies do not multiply. Titles under eight characters, which
+    very many others may contain, take the first entry per substring before they are joined.
     """
     titled = entries.select("entry_id", "source", S.alnum_key(F.col("title")).alias("key"))
-    titles = titled.filter("key <> ''").groupBy("key").agg(F.min("entry_id").alias("id"))
-    alike = title_matches(titles, titles, 1)
-    firsts = titled.groupBy("key").agg(F.min_by(F.struct("entry_id", "source"), "entry_id").alias("f"))
-    linked = alike.join(titles.select(F.col("id").alias("a_id"), F.col("key").alias("key")), "a_id").join(titles.select(F.col("id").alias("b_id"), F.col("key").alias("other")), "b_id")
-    best = linked.join(firsts.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("f").alias("f"))
+    titles = titled.filter("key <> ''").groupBy("key").agg(F.min("entry_id").alias("id"), F.min_by(F.struct("entry_id", "source"), "entry_id").alias("f"))
+    alike = title_matches(titles.select("id", "key"), titles.select("id", "key"), GRAM)
+    long = alike.join(titles.select(F.col("id").alias("a_id"), "key"), "a_id").join(titles.select(F.col("id").alias("b_id"), "f"), "b_id").select("key", "f")
+    parts = _short_parts(titles, F.col("key"), F.col("f"))
+    short = titles.filter(F.length("key") < GRAM).select(F.col("key").alias("gram"), F.col("f").alias("own"))
+    around = parts.groupBy("gram").agg(F.min("f").alias("f")).join(short.select("gram"), "gram").select(F.col("gram").alias("key"), "f")
+    inside = parts.select("key", "gram").join(short, "gram").select("key", F.col("own").alias("f"))
+    best = long.union(around).union(inside).groupBy("key").agg(F.min("f").alias("f"))
     return titled.join(best, "key").filter((F.col("f.entry_id") < F.col("entry_id")) & (F.col("f.source") != F.col("source"))).select("entry_id", F.col("f.entry_id").alias("duplicate_of"))
 
 

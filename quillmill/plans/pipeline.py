@@ -88,7 +88,7 @@ def tree_report(files: DataFrame, categories: list[str] = L.INDEX_CATEGORIES) ->
     """(category, n_files, bytes) for every category, those without files too."""
     dim = files.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     have = files.groupBy("category").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
-    return F.broadcast(dim).join(have, "category", "left").select("category", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return have.join(F.broadcast(dim), "category", "right").select("category", F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
 
 def schemes(spark: SparkSession) -> DataFrame:

@@ -316,3 +316,71 @@ def test_pick_file(spark):
 def test_verdict_order(spark):
     got = spark.createDataFrame([("unsat",), ("sat",), ("timeout",), ("?",)], "o string").select(S.verdict_status(F.col("o")).alias("s")).collect()
     assert [r.s for r in got] == ["verified", "refuted", "timeout", "not_formalizable"]
+
+
+# ---- one hot key of 10,000 rows each ---------------------------------------------------------------
+
+
+def test_hot_words_in_lemmas(spark):
+    rows = [(i, f"the mind {['is', 'was', 'holds'][i % 3]} here", i % 4 + 1, "verified") for i in range(2000)] + [(5000, None, 1, "verified"), (5001, "the mind", 1, "refuted")]
+    store = spark.createDataFrame(rows, "record_id bigint, claim_text string, tier int, status string")
+    asked = spark.range(10_000).selectExpr("id as claim_id", "if(id = 7, null, 'The MIND is what it is') as claim")
+    got = claims.lemma_candidates(asked, "claim_id", store, block=300).filter("claim_id in (3, 7)").orderBy("claim_id", "rank").collect()
+    brute = sorted((t, -len({"the", "mind", "is", "what", "it"} & set(c.split())), i) for i, c, t, st in rows if st == "verified" and c)
+    assert [(r.claim_id, r.rank, r.record_id, r.shared) for r in got] == [(3, k + 1, i, -n) for k, (_, n, i) in enumerate(brute[:5])]
+    assert claims.lemma_candidates(asked.limit(0), "claim_id", store).count() == claims.lemma_candidates(asked, "claim_id", store.limit(0)).count() == 0
+
+
+def test_hot_chain(spark):
+    import hashlib
+
+    records = spark.range(10_000).selectExpr("id as seq", "if(id = 50, null, concat('h', id % 7)) as own", "if(id % 10 = 0, 'b', 'a') as c")
+    got = {(r.chain, r.n): r.chained for r in claims.hash_chain(records, ["seq"], "own", "c").collect()}
+    last, n = "", 0
+    for i in range(10_000):
+        if i % 10 == 0:
+            n += 1
+            own = None if i == 50 else f"h{i % 7}"
+            want = None if own is None else hashlib.sha256(f"{last}|{own}".encode()).hexdigest()[:16]
+            assert got["b", n] == want
+            last = want or ""
+    assert len(got) == 10_000
+
+
+def test_hot_vectors(spark):
+    """A third of all vectors are copies, and queries come in several blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(3000, 8))
+    m[::3] = m[0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9999, None)], "vec_id bigint, embedding array<double>")
+    asked = rows.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in logic.nearest(asked, rows, 5, block=7).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    for q in range(0, 3000, 100):
+        d = np.round(np.sqrt(((m - m[q]) ** 2).sum(1)), 9)
+        best = [i for _, i in sorted((x, i) for i, x in enumerate(d) if i != q)[:5]]
+        assert [got[q][k] for k in range(1, 6)] == best
+    assert logic.nearest(asked.limit(0), rows, 5).count() == 0
+
+
+def test_hot_titles(spark):
+    rows = [(i, f"The Common Nature of Item {i % 300}", f"s{i % 3}") for i in range(1500)] + [(9000, "On", "s9"), (9001, "Nature", "s8"), (9002, "", "s1"), (9003, None, "s1")]
+    entries = spark.createDataFrame(rows, "entry_id bigint, title string, source string")
+    got = {r.entry_id: r.duplicate_of for r in manifest.cross_source_duplicates(entries).collect()}
+    key = {i: "".join(c for c in (t or "").lower() if c.isalnum()) for i, t, _ in rows}
+    first = {}
+    for i, t, src in rows:
+        if key[i]:
+            first.setdefault(key[i], (i, src))
+    for i, _, src in [rows[k] for k in (0, 5, 299, 300, 777, 1499, 1500, 1501, 1502)]:
+        best = min((f for k, f in first.items() if key[i] and (k in key[i] or key[i] in k)), default=None)
+        assert got.get(i) == (best[0] if best and best[0] < i and best[1] != src else None)
+
+
+def test_nudge_keeps_null_order(spark):
+    rows = spark.createDataFrame([(1, 0.5, 2), (3, 0.5, 2), (None, 0.5, 2)], "seq int, true_confidence double, true_error int")
+    got = {r.seq: round(r.true_confidence, 3) for r in feedback.nudge_latest(rows, "seq", F.lit("accept")).collect()}
+    assert got == {1: 0.5, 3: 0.6, None: 0.5}
