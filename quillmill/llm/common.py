@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What separates words in the token estimate (TESTDATA.md): space, tab, CR, LF, FF.
-GAP = r"[ \t\r\n\f]+"
+#: A word in the token estimate (TESTDATA.md): what stands between space, tab, CR, LF, FF.
+WORD = r"[^ \t\r\n\f]+"
 
 
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null, empty and blank texts."""
-    inner = F.regexp_replace(text, r"\A[ \t\r\n\f]+|[ \t\r\n\f]+\z", "")
-    return F.coalesce(F.when(inner == "", 0).otherwise(F.size(F.split(inner, GAP))), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import token_estimate
-from quillmill.session import broadcast_if_small
+from quillmill.session import broadcast_if_small, materialize
 
 SEED = 42
 
@@ -66,9 +66,14 @@ def mix_sample(documents: DataFrame, manifests: DataFrame, seed: int = SEED) ->
     """The mixes: (manifest_id, category, doc_id, copies, token_estimate), for documents used at least once.
 
     The draw depends on seed, manifest and doc_id, so rows repeated with one doc_id are drawn alike.
-    Documents of no named category are left out. The plan is broadcast only after it was counted.
+    Documents of no named category are left out. The plan (a row per manifest and ratio) is made once and broadcast only
+    after it was counted.
     """
-    plan = broadcast_if_small(mix_plan(documents, manifests).filter(F.col("rate") > 0).select("manifest_id", "category", "rate"))
+    return _draw_sample(documents, materialize(mix_plan(documents, manifests), "plan"), seed)
+
+
+def _draw_sample(documents: DataFrame, whole_plan: DataFrame, seed: int) -> DataFrame:
+    plan = broadcast_if_small(whole_plan.filter(F.col("rate") > 0).select("manifest_id", "category", "rate"))
     docs = documents.select("doc_id", category_key(F.col("category")).alias("_key"), token_estimate(F.col("text")).alias("token_estimate"))
     used = docs.join(plan, F.col("_key") == F.col("category"))
     whole = F.floor("rate").cast("bigint")
@@ -84,10 +89,10 @@ def emit_copies(sample: DataFrame) -> DataFrame:
 def mix_report(documents: DataFrame, manifests: DataFrame, cards: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """Per manifest and category: target share and tokens, those reached, documents and copies used,
     and the count of that category summed over `dataset_card.category_distribution` (null if no card has it)."""
-    got = mix_sample(documents, manifests, seed).groupBy(F.col("manifest_id").alias("_m"), F.col("category").alias("_c")).agg(
+    plan = materialize(mix_plan(documents, manifests), "plan")
+    got = _draw_sample(documents, plan, seed).groupBy(F.col("manifest_id").alias("_m"), F.col("category").alias("_c")).agg(
         F.sum(F.col("copies") * F.col("token_estimate")).alias("_got"), F.sum("copies").alias("_copies"), F.count("*").alias("_docs")
     )
-    plan = mix_plan(documents, manifests)
     joined = plan.join(got, (F.col("manifest_id") == F.col("_m")) & (F.col("category") == F.col("_c")), "left")
     zero = F.lit(0).cast("bigint")
     rows = joined.select("manifest_id", "category", "share", "wanted_tokens", "available_tokens", "rate", "short", F.coalesce("_got", zero).alias("actual_tokens"), F.coalesce("_docs", zero).alias("docs_used"), F.coalesce("_copies", zero).alias("copies_used"))
