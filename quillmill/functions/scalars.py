@@ -297,6 +297,11 @@ def belnap_and_lattice(a: Column, b: Column) -> Column:
     return F.when(t & f, 3).when(t, 2).when(f, 1).otherwise(0)
 
 
+def belnap_predicates(a: Column) -> dict[str, Column]:
+    """Whether a value says true, says false, says both, says nothing."""
+    return {"is_true": a.isin(2, 3), "is_false": a.isin(1, 3), "is_both": a == 3, "is_neither": a == 0}
+
+
 def usage_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     return tokens_in * price_in / 1000 + tokens_out * price_out / 1000
 
@@ -334,3 +339,14 @@ def knowledge_hit(response: Column, keywords: Column) -> Column:
 
 def scheme_hit(response: Column, expected: Column) -> Column:
     return F.translate(F.lower(response), " -", "__").contains(expected)
+
+
+def example_checks(example_type: Column, response: Column) -> dict[str, Column]:
+    """Keyword diagnostics of a training example; the verdict is always true, whatever they say."""
+    t = F.lower(response)
+    has = lambda *words: F.coalesce(all_of(t, list(words)), F.lit(False))
+    return {"reconstructs": F.coalesce(example_type == "A", F.lit(False)) & has("valid", "premise", "conclusion"), "objects": F.coalesce(example_type == "B", F.lit(False)) & has("objection", "defense"), "ok": F.lit(True)}
+
+
+def all_of(text: Column, phrases: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [text.contains(p) for p in phrases])

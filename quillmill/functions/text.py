@@ -209,6 +209,13 @@ def code_prompt(error_type: Column, query: Column, draft: Column) -> Column:
     )
 
 
+def oracle_message(request: Column, context: Column, error: Column) -> Column:
+    """What an oracle is sent: the draft as context where there is one, the question, and a note of the error (1-4) in small letters."""
+    kind = F.when(error == 1, "factual gap").when(error == 2, "reasoning error").when(error == 3, "formalization error").when(error == 4, "scope exceeded")
+    body = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("CONTEXT:\n"), context, F.lit("\n\nQUESTION:\n"), request)).otherwise(request)
+    return F.concat(body, F.coalesce(F.concat(F.lit("\n\nNOTE: this was marked as a "), kind, F.lit(" issue.")), F.lit("")))
+
+
 def feedback_text(errors: Column, core: Column, suggestion: Column) -> Column:
     """Lines of errors, the unsatisfiable core and the suggestion; null parts are left out."""
     return F.concat_ws("\n", F.transform(errors, lambda e: F.concat(F.lit("- "), e)), F.when(F.size(core) > 0, F.concat(F.lit("Unsat core: "), F.array_join(core, ", "))), F.concat(F.lit("Suggestion: "), suggestion))

@@ -176,3 +176,24 @@ def invalidation(records: DataFrame, edges: DataFrame, start: DataFrame) -> Data
     marked = records.join(hit, "record_id", "left")
     blocked = marked.filter("_hit and tier = 1").limit(1).count() > 0
     return records if blocked else marked.withColumn("status", F.when(F.col("_hit"), "refuted").otherwise(F.col("status"))).drop("_hit")
+
+
+def axioms(store: DataFrame) -> DataFrame:
+    """Verified records of tier 1."""
+    return store.filter("tier = 1 and status = 'verified'")
+
+
+#: Seed records (id, claim, status, tier, premises).
+SEEDS = [
+    ("axiom_cogito_strict_inference", "The Cogito is a valid strict inference: Doubts(ego) -> Thinks(ego) -> Exists(ego). No model exists where the ego doubts but does not exist.", "verified", 1, []),
+    ("axiom_real_distinction_s5", "The Real Distinction argument is valid in S5: if mind without body is conceivable (accessible world exists), then mind and body are not identical.", "verified", 1, []),
+    ("axiom_cartesian_circle_structure", "The Cartesian Circle exhibits circular justification: CDP -> God's existence -> CDP reliability -> CDP. Under transitivity, CDP justifies itself.", "verified", 1, ["justification_transitivity"]),
+    ("contested_ontological_argument", "Descartes' ontological argument is deductively valid IF existence is accepted as a real predicate/perfection.", "conditional", 4, ["god_defined_as_all_perfections", "existence_is_a_perfection"]),
+]
+
+
+def seeded_store(spark) -> DataFrame:
+    """(seq, record_id, claim_text, status, tier, premises, own): the seed records in their order; axioms are chained by `hash_chain`."""
+    rows = [(i, *r) for i, r in enumerate(SEEDS, 1)]
+    table = spark.createDataFrame(rows, "seq int, record_id string, claim_text string, status string, tier int, premises array<string>")
+    return table.withColumn("own", S.proof_hash(F.col("claim_text"), F.lit(""), F.col("status")))

@@ -174,3 +174,43 @@ def soft_optimum(assignments: DataFrame, constraints: DataFrame) -> DataFrame:
     """
     scored = assignments.join(constraints, "literal", "left").groupBy("assignment").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
     return scored.orderBy(F.desc("weight"), "assignment").limit(1)
+
+
+def build_arguments(arguments: DataFrame, rules: DataFrame) -> DataFrame:
+    """(arg_id, conclusion, top_rule, is_strict): `arguments` has arg_id, conclusion and rule_ids, `rules` rule_id and is_strict.
+
+    The top rule is the last listed one that exists; an argument without one is strict.
+    """
+    listed = arguments.select("arg_id", F.posexplode("rule_ids").alias("at", "rule_id")).join(rules.select("rule_id", "is_strict"), "rule_id")
+    top = listed.groupBy("arg_id").agg(F.max_by(F.struct("rule_id", "is_strict"), "at").alias("_t"))
+    return arguments.join(top, "arg_id", "left").select("arg_id", "conclusion", F.col("_t.rule_id").alias("top_rule"), F.coalesce("_t.is_strict", F.lit(True)).alias("_own"))
+
+
+def argument_trees(built: DataFrame, parts: DataFrame, premises: DataFrame) -> DataFrame:
+    """(arg_id, premises, is_strict): all premises below an argument, and whether all rules there are strict.
+
+    `built` comes from `build_arguments`, `parts` has (arg_id, sub_id), `premises` (arg_id, premise). Arguments that
+    an argument reaches over its parts are found by repeated joins; cycles end, as no pair is reached twice.
+    """
+    edges = parts.select(F.col("arg_id").alias("mid"), F.col("sub_id").alias("below")).distinct()
+    seen = materialize(built.select("arg_id", F.col("arg_id").alias("below")).distinct(), "trees")
+    front = seen
+    while True:
+        step = front.withColumnRenamed("below", "mid").join(edges, "mid").select("arg_id", "below").distinct()
+        front = materialize(step.join(seen, ["arg_id", "below"], "left_anti"), "trees")
+        if front.isEmpty():
+            break
+        seen = materialize(seen.union(front), "trees")
+    own = seen.join(built.select(F.col("arg_id").alias("below"), "_own"), "below", "left").groupBy("arg_id").agg(F.min(F.coalesce("_own", F.lit(True))).alias("is_strict"))
+    held = seen.join(premises.select(F.col("arg_id").alias("below"), "premise"), "below").groupBy("arg_id").agg(F.array_sort(F.collect_set("premise")).alias("premises"))
+    return own.join(held, "arg_id", "left").select("arg_id", F.coalesce("premises", F.array().cast("array<string>")).alias("premises"), "is_strict")
+
+
+def structural_mapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(role, at, source, target): parts of two arguments (role, at, name) that correspond by role and place; a part without its like has null there."""
+    left, right = a.select("role", "at", F.col("name").alias("source")), b.select("role", "at", F.col("name").alias("target"))
+    return left.join(right, ["role", "at"], "full")
+
+
+def space_stats(theories: DataFrame, dimensions: list[str]) -> DataFrame:
+    return theories.agg(F.count("*").alias("theories")).select("theories", F.lit(len(dimensions)).alias("dimensions"), F.lit(", ".join(dimensions)).alias("names"))

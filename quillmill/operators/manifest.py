@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import scalars as S
@@ -90,8 +90,9 @@ def new_files(candidates: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def first_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row per key: merge of search strategies, ids unique across queries."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
+    """The first row per key: merge of search strategies, ids unique across queries. Combined before the shuffle."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns if c != key]), F.struct(*order)).alias("_first"))
+    return first.select(key, "_first.*").select(*rows.columns)
 
 
 def author_folder(author: Column, folders: dict[str, str]) -> Column:
@@ -119,3 +120,9 @@ def pick_text_url(formats: Column) -> Column:
     usable = F.map_filter(formats, lambda k, v: ~v.endswith(".zip"))
     plain = F.array_min(F.transform(F.map_entries(F.map_filter(usable, lambda k, v: k.startswith("text/plain"))), lambda e: e["value"]))
     return F.coalesce(*[F.try_element_at(usable, F.lit(t)) for t in TEXT_TYPES], plain)
+
+
+def relevant_hits(hits: DataFrame, author: Column) -> DataFrame:
+    """Search hits (title, authors) by an author of the query, or with a title that speaks of the subject."""
+    by = F.coalesce(S.author_matches(F.col("authors"), author), F.lit(False))
+    return hits.filter(by | F.coalesce(S.title_relevant(F.col("title"), author), F.lit(False)))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillmill.plans import corpus_queries, engine_queries, fixture_queries
+from quillmill.plans import corpus_queries, engine_queries, extended_queries, fixture_queries
 
-MODULES = (corpus_queries, engine_queries, fixture_queries)
+MODULES = (corpus_queries, engine_queries, fixture_queries, extended_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

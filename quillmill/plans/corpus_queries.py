@@ -11,7 +11,7 @@ from quillmill.functions import text as X
 from quillmill.operators import corpus as C
 from quillmill.operators import dedup as D
 from quillmill.plans import pipeline as P
-from quillmill.session import load
+from quillmill.session import broadcast_if_small, load
 
 DOCS = "documents"
 
@@ -145,12 +145,15 @@ def dedup_survivors(s, d):
 
 
 def split_sequences(s, d):
-    return C.split_sequences(docs(s, d), 400).select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "tokens", md5(F.col("text")).alias("text_md5"))
+    return C.split_sequences(docs(s, d), SEQUENCE_TOKENS).select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "tokens", md5(F.col("text")).alias("text_md5"))
+
+
+#: Tokens of a sequence in these queries.
+SEQUENCE_TOKENS = 400
 
 
 def _split(s, d):
-    # one sequence per document: the cut into chunks is a query of its own
-    return C.train_val(C.split_sequences(docs(s, d), 1 << 30), ["doc_id", "chunk_idx"])
+    return C.train_val(C.split_sequences(docs(s, d), SEQUENCE_TOKENS), ["doc_id", "chunk_idx"])
 
 
 def train_val_split(s, d):
@@ -193,13 +196,16 @@ def corpus_verify(s, d):
 
 
 def passage_mining(s, d):
-    """Paragraphs of more than 200 characters that mention a name of the query set, the first 50 per name."""
+    """Paragraphs of more than 200 characters that mention a name of the query set, the first 50 per name. The texts are
+    the examples' prompts with their passages, as the documents name nobody."""
     from pyspark.sql import Window
 
-    names = load(s, d, "sft_examples").select(F.col("philosopher").alias("name")).filter("name is not null").distinct()
+    rows = load(s, d, "sft_examples")
+    names = rows.select(F.col("philosopher").alias("name")).filter("name is not null").distinct()
     first = F.split_part("name", F.lit(" "), F.lit(-1))
-    words = docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "passage")).filter(F.length("passage") > 200).select("doc_id", "pos", "passage", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).alias("last"))
-    found = words.join(F.broadcast(names.select("name", first.alias("last"))), "last").filter(F.col("passage").contains(F.col("name")))
+    texts = rows.select(F.col("row_id").alias("doc_id"), F.concat_ws(" ", "user_prompt", "source_passage").alias("text"))
+    words = texts.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("pos", "passage")).filter(F.length("passage") > 200).select("doc_id", "pos", "passage", F.explode(F.array_distinct(F.regexp_extract_all("passage", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).alias("last"))
+    found = words.join(broadcast_if_small(names.select("name", first.alias("last"))), "last").filter(F.col("passage").contains(F.col("name")))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("doc_id", "pos"))
     return found.withColumn("rank", rank).filter("rank <= 50").select("name", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.col("pos").cast("bigint").alias("pos"))
 
@@ -210,7 +216,12 @@ _LINES = "string_split(text, chr(10))"
 _STRIPPED = f"list_transform({_LINES}, lambda l: {SQL_STRIP % 'l'})"
 _CATEGORY_SHARE = "round(tokens / greatest(sum(tokens) OVER (), 1), 9) AS share"
 _UNIQUE = "(SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"
-_SEQUENCES = f"(SELECT doc_id, category, 0::BIGINT AS chunk_idx, text, {SQL_TOKENS} AS tokens FROM documents WHERE length({SQL_STRIP % 'text'}) >= 50)"
+# greedy chunks of paragraphs: a running fold per document
+_FOLDED = f"""p AS (SELECT doc_id, category, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, category, CASE WHEN {SQL_TOKENS} > {SEQUENCE_TOKENS} THEN string_split(text, chr(10) || chr(10)) ELSE [text] END AS l FROM documents WHERE length({SQL_STRIP % 'text'}) >= 50)),
+n AS (SELECT *, {SQL_TOKENS.replace('text', 'p')} AS t FROM p),
+fold(doc_id, i, chunk, used) AS (SELECT doc_id, i, 0, t FROM n WHERE i = 1 UNION ALL SELECT n.doc_id, n.i, fold.chunk + (used + t > {SEQUENCE_TOKENS})::INT, CASE WHEN used + t > {SEQUENCE_TOKENS} THEN t ELSE used + t END FROM fold JOIN n ON n.doc_id = fold.doc_id AND n.i = fold.i + 1),
+seqs AS (SELECT doc_id, any_value(category) AS category, chunk::BIGINT AS chunk_idx, string_agg(p, chr(10) || chr(10) ORDER BY i) AS text FROM fold JOIN n USING (doc_id, i) GROUP BY doc_id, chunk)"""
+_SEQUENCES = f"(WITH RECURSIVE {_FOLDED} SELECT doc_id, category, chunk_idx, text, {SQL_TOKENS} AS tokens FROM seqs)"
 _MARKED = f"(SELECT *, md5('42|' || doc_id || '|' || chunk_idx) AS m, count(*) OVER () AS n FROM {_SEQUENCES})"
 _CUT = f"(SELECT *, CASE WHEN row_number() OVER (ORDER BY m, doc_id) <= floor(n * 0.95::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM {_MARKED})"
 _A, _B = D.permutations()
@@ -267,5 +278,5 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
     "corpus_verify": f"""WITH kw AS (SELECT item_id AS claim_id, unnest(list_filter(string_split_regex(lower(q), '[{WS}]+'), lambda x: length(x) > 2 AND NOT list_contains({sql_list(L.VERIFIER_STOP)}, x))) AS k FROM eval_items),
 hits AS (SELECT claim_id, doc_id, count(*) AS score FROM kw JOIN documents ON contains(lower(text), k) GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT claim_id, doc_id, score FROM hits QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) = 1""",
-    "passage_mining": "WITH names AS (SELECT DISTINCT philosopher AS name FROM sft_examples WHERE philosopher IS NOT NULL), p AS (SELECT doc_id, unnest(l) AS passage, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS l FROM documents)) SELECT name, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS rank, doc_id, pos FROM p JOIN names ON contains(passage, name) WHERE length(passage) > 200 QUALIFY rank <= 50",
+    "passage_mining": "WITH names AS (SELECT DISTINCT philosopher AS name FROM sft_examples WHERE philosopher IS NOT NULL), p AS (SELECT doc_id, unnest(l) AS passage, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT row_id AS doc_id, string_split(concat_ws(' ', user_prompt, source_passage), chr(10) || chr(10)) AS l FROM sft_examples)) SELECT name, row_number() OVER (PARTITION BY name ORDER BY doc_id, pos) AS rank, doc_id, pos FROM p JOIN names ON contains(passage, name) WHERE length(passage) > 200 QUALIFY rank <= 50",
 }

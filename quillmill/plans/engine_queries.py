@@ -152,7 +152,7 @@ def recency_sample(s, d):
 
 
 def buffer_tail(s, d):
-    return B.buffer_tail(_labelled(s, d), "seq", 1000).select("seq")
+    return B.buffer_tail(_labelled(s, d), "seq", 10_000).select("seq")
 
 
 def recent_loss(s, d):
@@ -262,12 +262,13 @@ def latest_downloads(s, d):
 
 
 def pending_downloads(s, d):
-    return M.pending(load(s, d, "documents").select("doc_id", "url"), entries(s, d).filter("duplicate_of is null and entry_id % 2 = 0"))
+    return M.pending(load(s, d, "documents").select("doc_id", "url"), entries(s, d).filter("duplicate_of is null"))
 
 
 def title_matches(s, d):
-    keyed = entries(s, d).groupBy(S.title_key(F.col("title")).alias("key")).agg(F.min("entry_id").alias("id"))
-    return M.title_matches(keyed.filter("id % 2 = 0"), keyed.filter("id % 2 = 1"))
+    """Titles against a library's names, which have the author behind the title."""
+    keyed = lambda c: entries(s, d).groupBy(S.title_key(c).alias("key")).agg(F.min("entry_id").alias("id")).filter("key is not null")
+    return M.title_matches(keyed(F.col("title")), keyed(F.concat("title", F.lit(" "), "author")))
 
 
 def cross_source_duplicates(s, d):
@@ -279,8 +280,12 @@ def file_names(s, d):
     return entries(s, d).select("entry_id", S.safe_filename(t).alias("safe"), S.book_filename(t, 24).alias("book"), S.title_key(t).alias("key"), S.path_category(f).alias("folder"), S.file_category(t).alias("category"), M.file_key(f).alias("file_key"), S.title_relevant(t, F.col("author")).alias("relevant"))
 
 
+#: Paths over several folders, for entries whose titles name works, too.
+SQL_PATH = "concat('raw/', CASE entry_id % 6 WHEN 0 THEN 'formal_logic' WHEN 1 THEN 'SEP' WHEN 2 THEN 'arxiv' WHEN 3 THEN 'neuroscience' WHEN 4 THEN 'other' ELSE 'descartes_primary/meditations' END, '/', CASE entry_id % 7 WHEN 0 THEN 'Meditation_II_' WHEN 1 THEN 'Passions-first-' ELSE '' END, replace(lower(title), ' ', '_'), '.txt')"
+
+
 def source_citations(s, d):
-    path = F.concat(F.lit("raw/formal_logic/"), F.replace(F.lower("title"), F.lit(" "), F.lit("_")), F.lit(".txt"))
+    path = F.expr(SQL_PATH)
     return entries(s, d).select("entry_id", S.source_citation(path).alias("citation"), S.index_category(path).alias("category"))
 
 
@@ -465,7 +470,7 @@ SELECT row_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.5 ELSE round(len(list_i
     "feedback_labels": f"WITH {_FB} SELECT seq, round(true_confidence, 9) AS true_confidence, true_routing, true_error FROM fb",
     "recency_weights": "SELECT event_id AS seq, round(1 + (row_number() OVER (ORDER BY event_id) - 1) / count(*) OVER (), 9) AS weight FROM events",
     "recency_sample": "WITH n AS (SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM events), c AS (SELECT seq, rn, n, sum(1 + (rn - 1) / n) OVER (ORDER BY rn) AS hi FROM n), d AS (SELECT i AS draw, ('0x' || substr(md5('42|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM generate_series(1, 32) AS g(i)) SELECT draw, seq FROM d JOIN c ON u * (n + (n - 1) / 2) >= hi - (1 + (rn - 1) / n) AND u * (n + (n - 1) / 2) < hi",
-    "buffer_tail": "SELECT event_id AS seq FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 1000",
+    "buffer_tail": "SELECT event_id AS seq FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 10000",
     "recent_loss": f"WITH {_FB} SELECT round(avg(abs(predicted_confidence - true_confidence)), 9) AS mean_loss FROM (SELECT * FROM fb QUALIFY row_number() OVER (ORDER BY seq DESC) <= 1000)",
     "convergence": f"WITH {_CONV} SELECT checkpoint, round(ce, 9) AS calibration_error, round(ra, 9) AS routing_accuracy, round(ac, 9) AS avg_confidence FROM conv",
     "convergence_trend": f"WITH {_CONV} SELECT round(arg_min(ce, checkpoint) - arg_max(ce, checkpoint), 9) AS calibration_gain, round(arg_max(ra, checkpoint) - arg_min(ra, checkpoint), 9) AS routing_gain FROM conv",
@@ -486,8 +491,8 @@ SELECT row_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.5 ELSE round(len(list_i
     "answer_checks": f"WITH x AS (SELECT row_id, assistant_response AS r, lower(assistant_response) AS t, lower(split_part(assistant_response, chr(10), 1)) AS f FROM sft_examples WHERE assistant_response IS NOT NULL) SELECT row_id, nullif(regexp_extract(upper(regexp_replace(r, '[\\x{{c0}}-\\x{{d6}}\\x{{d8}}-\\x{{f6}}\\x{{f8}}-\\x{{24f}}]', '_', 'g')), '\\b([A-D])\\b', 1), '') AS choice, {_ANY('t', L.DEFERRALS)} AS defers, contains(t, 'valid') AND NOT contains(t, 'invalid') AS valid, contains(f, 'valid') AND NOT contains(f, 'invalid') AS valid_first_line, contains(t, 'modus') OR contains(t, 'stimulus') AS knows, contains(translate(t, ' -', '__'), 'argument_from_sign') AS scheme, round((contains(r, 'OBJECTION')::INT + contains(r, 'DEFENCE')::INT + contains(r, 'Form')::INT) / 3, 6) AS coverage FROM x",
     "manifest_summary": "SELECT lower(string_split(coalesce(author, 'unknown'), ' ')[-1]) AS author, source, count(*) AS n_files, count(duplicate_of) AS n_duplicates, round(sum(coalesce(file_size, 0)) / 1048576, 6) AS megabytes FROM manifest_entries GROUP BY 1, 2",
     "latest_downloads": "SELECT url, arg_max(entry_id, (download_date, entry_id)) AS entry_id, count(*) AS n_downloads FROM manifest_entries GROUP BY 1",
-    "pending_downloads": "SELECT doc_id, url FROM documents d WHERE url IS NULL OR NOT EXISTS (SELECT 1 FROM manifest_entries e WHERE e.url = d.url AND duplicate_of IS NULL AND entry_id % 2 = 0)",
-    "title_matches": f"WITH k AS (SELECT {_KEY} AS key, min(entry_id) AS id FROM manifest_entries GROUP BY 1) SELECT a.id AS a_id, b.id AS b_id FROM k a JOIN k b ON a.id % 2 = 0 AND b.id % 2 = 1 AND ((length(a.key) >= 15 AND contains(b.key, a.key)) OR (length(b.key) >= 15 AND contains(a.key, b.key)))",
+    "pending_downloads": "SELECT doc_id, url FROM documents d WHERE url IS NULL OR NOT EXISTS (SELECT 1 FROM manifest_entries e WHERE e.url = d.url AND duplicate_of IS NULL)",
+    "title_matches": f"WITH a AS (SELECT {_KEY} AS key, min(entry_id) AS id FROM manifest_entries GROUP BY 1), b AS (SELECT {_KEY.replace('title', "(title || ' ' || author)")} AS key, min(entry_id) AS id FROM manifest_entries WHERE author IS NOT NULL GROUP BY 1) SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b ON (length(a.key) >= 15 AND contains(b.key, a.key)) OR (length(b.key) >= 15 AND contains(a.key, b.key))",
     "cross_source_duplicates": "WITH k AS (SELECT entry_id, source, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM manifest_entries), f AS (SELECT b.entry_id, b.source, min((a.entry_id, a.source)) AS f FROM k a JOIN k b ON a.key <> '' AND b.key <> '' AND (contains(a.key, b.key) OR contains(b.key, a.key)) GROUP BY ALL) SELECT entry_id, f[1] AS duplicate_of FROM f WHERE f[1] < entry_id AND f[2] <> source",
     "file_names": f"WITH b AS (SELECT *, regexp_replace({SQL_STRIP % _BOOK}, '[{WS}]+', '_', 'g') AS bk, regexp_replace(lower(string_split(filename, '/')[-1]), '\\.[^.]*$', '') AS st FROM manifest_entries) SELECT entry_id, substr(regexp_replace(regexp_replace(title, '[<>:\"/\\\\|?*]', '', 'g'), '[{WS}]+', '_', 'g'), 1, 120) AS safe, CASE WHEN length(bk) > 24 THEN substr(bk, 1, 15) || '_' || substr(md5(bk), 1, 8) WHEN bk = '' THEN 'unnamed' ELSE bk END AS book, {_KEY} AS key, split_part(filename, '/', 1) AS folder, CASE {_CATEGORY} ELSE 'broader_philosophy' END AS category, substr(trim(regexp_replace(st, '[_\\-\\s]+', ' ', 'g')), 1, 40) AS file_key, {_ANY('lower(title)', L.TITLE_KEYWORDS)} OR coalesce(len(list_filter({SQL_WORDS % 'lower(author)'}, lambda z: length(z) >= 5 AND contains(lower(title), z))) > 0, false) AS relevant FROM b",
     "vector_norms": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT vec_id, sqrt(list_sum(list_transform(e, lambda z: z * z))) AS norm, sqrt(list_sum(list_transform(e, lambda z: (z - 0.125) * (z - 0.125)))) AS dist, list_sum(list_transform(e, lambda z: z * 0.125::DOUBLE)) AS dot, sqrt(len(e) * 0.125::DOUBLE * 0.125) AS ones FROM v) SELECT vec_id, round(norm, 6) AS norm, round(dist, 6) AS distance, CASE WHEN norm * ones = 0 THEN 0 ELSE round(dot / (norm * ones), 6) END AS cosine FROM s",

@@ -32,13 +32,14 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def text_files(spark: SparkSession, root: str, skip: tuple[str, ...] = ("extraction", "preparation", "metrics")) -> DataFrame:
-    """(path, text) of *.txt files whose names do not start with one of `skip`."""
+def text_files(spark: SparkSession, root: str, skip: tuple[str, ...] = ("extraction", "preparation", "metrics", "cleaning"), least: int = 0) -> DataFrame:
+    """(path, text) of *.txt files whose names do not start with one of `skip`, and of `least` characters or more without blanks around."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     for s in skip:
         rows = rows.filter(~name.startswith(s))
-    return rows.select("path", decoded(F.col("content")).alias("text"))
+    texts = rows.select("path", decoded(F.col("content")).alias("text"))
+    return texts.filter(F.length(X.strip(F.col("text"))) >= least) if least else texts
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, drop_bad: bool = False) -> DataFrame:
@@ -177,6 +178,14 @@ def atom_entries(xml: Column) -> Column:
     return run(xml)
 
 
+def archive_hits(json: Column) -> Column:
+    """ARRAY of identifier, title, creator of an archive's search answer: texts only; none for a broken answer."""
+    doc = T.StructType([T.StructField(n, T.StringType()) for n in ("identifier", "title", "creator", "mediatype")])
+    answer = F.from_json(json, T.StructType([T.StructField("response", T.StructType([T.StructField("docs", T.ArrayType(doc))]))]))
+    docs = F.coalesce(answer["response"]["docs"], F.array().cast(T.ArrayType(doc)))
+    return F.transform(F.filter(docs, lambda x: x["mediatype"] == "texts"), lambda x: F.struct(x["identifier"].alias("identifier"), x["title"].alias("title"), x["creator"].alias("creator")))
+
+
 def search_pages(pages: DataFrame, item: str, most: int = 3) -> DataFrame:
     """Items of the first `most` pages per query of a paginated JSON search: (query, page, json) rows in."""
     schema = T.StructType([T.StructField("next", T.StringType()), T.StructField("results", T.ArrayType(T._parse_datatype_string(item) if isinstance(item, str) else item))])

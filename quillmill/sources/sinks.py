@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +13,8 @@ def write_documents(df: DataFrame, path: str, by: str = "category") -> None:
 
 
 def write_training(split: DataFrame, path: str) -> None:
-    """train and val as JSON lines; only the text survives."""
-    for part in ("train", "val"):
-        split.filter(F.col("split") == part).select("text").write.mode("overwrite").json(f"{path}/{part}")
+    """train and val as JSON lines in one pass, a folder per part; only the text survives."""
+    split.select("split", "text").write.mode("overwrite").partitionBy("split").json(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
@@ -22,6 +22,24 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+INDEX_VERSION = "1.0"
+
+
+def write_index(passages: DataFrame, path: str, key: str = "category") -> None:
+    """An index: its entries as a table, and one row with version, number of entries and the distinct categories in order."""
+    passages.write.mode("overwrite").parquet(f"{path}/entries")
+    read_index(passages.sparkSession, path)[0].agg(F.lit(INDEX_VERSION).alias("version"), F.count("*").alias("total"), F.array_sort(F.collect_set(key)).alias("categories")).write.mode("overwrite").json(f"{path}/header")
+
+
+def read_index(spark, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(entries, header) of a written index; the header is None while it is not there yet."""
+    entries = spark.read.parquet(f"{path}/entries")
+    try:
+        return entries, spark.read.schema("version string, total bigint, categories array<string>").json(f"{path}/header")
+    except AnalysisException:
+        return entries, None
+
+
 def append(df: DataFrame, path: str) -> None:
     """Append-only tables: knowledge records, feedback rows."""
     df.write.mode("append").parquet(path)

@@ -48,10 +48,11 @@ def feedback(events: DataFrame) -> DataFrame:
     return B.labelled(B.outcomes(events))
 
 
-def triggers(events: DataFrame, least: int = 32, every: int = 8) -> DataFrame:
+def triggers(events: DataFrame, least: int = 32, every: int = 8, full: int | None = None) -> DataFrame:
     """(user_id, n_rows, n_triggers) so far: per user, training starts once `least` rows are there and `every` are new.
 
-    State per user: rows seen, rows since the last start, starts.
+    With `full`, the length of the buffer decides instead: training starts whenever it holds `least` rows or more and a
+    multiple of `every`, so on each row once the buffer is full. State per user: rows seen, rows since the last start, starts.
     """
 
     def step(key, batches, state):
@@ -59,7 +60,8 @@ def triggers(events: DataFrame, least: int = 32, every: int = 8) -> DataFrame:
         for b in batches:
             for _ in range(len(b)):
                 seen, new = seen + 1, new + 1
-                if seen >= least and new >= every:
+                held = seen if full is None else min(seen, full)
+                if held >= least and (new >= every if full is None else held % every == 0):
                     fired, new = fired + 1, 0
         state.update((seen, new, fired))
         yield pd.DataFrame({"user_id": [key[0]], "n_rows": [seen], "n_triggers": [fired]})
