@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import leakage, mixing, packing, pairs, reading, residue, scans, splitting
-from quillmill.session import load
+from quillmill.llm.common import WORD, word_count
+from quillmill.session import load, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,19 @@ def _p1_report(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_report(load(spark, d, "documents"), load(spark, d, "dataset_card"))
 
 
+def _p1_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per document cut: its words, pieces over the limit, pieces that do not begin with the words shared with the one before, and whether all words are there."""
+    docs, cards = load(spark, d, "documents"), load(spark, d, "dataset_card")
+    pieces = splitting.split_oversized(docs, cards, with_text=True).filter("is_split").withColumn("w", F.regexp_extract_all("piece_text", F.lit(WORD), F.lit(0)))
+    most = F.floor((10 * F.col("max_seq_length") + 9) / 13)
+    shared = F.least(F.ceil(10 * F.greatest(F.coalesce("overlap_tokens", F.lit(0)), F.lit(0)) / 13), F.floor(most / 2)).cast("int")
+    each = pieces.join(F.broadcast(cards.select("card_id", "max_seq_length", shared.alias("shared"))), "card_id")  # one row per card
+    before = F.lag("w").over(Window.partitionBy("doc_id").orderBy("piece_no"))
+    each = each.withColumn("misfit", F.coalesce(F.slice("w", 1, F.col("shared")) != F.slice(before, F.greatest(F.size(before) - F.col("shared") + 1, F.lit(1)), F.col("shared")), F.lit(False)))
+    per = each.groupBy("doc_id").agg(F.sum((F.floor(F.size("w") * 13 / 10) > F.col("max_seq_length")).cast("bigint")).alias("n_over"), F.sum(F.col("misfit").cast("bigint")).alias("n_misfit"), (F.sum(F.size("w")) - F.max("shared") * (F.count("*") - 1)).alias("_w"))
+    return per.join(docs.select("doc_id", word_count(F.col("text")).cast("bigint").alias("n_words")), "doc_id").select("doc_id", "n_words", "n_over", "n_misfit", (F.col("_w") == F.col("n_words")).alias("covered"))
+
+
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_plan(load(spark, d, "documents"), load(spark, d, "manifest")).filter("short").select("manifest_id", "category")
 
@@ -82,6 +96,17 @@ def _p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(load(spark, d, "documents"), load(spark, d, "dataset_card"))
 
 
+def _p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per card: documents packed, containers over the capacity, and documents cut although they fit whole."""
+    docs, cards = load(spark, d, "documents"), load(spark, d, "dataset_card")
+    caps = F.broadcast(cards.select("card_id", "pack_capacity"))  # one row per card
+    packed = materialize(packing.pack_documents(docs, cards).filter("container_no is not null"), "packed")
+    over = packed.groupBy("card_id", "container_no").agg(F.sum("n_tokens").alias("n")).join(caps, "card_id").groupBy("card_id").agg(F.sum((F.col("n") > F.col("pack_capacity")).cast("bigint")).alias("n_over"))
+    whole = packed.groupBy("card_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts")).join(caps, "card_id")
+    per = whole.groupBy("card_id").agg(F.count("*").alias("n_docs"), F.sum(((F.col("parts") > 1) & (F.col("n") <= F.col("pack_capacity"))).cast("bigint")).alias("n_cut"))
+    return per.join(over, "card_id").select("card_id", "n_docs", "n_over", "n_cut")
+
+
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks_found(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
@@ -98,10 +123,15 @@ def _p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(load(spark, d, "documents"), load(spark, d, "reading_labels"))
 
 
+def _p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return reading.held_out_scores(load(spark, d, "documents"), load(spark, d, "reading_labels"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": _p1_found,
     "p1_pieces": _p1_pieces,
     "p1_report": _p1_report,
+    "p1_limits": _p1_limits,
     "p2_found": _p2_found,
     "p2_sample": _p2_sample,
     "p2_report": _p2_report,
@@ -115,10 +145,12 @@ QUERIES: dict[str, Query] = {
     "p5_by_step": _p5_by_step,
     "p6_pack": _p6_pack,
     "p6_report": _p6_report,
+    "p6_limits": _p6_limits,
     "p7_found": _p7_found,
     "p7_report": _p7_report,
     "p8_found": _p8_found,
     "p8_profile": _p8_profile,
+    "p8_scores": _p8_scores,
 }
 
 _TOKENS = "(13 * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+'))) // 10"
@@ -139,6 +171,8 @@ drawn AS (SELECT manifest_id, category, doc_id, t, (floor(rate) + CASE WHEN ('0x
 """
 ORACLE: dict[str, str] = {
     "p1_found": f"SELECT DISTINCT doc_id FROM (SELECT doc_id, card_id, {_TOKENS} AS t FROM documents) JOIN dataset_card USING (card_id) WHERE max_seq_length >= 2 AND t > max_seq_length",
+    "p1_limits": f"SELECT doc_id, n AS n_words, 0::BIGINT AS n_over, 0::BIGINT AS n_misfit, true AS covered FROM (SELECT doc_id, card_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+')) AS n, {_TOKENS} AS t FROM documents) JOIN dataset_card USING (card_id) WHERE max_seq_length >= 2 AND t > max_seq_length",
+    "p6_limits": "SELECT card_id::BIGINT AS card_id, count(*) AS n_docs, 0::BIGINT AS n_over, 0::BIGINT AS n_cut FROM documents JOIN dataset_card USING (card_id) WHERE pack_capacity >= 1 GROUP BY 1",
     "p2_found": f"WITH {_PLAN} SELECT manifest_id, category FROM rated WHERE short",
     "p2_sample": f"WITH {_PLAN} SELECT manifest_id, category, doc_id, copies, t AS token_estimate FROM drawn WHERE copies > 0",
     "p2_report": f"""WITH {_PLAN},

@@ -179,7 +179,7 @@ class LevelModel:
             if len(held) and len(rest):
                 out[held] = GradientBoosting(trees=80, depth=3, rate=0.1).fit(x[rest], level[rest]).predict(x[held])
         self.cuts = calibrate(out, level) if n else np.arange(1.5, LEVELS)
-        self.held_out = out
+        self.held_out, self.level, self.source = out, level, source
         self.trees = GradientBoosting(trees=120, depth=3, rate=0.08).fit(x, level)
         if not n:
             self.trees.base = 3.0
@@ -202,6 +202,18 @@ def train(documents: DataFrame, labels: DataFrame, docs: int = TRAIN_DOCS) -> Le
     return LevelModel().fit([r.text for r in rows], np.array([r.level for r in rows], dtype=float), np.array([r.source for r in rows], dtype=object))
 
 
+def held_out_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, n_docs, exact, within_one, mean_error): calibrated predictions for the graded documents of each source
+    by trees that saw none of that source. One row per source of the training sample."""
+    m = train(documents, labels)
+    schema = "source string, n_docs bigint, exact double, within_one double, mean_error double"
+    if not len(m.held_out):
+        return documents.sparkSession.createDataFrame([], schema)
+    got, true = 1 + np.searchsorted(m.cuts, m.held_out), np.rint(m.level)
+    p = pd.DataFrame({"source": m.source, "n": 1, "exact": got == true, "near": abs(got - true) <= 1, "error": abs(m.held_out - m.level)}).groupby("source", dropna=False).agg({"n": "sum", "exact": "mean", "near": "mean", "error": "mean"})
+    return documents.sparkSession.createDataFrame([(s if isinstance(s, str) else None, int(r.n), round(float(r.exact), 4), round(float(r.near), 4), round(float(r.error), 4)) for s, r in p.iterrows()], schema)
+
+
 _LEVEL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("reading_level", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
