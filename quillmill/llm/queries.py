@@ -153,6 +153,9 @@ QUERIES: dict[str, Query] = {
     "p8_scores": _p8_scores,
 }
 
+#: Queries that are timed.
+HEADLINE = ["p1_found", "p2_sample", "p3_found", "p4_found", "p5_found", "p6_pack", "p7_found", "p8_found"]
+
 _TOKENS = "(13 * len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n\\f]+'))) // 10"
 _FIELDS = ("philosophy_of_mind", "neuroscience", "broader_philosophy", "cognitive_science", "cross_disciplinary", "descartes_primary", "rationalist_tradition", "descartes_scholarship", "formal_logic", "contemporary_responses")
 _CARD_FIELDS = ("broader_philosophy", "philosophy_of_mind", "rationalist_tradition", "neuroscience", "descartes_primary", "descartes_scholarship")
