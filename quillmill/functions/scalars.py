@@ -312,7 +312,7 @@ def choice_letter(response: Column) -> Column:
 
 
 def rubric_hit(response: Column, point: Column) -> Column:
-    """At least 40 % of the point's words (only words over three letters can match) occur in the response."""
+    """At least 40 % of the point's words (only words over three letters can match) occur in the response; a null response has none."""
     w = lower_words(point)
     found = F.size(F.filter(w, lambda x: (F.length(x) > 3) & F.lower(response).contains(x)))
     return found >= 0.4 * F.size(w)

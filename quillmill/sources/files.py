@@ -19,7 +19,7 @@ MANIFEST = T.StructType([T.StructField(n, T.LongType() if n == "file_size" else
 
 
 def raw_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".pdf", ".html", ".htm", ".txt", ".epub", ".md", ".text")) -> DataFrame:
-    """(path, rel, category, suffix, length, content, readable): all files below a root; others than `suffixes` are marked."""
+    """(path, rel, category, suffix, length, content, readable): all files below a root that are not empty; others than `suffixes` are marked."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/") + "/"
     rel = F.substring_index(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), base, -1)
