@@ -123,8 +123,8 @@ FUNCTION_WORDS = {
     "la": "et non est quod cum ad sed nec ergo quia itaque tamen quamquam si aut enim vel per ut ex omnis haec hoc quam autem aliquis atque sunt esse sequitur vix nihil rerum mens anima ratio",
 }
 _ALL = Counter(w for words in FUNCTION_WORDS.values() for w in set(words.split()))
-#: Words of one language only.
-_OWN = {c: frozenset(w for w in words.split() if _ALL[w] == 1) for c, words in FUNCTION_WORDS.items()}
+#: Words of one language only, with that language.
+_OWN = {w: c for c, words in FUNCTION_WORDS.items() for w in words.split() if _ALL[w] == 1}
 #: Requests for a language; the names are fixed values.
 _REQUEST = re.compile(r"\b(?:(?:in|into|auf|en|in het)\s+(english|german|french|spanish|latin|deutsch|englisch|französisch|spanisch|latein(?:isch)?|anglais|allemand|français|espagnol|latin|inglés|alemán|francés|español|latín)|translate)\b", re.IGNORECASE)
 _CODES = {"english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "german": "de", "deutsch": "de", "allemand": "de", "alemán": "de", "french": "fr", "französisch": "fr", "français": "fr", "francés": "fr", "spanish": "es", "spanisch": "es", "espagnol": "es", "español": "es", "latin": "la", "latein": "la", "lateinisch": "la", "latín": "la"}
@@ -132,8 +132,8 @@ _CODES = {"english": "en", "englisch": "en", "anglais": "en", "inglés": "en", "
 
 def language(text: str) -> tuple[str | None, float]:
     """(code, margin) by function words; None if there are too few of them."""
-    words = text.lower().replace("'", " ").replace("’", " ").split()
-    score = {c: sum(map(own.__contains__, words)) for c, own in _OWN.items()}
+    met = Counter(map(_OWN.get, text.lower().replace("'", " ").replace("’", " ").split()))
+    score = {c: met[c] for c in FUNCTION_WORDS}
     (second, _), (top, best) = sorted((n, c) for c, n in score.items())[-2:]
     return (best, (top - second) / sum(score.values())) if top >= 2 else (None, 0.0)
 
@@ -188,9 +188,12 @@ def refuses(text: str) -> bool:
         return False
     no = around = whole = declined = 0
     sentences = [s for s in _SENTENCES.split(text.strip()) if s]
-    for s in sentences:
+    refusing = [not _TRIGGERS.isdisjoint(s.lower().split()) and bool(REFUSAL.search(s)) and not _ARGUES.search(s) for s in sentences]
+    if not any(refusing):
+        return False
+    for s, own in zip(sentences, refusing):
         whole += len(s)
-        if REFUSAL.search(s) and not _ARGUES.search(s):
+        if own:
             no += len(s)
             declined += 1
         elif _AROUND.search(s):

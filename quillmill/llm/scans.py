@@ -15,6 +15,7 @@ import random
 import re
 from collections import Counter
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -102,7 +103,14 @@ def word_counts(passages: DataFrame) -> DataFrame:
 
 @lru_cache(maxsize=200_000)
 def _edits(bad: str, good: str, learned: frozenset[tuple[str, str]] = frozenset()) -> tuple[int, int]:
-    """(confusions, other edits) of the cheapest way from the true to the misread form."""
+    """(confusions, other edits) of the cheapest way from the true to the misread form.
+
+    What both begin and end with is left out but for two characters on either side, as a confusion has three at most.
+    """
+    same = len(commonprefix((bad, good)))
+    tail = min(len(commonprefix((bad[::-1], good[::-1]))), len(bad) - same, len(good) - same)
+    cut, end = max(0, same - 2), max(0, tail - 2)
+    bad, good = bad[cut : len(bad) - end], good[cut : len(good) - end]
     n, m = len(bad), len(good)
     far = 99
     best = [[(far, far)] * (m + 1) for _ in range(n + 1)]
@@ -111,7 +119,7 @@ def _edits(bad: str, good: str, learned: frozenset[tuple[str, str]] = frozenset(
     for i in range(n + 1):
         for j in range(m + 1):
             c, o = best[i][j]
-            if c + 3 * o > 12:
+            if c + 3 * o > 6:  # six confusions or two other edits: no candidate any more
                 continue
             steps = []
             if i < n and j < m:
