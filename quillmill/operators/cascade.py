@@ -60,6 +60,12 @@ def repair(claims: DataFrame, rewrite: Batch, verify: Batch, attempts: int = 2)
     return done
 
 
+def repair_stats(repaired: DataFrame) -> DataFrame:
+    """One row: claims repaired at all, those verified then, and those that failed."""
+    tried = F.col("attempt") > 0
+    return repaired.agg(F.count_if(tried).alias("attempted"), F.count_if(tried & (F.col("status") == "verified")).alias("succeeded"), F.count_if(tried & ~F.coalesce(F.col("status") == "verified", F.lit(False))).alias("failed"))
+
+
 def final_route(confidence: Column, requested: Column, low: float = 0.4, high: float = 0.85) -> Column:
     """SELF, HYBRID or ORACLE by confidence; a request in the text lifts SELF to HYBRID."""
     base = F.when(confidence >= high, "SELF").when(confidence < low, "ORACLE").otherwise("HYBRID")

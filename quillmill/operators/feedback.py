@@ -151,3 +151,12 @@ def nudge_latest(rows: DataFrame, order: str, signal: Column) -> DataFrame:
     error = F.when(signal == "solver_ok", 0).when(signal == "solver_fail", 3).otherwise(F.col("true_error"))
     # one row; rows of a null order stay as they are
     return rows.join(F.broadcast(last), F.col(order) == F.col("_last"), "left").withColumn("true_confidence", F.when(hit, moved).otherwise(F.col("true_confidence"))).withColumn("true_error", F.when(hit, error).otherwise(F.col("true_error"))).drop("_last")
+
+
+def perplexity_gate(rows: DataFrame, most_rise: float = 0.10) -> DataFrame:
+    """(kind, base, tuned, change, ok) from rows (model base or tuned, kind, loss, tokens): the perplexity of the domain must
+    fall, that of all other kinds may rise by `most_rise`."""
+    per = perplexity(rows, ["model", "kind"])
+    both = per.groupBy("kind").agg(F.max(F.when(F.col("model") == "base", F.col("perplexity"))).alias("base"), F.max(F.when(F.col("model") == "tuned", F.col("perplexity"))).alias("tuned"))
+    change = F.try_divide(F.col("tuned") - F.col("base"), F.col("base"))
+    return both.withColumn("change", change).withColumn("ok", F.coalesce(F.when(F.col("kind") == "domain", change < 0).otherwise(change <= most_rise), F.lit(False)))

@@ -10,10 +10,13 @@ from quillmill.functions import text as X
 from quillmill.operators import cascade as V
 from quillmill.operators import claims as K
 from quillmill.operators import corpus as C
+from quillmill.operators import feedback as B
 from quillmill.operators import logic as G
 from quillmill.operators import manifest as M
+from quillmill.operators import sft as T
 from quillmill.plans import corpus_queries as Q
 from quillmill.plans import engine_queries as E
+from quillmill.plans import pipeline as P
 from quillmill.plans.corpus_queries import SQL_KEY, SQL_STRIP, SQL_TOKENS, SQL_WORDS, WS, docs, md5, sql_list
 from quillmill.session import load, scratch_path
 from quillmill.sources import files as FS
@@ -275,6 +278,47 @@ def cascade_feedback(s, d):
     return V.cascade_feedback(_answers(s, d)).select("query_id", "oracle", F.round("magnitude", 6).alias("magnitude"))
 
 
+def repair_statistics(s, d):
+    from quillmill.plans import fixture_queries as X_
+
+    return V.repair_stats(X_.repaired_claims(s, d))
+
+
+# ---- training sets, checks, measures --------------------------------------------------------------
+
+
+def template_examples(s, d):
+    """Template rows made of the examples: types A to G in turn."""
+    i = F.col("row_id")
+    rows = load(s, d, "sft_examples").select(
+        "row_id", F.substring(F.lit("ABCDEFG"), (i % 7).cast("int") + 1, F.lit(1)).alias("type"), F.coalesce("user_prompt", F.lit("?")).alias("user"), F.array(F.lit("one"), F.coalesce("philosopher", F.lit("-"))).alias("key_elements"), F.when(i % 2 == 0, "undercut").alias("attack_type"), F.col("philosopher").alias("target"),
+        F.lit("text").alias("passage"), F.col("id").alias("source"), F.array(F.lit("Q1?"), F.lit("Q2?")).alias("questions"), F.when(i % 3 == 0, 0.5).alias("expected_confidence"), F.when(i % 3 == 0, "SELF").when(i % 3 == 1, "ORACLE").otherwise("HYBRID").alias("routing"), F.lit("why").alias("reason"),
+        F.when(i % 4 == 0, "sketch").alias("sketch"), F.lit("first").alias("original_answer"), F.lit("second").alias("oracle_response"), F.lit("both").alias("integrated"),
+    )
+    return T.template_examples(rows).select("row_id", "type", md5(F.col("user")).alias("user_md5"), md5(F.col("assistant")).alias("assistant_md5"))
+
+
+def corpus_checks(s, d):
+    return P.corpus_checks(docs(s, d)).withColumn("value", F.round("value", 6))
+
+
+def perplexity_gate(s, d):
+    rows = load(s, d, "events").select(F.when(F.col("event_id") % 2 == 0, "base").otherwise("tuned").alias("model"), F.when(F.col("user_id") % 2 == 0, "domain").otherwise("general").alias("kind"), (F.col("value") / 50).alias("loss"), F.lit(1).alias("tokens"))
+    return B.perplexity_gate(rows).select("kind", *[F.round(c, 6).alias(c) for c in ("base", "tuned", "change")], "ok")
+
+
+def rubric_hits(s, d):
+    rows = load(s, d, "sft_examples").filter("assistant_response is not null and source_passage is not null")
+    return rows.select("row_id", S.rubric_hit(F.col("assistant_response"), F.col("source_passage")).alias("hit"))
+
+
+def search_passages(s, d):
+    """The best documents per question with their first 300 characters."""
+    found = Q.keyword_search(s, d)
+    texts = docs(s, d).select("doc_id", md5(F.substring("text", 1, 300)).alias("passage_md5"))
+    return found.join(texts, "doc_id").select("query_id", "rank", "doc_id", "passage_md5")
+
+
 # ---- arguments ------------------------------------------------------------------------------------
 
 
@@ -299,7 +343,7 @@ def structural_mapping(s, d):
     return G.structural_mapping(s.createDataFrame(LEFT, schema), s.createDataFrame(RIGHT, schema))
 
 
-QUERIES = {f.__name__: f for f in (json_roundtrip, written_documents, written_training, written_examples, written_report, appended_records, upserted_store, exported_results, index_header, index_search, extraction_outcomes, archive_hits, search_items, relevant_hits, new_files, first_hits, author_folders, distinct_categories, stream_first_urls, stream_read_through, stream_buffer_triggers, truncation_loss, oracle_messages, belnap_predicates, example_checks, space_statistics, axiom_records, seeded_chain, solver_portfolio, unsat_cores, joined_subclaims, formal_verdicts, formal_records, factual_verdicts, cascade_answers, cascade_feedback, argument_trees, structural_mapping)}
+QUERIES = {f.__name__: f for f in (json_roundtrip, written_documents, written_training, written_examples, written_report, appended_records, upserted_store, exported_results, index_header, index_search, extraction_outcomes, archive_hits, search_items, relevant_hits, new_files, first_hits, author_folders, distinct_categories, stream_first_urls, stream_read_through, stream_buffer_triggers, truncation_loss, oracle_messages, belnap_predicates, example_checks, space_statistics, axiom_records, seeded_chain, solver_portfolio, unsat_cores, joined_subclaims, formal_verdicts, formal_records, factual_verdicts, cascade_answers, cascade_feedback, repair_statistics, template_examples, corpus_checks, perplexity_gate, rubric_hits, search_passages, argument_trees, structural_mapping)}
 
 # ---- oracle ---------------------------------------------------------------------------------------
 
@@ -367,6 +411,16 @@ ORACLE = {
     "cascade_answers": "WITH x AS (SELECT item_id, CASE length(q) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.2 END::DOUBLE AS c, length(q) % 5 = 0 AS asks FROM eval_items), r AS (SELECT *, CASE WHEN c >= 0.85 THEN CASE WHEN asks THEN 'HYBRID' ELSE 'SELF' END WHEN c < 0.4 THEN 'ORACLE' ELSE 'HYBRID' END AS route FROM x) SELECT item_id AS query_id, route, CASE WHEN route = 'SELF' THEN 1 ELSE 2 END AS passes, 0.9::DOUBLE AS confidence, route = 'SELF' AS unchanged FROM r",
     "argument_trees": "SELECT * FROM (VALUES ('a', 'r1', 'p', true), ('b', 'r2', 'p,q', false), ('c', 'r3', 'p,q', false), ('d', NULL, 'p,q,z', false)) AS t(arg_id, top_rule, premises, is_strict)",
     "structural_mapping": f"WITH a AS (SELECT * FROM {E._VALUES(LEFT, 'role, at_, name')}), b AS (SELECT * FROM {E._VALUES(RIGHT, 'role, at_, name')}) SELECT coalesce(a.role, b.role) AS role, coalesce(a.at_, b.at_) AS at, a.name AS source, b.name AS target FROM a FULL JOIN b ON a.role = b.role AND a.at_ = b.at_",
+    "repair_statistics": "SELECT count(*) FILTER (item_id % 2 = 0) AS attempted, count(*) FILTER (item_id % 2 = 0) AS succeeded, 0::BIGINT AS failed FROM eval_items",
+    "template_examples": f"""WITH r AS (SELECT *, 'ABCDEFG'[(row_id % 7 + 1)::INT] AS type, coalesce(user_prompt, '?') AS u, CASE row_id % 3 WHEN 0 THEN 'SELF' WHEN 1 THEN 'ORACLE' ELSE 'HYBRID' END AS routing FROM sft_examples)
+SELECT row_id, type, md5(CASE type WHEN 'D' THEN {E._Q("Read this passage from Descartes (")} || coalesce(id, 'N/A') || {E._Q('):' + chr(10) * 2 + '"text"' + chr(10) * 2 + 'Q1?' + chr(10) + 'Q2?')} WHEN 'G' THEN {E._Q(T.INTEGRATION_REQUEST % ('first', 'second'))} ELSE u END) AS user_md5,
+md5(CASE type WHEN 'A' THEN printf({E._Q(T.PENDING_RESPONSES['A'])}, '  - one' || chr(10) || '  - ' || coalesce(philosopher, '-')) WHEN 'B' THEN printf({E._Q(T.PENDING_RESPONSES['B'])}, CASE WHEN row_id % 2 = 0 THEN 'undercut' ELSE 'N/A' END, coalesce(philosopher, 'N/A')) WHEN 'C' THEN {E._Q(T.PENDING_RESPONSES['C'])} WHEN 'D' THEN {E._Q(T.PENDING_RESPONSES['D'])}
+WHEN 'E' THEN CASE WHEN row_id % 4 = 0 THEN 'sketch' ELSE printf({E._Q(T.PENDING_RESPONSES['E'])}, CASE WHEN row_id % 3 = 0 THEN '0.5' ELSE 'N/A' END, routing, 'why', '0.5') END
+WHEN 'F' THEN CASE routing WHEN 'SELF' THEN printf({E._Q(T.PENDING_RESPONSES['SELF'])}, 'why') WHEN 'ORACLE' THEN printf({E._Q(T.PENDING_RESPONSES['ORACLE'])}, 'why', u) ELSE printf({E._Q(T.PENDING_RESPONSES['HYBRID'])}, 'why', u) END ELSE 'both' END) AS assistant_md5 FROM r""",
+    "corpus_checks": f"WITH t AS (SELECT coalesce(text, '') AS text, {SQL_KEY} AS k FROM documents), v AS (SELECT 'documents' AS \"check\", count(*)::DOUBLE AS value, 50.0 AS threshold FROM t UNION ALL SELECT 'tokens', sum({SQL_TOKENS}), 1 FROM t UNION ALL SELECT 'diacritics', count(*) FILTER (regexp_matches(text, '[éèêëàâùûüîïôöçñ]')), 1 FROM t UNION ALL SELECT 'content', avg((length({SQL_STRIP % 'text'}) >= 50)::INT), 0.9 FROM t " + " ".join(f"UNION ALL SELECT 'category {c}', count(*) FILTER (k = '{c}'), 1 FROM t" for c in L.MIXING_TARGETS) + ") SELECT \"check\", round(value, 6) AS value, threshold::DOUBLE AS threshold, value >= threshold AS ok FROM v",
+    "perplexity_gate": "WITH p AS (SELECT event_id % 2 AS m, CASE WHEN user_id % 2 = 0 THEN 'domain' ELSE 'general' END AS kind, exp(sum(value / 50) / count(*)) AS p FROM events GROUP BY 1, 2), b AS (SELECT kind, max(p) FILTER (m = 0) AS base, max(p) FILTER (m = 1) AS tuned FROM p GROUP BY 1) SELECT kind, round(base, 6) AS base, round(tuned, 6) AS tuned, round((tuned - base) / base, 6) AS change, CASE WHEN kind = 'domain' THEN tuned < base ELSE (tuned - base) / base <= 0.1 END AS ok FROM b",
+    "rubric_hits": f"SELECT row_id, len(list_filter(w, lambda x: length(x) > 3 AND contains(lower(assistant_response), x))) >= 0.4 * len(w) AS hit FROM (SELECT row_id, assistant_response, {SQL_WORDS % 'lower(source_passage)'} AS w FROM sft_examples WHERE assistant_response IS NOT NULL AND source_passage IS NOT NULL)",
+    "search_passages": f"SELECT query_id, rank, doc_id, md5(substr(text, 1, 300)) AS passage_md5 FROM ({Q.ORACLE['keyword_search']}) JOIN documents USING (doc_id)",
     # for queries of other modules
     "source_citations": f"WITH p AS (SELECT entry_id, {_FOLDERED} AS path FROM manifest_entries), x AS (SELECT *, regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', '') AS st FROM p), y AS (SELECT *, regexp_extract(st, '(first|second|third|fourth|fifth|sixth|[ivx]+|[1-6])', 1) AS o, replace(replace(st, '-', ' '), '_', ' ') AS plain, coalesce(list_filter({_PARTS}, lambda z: list_contains({sql_list(L.INDEX_CATEGORIES)}, z))[1], 'unknown') AS c FROM x) SELECT entry_id, CASE {_WORK} WHEN contains(lower(path), 'sep') THEN 'SEP: ' || array_to_string(list_transform(string_split(plain, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') WHEN contains(lower(path), 'arxiv') THEN 'arXiv: ' || st ELSE c || ': ' || plain END AS citation, CASE {_INDEXED} WHEN list_contains({_PARTS}, 'sep') THEN 'philosophy_of_mind' WHEN list_contains({_PARTS}, 'arxiv') THEN 'cross_disciplinary' ELSE 'unknown' END AS category FROM y",
     "prompts": "SELECT row_id, md5(CASE row_id % 6 WHEN 1 THEN 'Check the facts.' || chr(10) || 'Question: ' || coalesce(user_prompt, 'null') || chr(10) || 'Draft: ' || coalesce(substr(assistant_response, 1, 500), 'null') WHEN 2 THEN 'Check the reasoning.' || chr(10) || 'Question: ' || coalesce(user_prompt, 'null') || chr(10) || 'Draft: ' || coalesce(substr(assistant_response, 1, 500), 'null') WHEN 3 THEN 'Check the formalization.' || chr(10) || 'Question: ' || coalesce(user_prompt, 'null') || chr(10) || 'Draft: ' || coalesce(substr(assistant_response, 1, 500), 'null') WHEN 4 THEN 'Answer the question.' || chr(10) || 'Question: ' || coalesce(user_prompt, 'null') ELSE 'Review the draft.' || chr(10) || 'Question: ' || coalesce(user_prompt, 'null') || chr(10) || 'Draft: ' || coalesce(substr(assistant_response, 1, 500), 'null') END) AS prompt_md5, concat_ws(chr(10), '- ' || example_type, 'Unsat core: ' || id, 'Suggestion: ' || philosopher) AS f FROM sft_examples",

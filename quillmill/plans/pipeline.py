@@ -84,6 +84,18 @@ def corpus_phases(most_tokens: int = 8192) -> list[Phase]:
     ]
 
 
+def corpus_checks(documents: DataFrame, least_files: int = 50) -> DataFrame:
+    """(check, value, threshold, ok) over the corpus: documents, tokens, texts with diacritics, share of texts with content,
+    and documents of each wanted category, in one pass."""
+    key = C.category_key(F.col("category"))
+    text = F.coalesce("text", F.lit(""))
+    values = {"documents": (F.count("*"), least_files), "tokens": (F.sum(X.token_estimate(text)), 1), "diacritics": (F.count_if(text.rlike("[éèêëàâùûüîïôöçñ]")), 1), "content": (F.avg((F.length(X.strip(text)) >= 50).cast("double")), 0.9)}
+    values |= {f"category {c}": (F.count_if(key == c), 1) for c in L.MIXING_TARGETS}
+    row = documents.agg(*[F.coalesce(v.cast("double"), F.lit(0.0)).alias(n) for n, (v, _) in values.items()])
+    listed = F.array(*[F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("value"), F.lit(float(t)).alias("threshold")) for n, (_, t) in values.items()])
+    return row.select(F.inline(listed)).withColumn("ok", F.col("value") >= F.col("threshold"))
+
+
 def tree_report(files: DataFrame, categories: list[str] = L.INDEX_CATEGORIES) -> DataFrame:
     """(category, n_files, bytes) for every category, those without files too."""
     dim = files.sparkSession.createDataFrame([(c,) for c in categories], "category string")
