@@ -6,7 +6,8 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from itertools import accumulate
+from functools import reduce
+from itertools import accumulate, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -198,53 +199,60 @@ def keyword_search(postings: DataFrame, keys: list[str], queries: DataFrame, top
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", *keys, "score")
 
 
-def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFrame, least: int = 2, best: bool = False) -> DataFrame:
+#: Claims whose keywords go to all executors at once.
+CLAIM_BLOCK = 20_000
+
+
+def corpus_matches(rows: DataFrame, keys: list[str], text: str, claims: DataFrame, least: int = 2, best: bool = False, block: int = CLAIM_BLOCK) -> DataFrame:
     """(claim_id, keys, score): texts in which at least `least` keywords of a claim occur as substrings.
 
-    `claims` is a stated query set (claim_id, claim): its keywords go to all executors in one automaton,
-    and each text is read once. With `best`, each task gives only its best match per claim (highest
+    `claims` is a stated query set (claim_id, claim): the keywords of `block` claims at a time go to all executors in one
+    automaton, and each text is read once per block. With `best`, each task gives only its best match per claim (highest
     score, lowest keys, which are numbers), so that `best_match` shuffles one row per claim and task.
     """
     stop = set(L.VERIFIER_STOP)
-    claims_rows = [(r.claim_id, [w for w in r.claim.lower().split() if w not in stop and len(w) > 2]) for r in claims.select("claim_id", "claim").filter("claim is not null").collect()]
-    owners: dict[str, list[tuple[int, int]]] = {}
-    for cid, ws in claims_rows:
-        for w in set(ws):
-            owners.setdefault(w, []).append((cid, ws.count(w)))
-    sent = rows.sparkSession.sparkContext.broadcast(owners)
     schema = T.StructType([T.StructField("claim_id", T.LongType()), *[rows.schema[k] for k in keys], T.StructField("score", T.LongType())])
-
-    def run(batches):
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for w in sent.value:
-            automaton.add_word(w, w)
-        if sent.value:
-            automaton.make_automaton()
-        top: dict[int, tuple] = {}
-        for b in batches:
-            out = []
-            for t, *at in zip(b[text], *(b[k].tolist() for k in keys)) if sent.value else ():
-                if not t:
-                    continue
-                score: dict[int, int] = {}
-                for w in {w for _, w in automaton.iter(t.lower())}:
-                    for cid, n in sent.value[w]:
-                        score[cid] = score.get(cid, 0) + n
-                at = tuple(at)
-                if best:
-                    for cid, n in score.items():
-                        if n >= least and (cid not in top or (-n, at) < top[cid]):
-                            top[cid] = (-n, at)
-                else:
-                    out += [(cid, *at, n) for cid, n in score.items() if n >= least]
-            if out:
-                yield pd.DataFrame(out, columns=schema.names)
-        if top:
-            yield pd.DataFrame([(cid, *at, -n) for cid, (n, at) in top.items()], columns=schema.names)
-
-    return rows.select(*keys, text).mapInPandas(run, schema)
+    given, parts = claims.select("claim_id", "claim").filter("claim is not null").toLocalIterator(), []
+    while few := list(islice(given, block)):
+        owners: dict[str, list[tuple[int, int]]] = {}
+        for r in few:
+            for w, n in Counter(w for w in r.claim.lower().split() if w not in stop and len(w) > 2).items():
+                owners.setdefault(w, []).append((r.claim_id, n))
+        sent = rows.sparkSession.sparkContext.broadcast(owners)
+
+        def run(batches, sent=sent):
+            import ahocorasick
+
+            held = sent.value
+            automaton = ahocorasick.Automaton()
+            for w in held:
+                automaton.add_word(w, w)
+            if held:
+                automaton.make_automaton()
+            top: dict[int, tuple] = {}
+            for b in batches:
+                out = []
+                for t, *at in zip(b[text], *(b[k].tolist() for k in keys)) if held else ():
+                    if not t:
+                        continue
+                    score: Counter = Counter()
+                    for w in {w for _, w in automaton.iter(t.lower())}:
+                        for cid, n in held[w]:
+                            score[cid] += n
+                    at = tuple(at)
+                    if best:
+                        for cid, n in score.items():
+                            if n >= least and (cid not in top or (-n, at) < top[cid]):
+                                top[cid] = (-n, at)
+                    else:
+                        out += [(cid, *at, n) for cid, n in score.items() if n >= least]
+                if out:
+                    yield pd.DataFrame(out, columns=schema.names)
+            if top:
+                yield pd.DataFrame([(cid, *at, -n) for cid, (n, at) in top.items()], columns=schema.names)
+
+        parts.append(rows.select(*keys, text).mapInPandas(run, schema))
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
 def best_match(matches: DataFrame, keys: list[str]) -> DataFrame:

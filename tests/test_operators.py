@@ -384,3 +384,49 @@ def test_nudge_keeps_null_order(spark):
     rows = spark.createDataFrame([(1, 0.5, 2), (3, 0.5, 2), (None, 0.5, 2)], "seq int, true_confidence double, true_error int")
     got = {r.seq: round(r.true_confidence, 3) for r in feedback.nudge_latest(rows, "seq", F.lit("accept")).collect()}
     assert got == {1: 0.5, 3: 0.6, None: 0.5}
+
+
+def test_matches_in_blocks(spark):
+    rows = docs(spark, [(i, f"the soul and the body of number {i % 7} stand apart") for i in range(40)] + [(99, None)])
+    asked = spark.createDataFrame([(k, f"soul body number {k}") for k in range(9)] + [(50, None)], "claim_id bigint, claim string")
+    whole = sorted(map(tuple, corpus.corpus_matches(rows, ["doc_id"], "text", asked).collect()))
+    parts = sorted(map(tuple, corpus.corpus_matches(rows, ["doc_id"], "text", asked, block=2).collect()))
+    assert whole == parts and len({x[0] for x in whole}) == 9
+    best = {r.claim_id: (r.doc_id, r.score) for r in corpus.best_match(corpus.corpus_matches(rows, ["doc_id"], "text", asked, best=True, block=2), ["doc_id"]).collect()}
+    assert best[3] == (0, 3) and corpus.corpus_matches(rows, ["doc_id"], "text", asked.limit(0)).count() == 0
+
+
+# ---- cascade, arguments, training sets -------------------------------------------------------------
+
+
+def test_cascade(spark):
+    queries = spark.createDataFrame([(1, "easy"), (2, "hard one"), (3, "asks"), (4, None)], "query_id bigint, query string")
+
+    def generate(xs):
+        return ["joined [CONFIDENCE: 0.7]" if x.startswith(("Join", "Answer")) else x.upper() + (" [ORACLE_REQUEST: who]" if x == "asks" else "") for x in xs]
+
+    judge = lambda df: {"confidence": F.when(F.col("query") == "hard one", 0.1).otherwise(0.9), "error": F.lit(1)}
+    got = {r.query_id: r for r in cascade.answer_queries(queries, generate, judge, lambda xs: ["SOUL" for _ in xs]).collect()}
+    assert (got[1].route, got[1].final, got[1].passes, got[1].confidence) == ("SELF", "EASY", 1, 0.9)
+    assert (got[2].route, got[2].final, got[2].passes, got[2].confidence) == ("ORACLE", "joined", 2, 0.7) and "hard one" in got[2].oracle_query
+    assert (got[3].route, got[3].oracle_query) == ("HYBRID", "who") and got[4].final is None
+    rows = cascade.cascade_feedback(spark.createDataFrame([tuple(got[k]) for k in (2, 3)], "query_id bigint, query string, initial string, route string, oracle_query string, oracle_response string, final string, confidence double, passes int")).collect()
+    assert [(r.query_id, r.oracle) for r in rows] == [(2, False), (3, False)]
+    assert cascade.answer_queries(queries.limit(0), generate, judge, lambda xs: xs).count() == 0
+
+
+def test_argument_cycle(spark):
+    built = logic.build_arguments(spark.createDataFrame([("a", "A", ["r"]), ("b", "B", ["x"])], "arg_id string, conclusion string, rule_ids array<string>"), spark.createDataFrame([("r", False)], "rule_id string, is_strict boolean"))
+    parts = spark.createDataFrame([("a", "b"), ("b", "a")], "arg_id string, sub_id string")
+    got = {r.arg_id: (r.premises, r.is_strict) for r in logic.argument_trees(built, parts, spark.createDataFrame([("b", "p")], "arg_id string, premise string")).collect()}
+    assert got == {"a": (["p"], False), "b": (["p"], False)}
+
+
+def test_legacy_triggers(spark, tmp_path):
+    from quillmill.streaming import streams
+
+    spark.range(50).selectExpr("cast(1 as bigint) as user_id", "id").write.parquet(str(tmp_path / "e"))
+    stream = lambda: spark.readStream.schema("user_id bigint, id bigint").parquet(str(tmp_path / "e"))
+    last = lambda df: df.agg(F.max("n_triggers")).first()[0]
+    assert last(streams.run_available(streams.triggers(stream()), "update", "t")) == 3
+    assert last(streams.run_available(streams.triggers(stream(), full=40), "update", "t")) == 2 + 10
