@@ -27,6 +27,8 @@ MATCH, EDIT = 2, -4
 LEAK_SHARE, STRETCH_WORDS, EDIT_SHARE = 0.4, 10, 1 / 6
 #: Seeds of one stretch lie within so many words of a diagonal, and a pair has at least so many seeds.
 DRIFT, LEAST_SEEDS = 8, 2
+#: Words of all items together up to which they are sent to all executors (16 MB); more are joined by a shuffle.
+BROADCAST_WORDS = 2_000_000
 
 
 def align(item: np.ndarray, region: np.ndarray, low: int | None = None, width: int | None = None) -> tuple[int, list[tuple[int, int]]]:
@@ -293,7 +295,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_share: float = LEAK_SHAR
     """
     words = materialize(item_words(items), "items")
     seeds = materialize(item_seeds(words), "seeds")
-    longest, n_items = words.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    longest, n_items, n_words = words.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     filter_ = bits.build(seeds.select("gram").distinct(), F.col("gram"), F.shiftrightunsigned("gram", 32))
     hits = materialize(document_hits(documents, filter_, longest), "hits")
     used = materialize(used_seeds(seeds, hits, documents.count(), n_items), "used")
@@ -301,7 +303,7 @@ def leaks(documents: DataFrame, items: DataFrame, least_share: float = LEAK_SHAR
     met = single.join(broadcast_if_small(used), "gram").select("key", "item_id", "least", "at", (F.col("place") - F.col("at")).alias("diagonal"))
     pairs = met.groupBy("key", "item_id", "least").agg(F.collect_set(F.struct("at", "diagonal")).alias("seeds"))
     pairs = pairs.filter(F.size(F.array_distinct("seeds.at")) >= F.col("least")).select("key", "item_id", F.array_distinct("seeds.diagonal").alias("diagonals"))
-    with_words = pairs.join(broadcast_if_small(words), "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
+    with_words = pairs.join(F.broadcast(words) if n_words <= BROADCAST_WORDS else words, "item_id").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("items"))
 
     def run(batches):
         for b in batches:
