@@ -54,3 +54,6 @@ PROVIDER_PRICES = [("deepseek", 0.0001, 0.0002), ("claude", 0.003, 0.015), ("ope
 # fixed values: dimensions of the theory space and the theories' coordinates in that order
 DIMENSIONS = ["accessibility", "integration", "higher_order", "intentionality", "temporal", "substrate"]
 THEORIES = {"TypeA": [0.9, 0.3, 0.2, 0.4, 0.5, 0.9], "TypeB": [0.8, 0.4, 0.3, 0.5, 0.5, 0.8], "FUNC": [0.7, 0.5, 0.4, 0.6, 0.6, 0.2], "SD": [0.2, 0.5, 0.5, 0.8, 0.6, 0.1], "PD": [0.3, 0.5, 0.4, 0.7, 0.5, 0.3], "IIT": [0.4, 0.95, 0.3, 0.5, 0.7, 0.6], "GWT": [0.8, 0.6, 0.5, 0.5, 0.8, 0.3], "HOT": [0.6, 0.4, 0.95, 0.7, 0.6, 0.3], "HOP": [0.5, 0.4, 0.9, 0.6, 0.6, 0.3], "RPT": [0.7, 0.7, 0.2, 0.4, 0.8, 0.5], "AST": [0.8, 0.5, 0.6, 0.5, 0.7, 0.3], "PAN": [0.1, 0.6, 0.1, 0.3, 0.5, 0.5], "ELIM": [0.9, 0.2, 0.1, 0.2, 0.3, 0.9], "MYST": [0.1, 0.5, 0.5, 0.5, 0.5, 0.5]}
+
+# fixed values: hedges of the original signals
+ORIGINAL_HEDGES = ["perhaps", "possibly", "might", "may", "could", "uncertain", "unclear", "debatable", "arguably", "not sure", "i believe", "it seems", "roughly", "approximately", "likely", "unlikely"]

@@ -247,6 +247,12 @@ def hidden_similarity(v: Column, usual: float = 45.0) -> Column:
     return F.greatest(F.lit(0.0), 1.0 - F.abs(norm(v) - usual) / usual)
 
 
+def original_signals(text: Column) -> dict[str, Column]:
+    """Hedges present (each once), share of repeated word 4-grams and words of a response."""
+    w = lower_words(text)
+    return {"hedges": present(F.lower(text), L.ORIGINAL_HEDGES), "repetition": repetition(w), "words": F.size(w)}
+
+
 def padded(v: Column, size: int) -> Column:
     """The first `size` numbers, zeros behind."""
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), size)), 1, size)

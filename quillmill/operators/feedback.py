@@ -125,9 +125,9 @@ def repair_savings(rows: DataFrame) -> DataFrame:
 
 
 def engine_rates(rows: DataFrame) -> DataFrame:
-    """Shares of self, oracle and hybrid routing."""
+    """Shares of self, oracle and hybrid routing, and of proofs that hold among those tried (0 without any)."""
     share = lambda r: (F.count_if(F.col("predicted_routing") == r) / F.greatest(F.count("*"), F.lit(1))).alias(f"{r.lower()}_rate")
-    return rows.agg(F.count("*").alias("n"), share("SELF"), share("ORACLE"), share("HYBRID"))
+    return rows.agg(F.count("*").alias("n"), share("SELF"), share("ORACLE"), share("HYBRID"), F.coalesce(F.avg(F.col("z3").cast("double")), F.lit(0.0)).alias("z3_accuracy"))
 
 
 def gate(metrics: DataFrame) -> DataFrame:

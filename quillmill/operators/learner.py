@@ -56,8 +56,64 @@ def score(rows: DataFrame, key: str, features: str, params: dict[str, np.ndarray
     return rows.select(key, features).filter(F.col(features).isNotNull()).mapInPandas(run, schema)
 
 
-def train_step(p: dict[str, np.ndarray], x: np.ndarray, confidence: np.ndarray, routing: np.ndarray, error: np.ndarray, rate: float = 1e-2, clip: float = 1.0) -> float:
-    """One step on 2 x squared error + 1.5 x routing + 1 x error cross-entropy, gradient norm clipped. Returns the loss before it."""
+class OnlineLearner:
+    """Weights with their optimiser (decoupled weight decay) and the number of updates, which can be saved and loaded.
+
+    `learn` is called with the rows of a bounded buffer after each micro-batch: one step per `every` new rows once there are
+    `least`, each on a sample that prefers recent rows (weight 1 + i / n).
+    """
+
+    def __init__(self, inputs: int, seed: int = 0, rate: float = 1e-2, decay: float = 1e-2, sample: int = 32):
+        self.params = init(inputs, seed=seed)
+        self.rate, self.decay, self.sample, self.updates, self.seen, self.used = rate, decay, sample, 0, 0, 0
+        self.first = {k: np.zeros_like(v) for k, v in self.params.items()}
+        self.second = {k: np.zeros_like(v) for k, v in self.params.items()}
+        self.losses: list[float] = []
+
+    def step(self, x: np.ndarray, confidence: np.ndarray, routing: np.ndarray, error: np.ndarray) -> float:
+        loss, g = gradients(self.params, x, confidence, routing, error)
+        self.updates += 1
+        for k, v in g.items():
+            self.first[k] = 0.9 * self.first[k] + 0.1 * v
+            self.second[k] = 0.999 * self.second[k] + 0.001 * v**2
+            m, s = self.first[k] / (1 - 0.9**self.updates), self.second[k] / (1 - 0.999**self.updates)
+            self.params[k] -= self.rate * (m / (np.sqrt(s) + 1e-8) + self.decay * self.params[k])
+        self.losses.append(loss)
+        return loss
+
+    def learn(self, buffer: pd.DataFrame, new: int, least: int = 32, every: int = 8) -> int:
+        """Steps for `new` rows at the end of `buffer` (features, true_confidence, true_routing, true_error, in order). Returns how many."""
+        before, self.seen = self.seen, self.seen + new
+        due = 0 if self.seen < least else (self.seen - least) // every + 1 - (0 if before < least else (before - least) // every + 1)
+        if due:
+            x = np.array(buffer["features"].tolist(), dtype=float)
+            y = [buffer[c].to_numpy() for c in ("true_confidence", "true_routing", "true_error")]
+            weight = 1 + np.arange(len(x)) / len(x)
+            for _ in range(due):
+                at = np.random.default_rng(self.updates).choice(len(x), self.sample, p=weight / weight.sum())
+                self.step(x[at], y[0][at].astype(float), y[1][at].astype(int), y[2][at].astype(int))
+        return due
+
+    def save(self, spark, path: str) -> None:
+        """Weights, optimiser and counts as a table of named numbers."""
+        parts = {f"{kind}/{k}": v for kind, held in (("params", self.params), ("first", self.first), ("second", self.second)) for k, v in held.items()}
+        parts["counts"] = np.array([self.updates, self.seen], dtype=float)
+        rows = [(n, [int(x) for x in v.shape], [float(x) for x in v.ravel()]) for n, v in parts.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def load(self, spark, path: str) -> "OnlineLearner":
+        for r in spark.read.parquet(path).collect():  # one row per array of weights
+            kind, _, k = r.name.partition("/")
+            value = np.array(r.numbers, dtype=float).reshape(r.shape)
+            if kind == "counts":
+                self.updates, self.seen = int(value[0]), int(value[1])
+            else:
+                getattr(self, kind)[k] = value
+        return self
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, confidence: np.ndarray, routing: np.ndarray, error: np.ndarray, clip: float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+    """(loss, gradients) of 2 x squared error + 1.5 x routing + 1 x error cross-entropy, the norm of the gradients clipped."""
     n = len(x)
     h, c, r, e = forward(p, x)
     one = lambda y, k: np.eye(k)[y]
@@ -67,6 +123,12 @@ def train_step(p: dict[str, np.ndarray], x: np.ndarray, confidence: np.ndarray,
     dh = (dc @ p["wc"].T + dr @ p["wr"].T + de @ p["we"].T) * (h > 0)
     g = {"w1": x.T @ dh, "b1": dh.sum(0), "wc": h.T @ dc, "bc": dc.sum(0), "wr": h.T @ dr, "br": dr.sum(0), "we": h.T @ de, "be": de.sum(0)}
     size = np.sqrt(sum((v**2).sum() for v in g.values()))
+    return float(loss), {k: v * min(1.0, clip / (size + 1e-12)) for k, v in g.items()}
+
+
+def train_step(p: dict[str, np.ndarray], x: np.ndarray, confidence: np.ndarray, routing: np.ndarray, error: np.ndarray, rate: float = 1e-2, clip: float = 1.0) -> float:
+    """One plain step down the `gradients`. Returns the loss before it."""
+    loss, g = gradients(p, x, confidence, routing, error, clip)
     for k in p:
-        p[k] -= rate * g[k] * min(1.0, clip / (size + 1e-12))
-    return float(loss)
+        p[k] -= rate * g[k]
+    return loss

@@ -194,7 +194,7 @@ def repair_savings(s, d):
 
 
 def engine_rates(s, d):
-    return B.engine_rates(_labelled(s, d)).select("n", *[F.round(c, 9).alias(c) for c in ("self_rate", "oracle_rate", "hybrid_rate")])
+    return B.engine_rates(_labelled(s, d)).select("n", *[F.round(c, 9).alias(c) for c in ("self_rate", "oracle_rate", "hybrid_rate", "z3_accuracy")])
 
 
 def criteria_gate(s, d):
@@ -479,7 +479,7 @@ SELECT row_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.5 ELSE round(len(list_i
     "calibration_error": f"WITH {_BINS} SELECT round(sum(abs(accuracy - (bin + 0.5::DOUBLE) / 5) * n) / sum(n), 9) AS ece, sum(n)::BIGINT AS n FROM bins",
     "growth_by_epoch": f"WITH {_RUN} SELECT epoch, count(*) AS n, round(count(*) FILTER (method = 'vks_cache') / count(*), 6) AS hit_rate, round(count(*) FILTER (method = 'oracle') / count(*), 6) AS oracle_rate, round(count(*) FILTER (repaired) / count(*), 6) AS repair_rate, round(avg(latency), 6) AS mean_latency FROM run GROUP BY 1",
     "repair_savings": f"WITH {_RUN}, c AS (SELECT count(*) FILTER (repaired AND method = 'oracle') AS a, count(*) FILTER (NOT repaired AND method = 'oracle') AS b FROM run) SELECT a AS with_repair, b AS without_repair, CASE WHEN b = 0 THEN 0 ELSE round(1 - a / b, 9) END AS savings FROM c",
-    "engine_rates": f"WITH {_FB} SELECT count(*) AS n, round(count(*) FILTER (predicted_routing = 'SELF') / count(*), 9) AS self_rate, round(count(*) FILTER (predicted_routing = 'ORACLE') / count(*), 9) AS oracle_rate, round(count(*) FILTER (predicted_routing = 'HYBRID') / count(*), 9) AS hybrid_rate FROM fb",
+    "engine_rates": f"WITH {_FB} SELECT count(*) AS n, round(count(*) FILTER (predicted_routing = 'SELF') / count(*), 9) AS self_rate, round(count(*) FILTER (predicted_routing = 'ORACLE') / count(*), 9) AS oracle_rate, round(count(*) FILTER (predicted_routing = 'HYBRID') / count(*), 9) AS hybrid_rate, round(avg(z3::INT), 9) AS z3_accuracy FROM fb",
     "criteria_gate": f"WITH {_BINS}, {_RUN}, m AS (SELECT 'ece' AS metric, round(sum(abs(accuracy - (bin + 0.5::DOUBLE) / 5) * n) / sum(n), 9) AS value, 0.15::DOUBLE AS threshold, true AS lower_is_better FROM bins UNION ALL SELECT 'hit_rate', round(count(*) FILTER (method = 'vks_cache') / count(*), 9), 0.4::DOUBLE, false FROM run), k AS (SELECT *, CASE WHEN lower_is_better THEN value <= threshold ELSE value >= threshold END AS ok FROM m) SELECT *, bool_and(ok) OVER () AS all_ok FROM k",
     "perplexity": f"SELECT example_type, round(exp(sum(council_agreement * {_TOK('assistant_response')}) / sum({_TOK('assistant_response')})), 6) AS perplexity FROM sft_examples WHERE council_agreement IS NOT NULL GROUP BY 1",
     "chat_format": "WITH c AS (SELECT row_id, CASE WHEN coalesce(lower(trim(review_status)), '') = 'rejected' THEN '' ELSE concat_ws(chr(10), '<|system|>' || chr(10) || system_prompt, '<|user|>' || chr(10) || user_prompt, '<|assistant|>' || chr(10) || assistant_response, '<|end|>') END AS chat FROM sft_examples) SELECT row_id, md5(chat) AS chat_md5 FROM c WHERE length(chat) > 50",

@@ -11,6 +11,7 @@ from quillmill.operators import cascade as V
 from quillmill.operators import claims as K
 from quillmill.operators import corpus as C
 from quillmill.operators import feedback as B
+from quillmill.operators import learner as N
 from quillmill.operators import logic as G
 from quillmill.operators import manifest as M
 from quillmill.operators import sft as T
@@ -180,6 +181,19 @@ def stream_buffer_triggers(s, d):
     return ST.run_available(fired, "update", "triggers").groupBy("user_id").agg(F.max("n_rows").alias("n_rows"), F.max("n_triggers").alias("n_triggers"))
 
 
+def online_learner(s, d):
+    """A learner fed by the event stream, saved and loaded again: its updates, and whether its loss fell."""
+    base = scratch_path(s, "learner")
+    rows = ST.feedback(ST.event_stream(s, f"{d}/events.parquet")).select("seq", F.array(F.col("predicted_confidence"), F.coalesce(F.col("z3").cast("double"), F.lit(0.5)), F.coalesce(F.col("oracle").cast("double"), F.lit(0.5)), F.coalesce("magnitude", F.lit(0.5))).alias("features"), "true_confidence", "true_routing", "true_error")
+    held = N.OnlineLearner(4)
+    ST.online_learning(rows, held, "seq", base)
+    loaded = N.OnlineLearner(4, seed=9).load(s, f"{base}/learner")
+    same = all((loaded.params[k] == v).all() for k, v in held.params.items())
+    few = max(1, len(held.losses) // 10)
+    fell = sum(held.losses[-few:]) < sum(held.losses[:few])
+    return s.createDataFrame([(loaded.updates, loaded.seen, bool(fell), bool(same))], "updates bigint, n_rows bigint, loss_fell boolean, restored boolean")
+
+
 # ---- texts and scalars ----------------------------------------------------------------------------
 
 
@@ -194,6 +208,11 @@ def oracle_messages(s, d):
     return rows.select("row_id", md5(X.oracle_message(F.col("user_prompt"), F.when(F.col("row_id") % 3 > 0, F.col("assistant_response")), F.col("row_id") % 6)).alias("message_md5"))
 
 
+def original_signals(s, d):
+    rows = load(s, d, "sft_examples").filter("assistant_response is not null")
+    return rows.select("row_id", *[F.round(c.cast("double"), 6).alias(n) for n, c in S.original_signals(F.col("assistant_response")).items()])
+
+
 def belnap_predicates(s, d):
     return s.range(4).select(F.col("id").cast("int").alias("a")).select("a", *[c.alias(n) for n, c in S.belnap_predicates(F.col("a")).items()])
 
@@ -343,7 +362,7 @@ def structural_mapping(s, d):
     return G.structural_mapping(s.createDataFrame(LEFT, schema), s.createDataFrame(RIGHT, schema))
 
 
-QUERIES = {f.__name__: f for f in (json_roundtrip, written_documents, written_training, written_examples, written_report, appended_records, upserted_store, exported_results, index_header, index_search, extraction_outcomes, archive_hits, search_items, relevant_hits, new_files, first_hits, author_folders, distinct_categories, stream_first_urls, stream_read_through, stream_buffer_triggers, truncation_loss, oracle_messages, belnap_predicates, example_checks, space_statistics, axiom_records, seeded_chain, solver_portfolio, unsat_cores, joined_subclaims, formal_verdicts, formal_records, factual_verdicts, cascade_answers, cascade_feedback, repair_statistics, template_examples, corpus_checks, perplexity_gate, rubric_hits, search_passages, argument_trees, structural_mapping)}
+QUERIES = {f.__name__: f for f in (json_roundtrip, written_documents, written_training, written_examples, written_report, appended_records, upserted_store, exported_results, index_header, index_search, extraction_outcomes, archive_hits, search_items, relevant_hits, new_files, first_hits, author_folders, distinct_categories, stream_first_urls, stream_read_through, stream_buffer_triggers, online_learner, truncation_loss, oracle_messages, original_signals, belnap_predicates, example_checks, space_statistics, axiom_records, seeded_chain, solver_portfolio, unsat_cores, joined_subclaims, formal_verdicts, formal_records, factual_verdicts, cascade_answers, cascade_feedback, repair_statistics, template_examples, corpus_checks, perplexity_gate, rubric_hits, search_passages, argument_trees, structural_mapping)}
 
 # ---- oracle ---------------------------------------------------------------------------------------
 
@@ -395,8 +414,10 @@ ORACLE = {
     "stream_first_urls": "SELECT DISTINCT url FROM manifest_entries WHERE url IS NOT NULL",
     "stream_read_through": "SELECT item_id AS record_id, length(q) AS n FROM eval_items",
     "stream_buffer_triggers": "SELECT user_id, count(*) AS n_rows, CASE WHEN count(*) < 32 THEN 0 WHEN count(*) <= 64 THEN (count(*) - 32) // 8 + 1 ELSE 5 + count(*) - 64 END AS n_triggers FROM events GROUP BY 1",
+    "online_learner": "SELECT (count(*) - 32) // 8 + 1 AS updates, count(*) AS n_rows, true AS loss_fell, true AS restored FROM events",
     "truncation_loss": f"SELECT doc_id, least({SQL_TOKENS}, 2048) AS kept, greatest({SQL_TOKENS} - 2048, 0) AS lost FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
     "oracle_messages": "SELECT row_id, md5(CASE WHEN row_id % 3 > 0 AND coalesce(assistant_response, '') <> '' THEN 'CONTEXT:' || chr(10) || assistant_response || chr(10) || chr(10) || 'QUESTION:' || chr(10) || user_prompt ELSE user_prompt END || CASE row_id % 6 WHEN 1 THEN chr(10) || chr(10) || 'NOTE: this was marked as a factual gap issue.' WHEN 2 THEN chr(10) || chr(10) || 'NOTE: this was marked as a reasoning error issue.' WHEN 3 THEN chr(10) || chr(10) || 'NOTE: this was marked as a formalization error issue.' WHEN 4 THEN chr(10) || chr(10) || 'NOTE: this was marked as a scope exceeded issue.' ELSE '' END) AS message_md5 FROM sft_examples",
+    "original_signals": f"WITH x AS (SELECT row_id, lower(assistant_response) AS t, {SQL_WORDS % 'lower(assistant_response)'} AS w FROM sft_examples WHERE assistant_response IS NOT NULL) SELECT row_id, ({E._PRESENT('t', L.ORIGINAL_HEDGES)})::DOUBLE AS hedges, round(CASE WHEN len(w) >= 20 THEN 1 - len(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))))::DOUBLE / (len(w) - 3) ELSE 0 END, 6) AS repetition, len(w)::DOUBLE AS words FROM x",
     "belnap_predicates": "SELECT a::INT AS a, a IN (2, 3) AS is_true, a IN (1, 3) AS is_false, a = 3 AS is_both, a = 0 AS is_neither FROM range(4) AS t(a)",
     "example_checks": "SELECT row_id, coalesce(example_type = 'A' AND contains(lower(assistant_response), 'valid') AND contains(lower(assistant_response), 'premise') AND contains(lower(assistant_response), 'conclusion'), false) AS reconstructs, coalesce(example_type = 'B' AND contains(lower(assistant_response), 'objection') AND contains(lower(assistant_response), 'defense'), false) AS objects, true AS ok FROM sft_examples",
     "space_statistics": f"SELECT {len(L.THEORIES)} AS theories, {len(L.DIMENSIONS)} AS dimensions, '{', '.join(L.DIMENSIONS)}' AS names",

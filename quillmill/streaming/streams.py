@@ -81,3 +81,19 @@ def read_through(stream: DataFrame, lookup: Callable[[DataFrame], DataFrame], wr
         write_back(lookup(batch).filter("record_id is null"))
 
     stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
+
+
+def online_learning(stream: DataFrame, learner, order: str, base: str, keep: int = 10_000) -> None:
+    """Per micro-batch: append feedback rows (features and true labels) to a table, and let the learner take its steps on
+    the last `keep` rows of it, which is all that comes to the driver. The learner is saved after each batch."""
+    columns = ["features", "true_confidence", "true_routing", "true_error"]
+
+    def one(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/feedback/batch={n}")
+        spark = batch.sparkSession
+        new = spark.read.parquet(f"{base}/feedback/batch={n}").count()
+        tail = spark.read.parquet(f"{base}/feedback").filter("features is not null").orderBy(F.desc(order)).limit(keep).select(order, *columns).toPandas()
+        if learner.learn(tail.sort_values(order), new):
+            learner.save(spark, f"{base}/learner")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(one).start().awaitTermination()
