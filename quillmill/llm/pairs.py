@@ -356,7 +356,7 @@ def defects(examples: DataFrame) -> DataFrame:
     in another language. Repeated rows are judged alike. An empty table gives no rows.
     """
     spark = examples.sparkSession
-    tables = spark.sparkContext.broadcast(R.train_tables(*R.prose_sample(examples)))
+    tables = spark.sparkContext.broadcast(R.packed_tables(R.corpus_tables(examples)))
     rows = examples.select("row_id", "user_prompt", "assistant_response")
     endings, spikes = ending_statistics(rows)
     body = F.regexp_replace("assistant_response", r"\s+\z", "")
@@ -365,9 +365,10 @@ def defects(examples: DataFrame) -> DataFrame:
     marked = keyed.join(broadcast_if_small(short), (F.col("_k") == F.col("_h")) & (F.col("_km") == F.col("_m")), "left").select("row_id", "user_prompt", "assistant_response", F.col("_h").isNotNull().alias("cut"))
 
     def run(batches):
+        own = R.unpacked_tables(tables.value)
         for b in batches:
             texts = b["assistant_response"].tolist()
-            held = R.classify(texts, tables.value)
+            held = R.classify(texts, own)
             out = []
             for i, p, t, c, (k, _) in zip(b["row_id"], b["user_prompt"], texts, b["cut"], held):
                 if k is None:

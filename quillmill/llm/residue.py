@@ -5,7 +5,7 @@ each byte a log likelihood ratio. Windows (sentences and lines) whose mean ratio
 or notices, and a text is excluded by what of it they cover; a slot is a few characters inside a
 sentence, so its window is the stretch with the highest sum of ratios, and an exact check of the
 syntax follows. The models of the residue classes are trained on the phrases made below, the model of
-natural prose on a bounded sample of the corpus.
+natural prose on all prompts, passages and responses of the corpus: executors count n-grams by place.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,10 @@ from pyspark.sql import types as T
 from quillmill.llm import ml
 from quillmill.llm.blank import is_blank
 
-#: Rows of the corpus, lowest row hash first, on which the model of natural prose is trained, and the characters a text may have there.
+#: Rows, and characters of a text, of a `prose_sample`.
 PROSE_ROWS, PROSE_CHARS = 4000, 20_000
+#: Characters of responses looked at together.
+PURGE_CHARS = 1 << 18
 #: Mean log likelihood ratio per byte from which a window counts as residue.
 WINDOW_RATIO = 0.5
 #: Ratio above which a window is no natural prose for training, and that of suspect windows.
@@ -36,6 +39,9 @@ SLOT_SUM, SLOT_RATIO, SLOT_REACH = 3.0, 0.5, 80
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice")
 
+#: Ratio tables, and counts of texts, as `ml` makes them.
+Tables, Parts = list[tuple[np.ndarray, np.ndarray]], list[tuple[np.ndarray, np.ndarray]]
+
 # ---- training phrases -------------------------------------------------------------------------
 
 
@@ -124,7 +130,7 @@ def slot_phrases(seed: int = 3) -> list[str]:
         name, upper = low.replace(" ", "_"), high.replace(" ", "_")
         ask = rng.choice("INSERT insert Insert TODO TBD FIXME PLACEHOLDER YOUR your Your ADD add enter ENTER".split() + ["fill in", "FILL IN"])
         slot = rng.choice([f"{{{{{low}}}}}", f"{{{{ {name} }}}}", f"{{% {low} %}}", f"${{{name}}}", f"#{{{name}}}", f"{{{name}}}", f"{{{rng.randint(0, 9)}}}", f"[[{low}]]", f"[[{upper}]]", f"[{ask} {low}]", f"[{ask} {high}]", f"[{ask}: {low}]", f"[{ask}]", f"[{high}]", f"<<{low}>>", f"<<{upper}>>", f"<INSERT {high}>", f"<{high}>", f"&lt;{low}&gt;", f"&lt;{high}&gt;", f"%({name})s", f"%({name})d", "%s", "%d", f"@{upper}@", f"@@{upper}@@", f"${upper}", f"${upper}$", f"__{upper}__", "_" * rng.randint(5, 20), "TBD", "TBA", "X" * rng.randint(4, 9), "TODO", "FIXME", "TODO:", "FIXME:"])
-        out.append(rng.choice(["", f"{b} ", f"{b} "]) + slot + rng.choice(["", " ", ".", ",", ":", f" {a}", f" {a}"]))
+        out.append(rng.choice(["", f"{b} ", f"{b} ", f"{b}. "]) + slot + rng.choice(["", " ", ".", ",", ":", f" {a}", f" {a}"]))
     return out
 
 
@@ -180,8 +186,10 @@ def mostly_slots(text: str) -> bool:
 # ---- scoring ----------------------------------------------------------------------------------
 
 _SPLIT = re.compile(r"(?<=[.!?])[ \t]+|[\r\n]+")
-_TLD = (".com", ".org", ".net", ".edu", ".gov", ".io", ".example")
+_TLD = re.compile(r"\.(?:com|org|net|edu|gov|io|example)")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io|example)\b")
+#: One word five times or more and nothing else: dummy text also where the word is one of the corpus.
+_REPEATED = re.compile(r"\s*(\w+)([,.;]?)(?:\s+\1\2){3,}\s+\1[,.;]?\s*")
 _UNIT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|[\r\n]+|\x00")
 
 
@@ -193,20 +201,20 @@ def _plain(text: str) -> str:
     return text.replace("\x00", " ").replace("\x01", " ") if "\x00" in text or "\x01" in text else text
 
 
-def _scored(buffer: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _scored(buffer: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, scores) of joined texts with one byte left between them; to the models the gaps are line ends."""
     scores = ml.gram_scores(np.where(buffer <= 1, np.uint8(10), buffer), tables)
     kept = buffer != 1
     return buffer[kept], scores[kept]
 
 
-def score_texts(texts: list[str], tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def score_texts(texts: list[str], tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Per text: bytes covered by residue windows of each class, and bytes of content in all."""
     n = len(texts)
     cover, size = np.zeros((n, 3)), np.zeros(n)
     if not n:
         return cover, size
-    raw = "".join(_HOST.sub("archive.example", t) + _BETWEEN if any(x in t for x in _TLD) else t + _BETWEEN for t in map(_plain, texts))
+    raw = "".join(_HOST.sub("archive.example", t) + _BETWEEN if _TLD.search(t) else t + _BETWEEN for t in map(_plain, texts))
     buffer, scores = _scored(ml.fold(_BETWEEN[1:] + raw), tables[: len(ml.KEPT)])
     data = buffer.tobytes()
     ends = np.fromiter((m.end() for m in _UNIT.finditer(data)), dtype=np.int64)
@@ -230,7 +238,7 @@ def slot_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "replace").translate(_SLOT_BYTES), dtype=np.uint8)
 
 
-def slot_windows(texts: list[str], tables: list[np.ndarray]) -> list[tuple[int, str]]:
+def slot_windows(texts: list[str], tables: Tables) -> list[tuple[int, str]]:
     """(text number, window): stretches whose ratios add up to SLOT_SUM or more, with SLOT_REACH bytes around them.
 
     The sum of the best stretch that ends at a byte is the running total less its minimum so far in the text.
@@ -262,30 +270,123 @@ def slot_windows(texts: list[str], tables: list[np.ndarray]) -> list[tuple[int,
     return out
 
 
-def train_tables(prose: list[str], responses: list[str]) -> list[np.ndarray]:
+#: How the models of filler and notices and those of slots read a text.
+READERS = (ml.fold, slot_bytes)
+
+
+def _train(count_prose: Callable[[list[np.ndarray]], list[Parts]], count_kept: Callable[[Tables, list[np.ndarray]], list[Parts]]) -> Tables:
     """Ratio tables of filler, error notices and script notices against natural prose, and then those of slots.
 
-    `prose` holds no residue (prompts and passages). `responses` may: they are purged by tables
-    trained without them, and again by those trained on what was left. Texts mostly made of suspect
-    windows are left out whole, single windows where the ratio is high.
+    `count_prose(tags)` counts prompts and passages, which hold no residue. Responses may: `count_kept(tables, tags)`
+    counts what a purge by `tables` leaves of them, first by tables trained without them, and again by those
+    trained on what was left. Both give one count for each of the tags, read as READERS do.
     """
-    classes = [filler_phrases(), error_phrases(), script_phrases()]
+    phrases = [[filler_phrases(), error_phrases(), script_phrases()], [slot_phrases()]]
+    tags = [ml.class_tags(p, read) for p, read in zip(phrases, READERS)]
+    classes = [[ml.GramCounts(t, read).add(c).parts() for c in p] for p, t, read in zip(phrases, tags, READERS)]
+    prose = [ml.merged(c, ml.GramCounts(t, read).add(contrast_phrases()).parts()) for c, t, read in zip(count_prose(tags), tags, READERS)]
+    tables = ml.ratio_tables(classes[0], prose[0], tags[0])
+    for left in range(PURGE_ROUNDS, 0, -1):
+        kept = count_kept(tables, tags if left == 1 else tags[:1])
+        tables = ml.ratio_tables(classes[0], ml.merged(prose[0], kept[0]), tags[0])
+    return tables + ml.ratio_tables(classes[1], ml.merged(prose[1], kept[1]), tags[1], trust=20.0)
+
+
+def train_tables(prose: list[str], responses: list[str]) -> Tables:
+    """The tables of texts at hand: `prose` without residue, and `responses`, which are purged (see `_train`)."""
+
+    def count(texts, tags):
+        return [ml.GramCounts(t, read).add(texts).parts() for t, read in zip(tags, READERS)]
+
+    return _train(lambda tags: count([_plain(t) for t in prose], tags), lambda tables, tags: count([u for part in _slices([_plain(t) for t in responses]) for u in purged(part, tables)], tags))
+
+
+def corpus_tables(examples: DataFrame) -> Tables:
+    """The tables that `train_tables` gives for all prompts and passages, and all responses, of all rows.
+
+    Workers count n-grams of their rows, others add the counts by block of places; as many as there are places come to the driver at most.
+    """
+    context = examples.sparkSession.sparkContext
+
+    def count(columns, tags, tables=()):
+        held = context.broadcast(([[ml.packed(x) for x in t] for t in tags], packed_tables(tables)))
+
+        def run(batches):
+            counters = [ml.GramCounts(np.stack([ml.unpacked(x) for x in t]), read) for t, read in zip(held.value[0], READERS)]
+            own = unpacked_tables(held.value[1])
+            for b in batches:
+                texts = [_plain(t) for c in columns for t in b[c] if t]
+                for part in _slices(texts) if own else [texts]:
+                    part = purged(part, own) if own else part
+                    for c in counters:
+                        c.add(part)
+            for i, c in enumerate(counters):
+                parts = c.parts()
+                at, n = np.concatenate([k * ml.PLACES + x for k, (x, _) in enumerate(parts)]), np.concatenate([y for _, y in parts])
+                block = at % ml.PLACES // BLOCK
+                for k in np.unique(block):
+                    yield pd.DataFrame({"reader": [i], "block": [int(k)], "at": [at[block == k].tobytes()], "n": [n[block == k].tobytes()]})
+
+        def add(frame):
+            total = np.zeros((PARTS, BLOCK), dtype=np.int64)
+            block = int(frame["block"].iloc[0])
+            for a, b in zip(frame["at"], frame["n"]):
+                part, place = np.divmod(np.frombuffer(a, dtype=np.int64), ml.PLACES)
+                n, top = np.frombuffer(b, dtype=np.int64), part >= ml.ORDERS
+                total[part[~top], place[~top] - block * BLOCK] += n[~top]
+                total[part[top], place[top] - block * BLOCK] = np.maximum(total[part[top], place[top] - block * BLOCK], n[top])
+            part, place = np.nonzero(total)
+            return pd.DataFrame({"reader": frame["reader"][:1], "block": [block], "at": [(part * ml.PLACES + place + block * BLOCK).tobytes()], "n": [total[part, place].tobytes()]})
+
+        schema = "reader bigint, block bigint, at binary, n binary"
+        got = examples.select(*columns).mapInPandas(run, schema).groupBy("reader", "block").applyInPandas(add, schema).toArrow().to_pylist()
+        held.destroy()
+        out = []
+        for i in range(len(tags)):
+            at, n = (np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in got if r["reader"] == i] or [np.zeros(0, dtype=np.int64)]) for c in ("at", "n"))
+            out.append([(at[part] - k * ml.PLACES, n[part]) for k in range(PARTS) for part in [np.flatnonzero(at // ml.PLACES == k)]])
+        return out
+
+    return _train(lambda tags: count(["user_prompt", "source_passage"], tags), lambda tables, tags: count(["assistant_response"], tags, tables))
+
+
+#: Orders and kept orders, as `ml.GramCounts.parts` lists them, and places that are added up together.
+PARTS, BLOCK = ml.ORDERS + len(ml.KEPT), 1 << 15
+
+
+def packed_tables(tables: Tables) -> list[tuple]:
+    """The tables for a broadcast."""
+    return [(ml.packed(names), values[np.flatnonzero(names)]) for values, names in tables]
+
+
+def unpacked_tables(packed: list[tuple]) -> Tables:
+    return [(ml.unpacked(((*names[0], values.shape[1]), names[1], values)), ml.unpacked(names)) for names, values in packed]
+
+
+def _slices(texts: list[str]):
+    """Runs of texts of PURGE_CHARS in all, or one text over that."""
+    a, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= PURGE_CHARS or i + 1 == len(texts):
+            yield texts[a : i + 1]
+            a, held = i + 1, 0
+
+
+def purged(responses: list[str], tables: Tables) -> list[str]:
+    """Sentences and lines that are natural prose by `tables`: texts that hold slots or are mostly suspect windows are left out whole, single windows where the ratio is high."""
     split = [[u for u in _SPLIT.split(t) if u] for t in responses]
-    prose = prose + contrast_phrases()
-    tables = ml.ratio_tables(classes, prose)
-    for _ in range(PURGE_ROUNDS):
-        scores = _unit_means([u for units in split for u in units], tables)
-        kept, i = [], 0
-        for units in split:
-            own = scores[i : i + len(units)]
-            i += len(units)
-            if not any(has_slot(u) for u in units) and sum(len(u) for u, s in zip(units, own) if s > SUSPECT_RATIO) < 0.5 * sum(map(len, units)):
-                kept += [u for u, s in zip(units, own) if s < PURGE_RATIO]
-        tables = ml.ratio_tables(classes, prose + kept)
-    return tables + ml.ratio_tables([slot_phrases()], prose + kept, trust=20.0, read=slot_bytes)
-
-
-def _unit_means(units: list[str], tables: list[np.ndarray]) -> np.ndarray:
+    scores = _unit_means([u for units in split for u in units], tables)
+    kept, i = [], 0
+    for t, units in zip(responses, split):
+        own = scores[i : i + len(units)]
+        i += len(units)
+        if not (has_slot(t) and any(has_slot(u) for u in units)) and sum(len(u) for u, s in zip(units, own) if s > SUSPECT_RATIO) < 0.5 * sum(map(len, units)):
+            kept += [u for u, s in zip(units, own) if s < PURGE_RATIO]
+    return kept
+
+
+def _unit_means(units: list[str], tables: Tables) -> np.ndarray:
     if not units:
         return np.zeros(0)
     buffer, scores = _scored(ml.fold(_BETWEEN[1:] + "".join(_plain(u) + _BETWEEN for u in units)), tables)
@@ -294,14 +395,17 @@ def _unit_means(units: list[str], tables: list[np.ndarray]) -> np.ndarray:
     return (np.add.reduceat(scores, starts, axis=0) / (ends - starts)[:, None]).max(1)
 
 
-def classify(texts: list[str | None], tables: list[np.ndarray]) -> list[tuple[str | None, float]]:
+def classify(texts: list[str | None], tables: Tables) -> list[tuple[str | None, float]]:
     """Residue kind (None for a sound text) and covered share of each text."""
     return [(kind, share) for kind, share, _ in explain(texts, tables)]
 
 
-def explain(texts: list[str | None], tables: list[np.ndarray]) -> list[tuple[str | None, float, str | None]]:
+def explain(texts: list[str | None], tables: Tables) -> list[tuple[str | None, float, str | None]]:
     """Residue kind, covered share, and the step that decided: "most" or "part" of the text covered, or a "slot"."""
-    filled = [t or "" for t in texts]
+    return [x for part in _slices([t or "" for t in texts]) for x in _explained(part, tables)]
+
+
+def _explained(filled: list[str], tables: Tables) -> list[tuple[str | None, float, str | None]]:
     cover, size = score_texts(filled, tables)
     out: list[tuple[str | None, float, str | None]] = []
     for t, c, s in zip(filled, cover, size):
@@ -309,6 +413,8 @@ def explain(texts: list[str | None], tables: list[np.ndarray]) -> list[tuple[str
         share = float(c.sum() / s) if s else 0.0
         if is_blank(t):
             out.append((None, share, "blank"))
+        elif _REPEATED.fullmatch(t):
+            out.append((KINDS[1], 1.0, "most"))
         elif share >= MOST and c[k] >= MOST_BYTES:
             out.append((KINDS[1 + k], share, "most"))
         elif s and c[k] >= max(MIN_COVERAGE * s, MIN_BYTES):
@@ -325,6 +431,7 @@ def explain(texts: list[str | None], tables: list[np.ndarray]) -> list[tuple[str
 def prose_sample(examples: DataFrame, rows: int = PROSE_ROWS) -> tuple[list[str], list[str]]:
     """(prompts and passages, responses) of about `rows` rows at most, lowest row hash first; texts over PROSE_CHARS are left out.
 
+    For trials with a part of a table at hand; the queries take `corpus_tables`.
     A hash bound that leaves a tenth more than `rows` comes before the cut, so that no task holds more than its share.
     """
     n = examples.count()
@@ -343,11 +450,12 @@ def residue(examples: DataFrame) -> DataFrame:
     Null and empty responses are sound here (they are problem 3's); an empty table gives no rows;
     repeated rows are judged alike and stay repeated.
     """
-    tables = examples.sparkSession.sparkContext.broadcast(train_tables(*prose_sample(examples)))
+    tables = examples.sparkSession.sparkContext.broadcast(packed_tables(corpus_tables(examples)))
 
     def run(batches):
+        own = unpacked_tables(tables.value)
         for b in batches:
-            got = explain(b["assistant_response"].tolist(), tables.value)
+            got = explain(b["assistant_response"].tolist(), own)
             yield pd.DataFrame({"row_id": b["row_id"], "residue": pd.Series([k for k, *_ in got], dtype=object), "coverage": [s for _, s, _ in got], "step": pd.Series([x for *_, x in got], dtype=object)})
 
     schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("residue", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("step", T.StringType())])

@@ -304,6 +304,44 @@ def test_prose_sample_bounds(spark):
     assert residue.prose_sample(rows, 100) == (prose, responses)
 
 
+def test_prose_of_all_rows(spark):
+    """Natural prose is learned from every row and from long texts too, however the rows are divided."""
+    told = "The archive is no longer here."
+    rows = load(spark, SF, "sft_examples").select("row_id", "user_prompt", "source_passage", "assistant_response")
+    late = spark.createDataFrame([(10**9, None, ("\n" * 7 + told) * 1000, told)], rows.schema)  # over 20,000 characters
+    assert [r.residue for r in residue.residue(rows.unionByName(late)).filter("row_id = 1000000000").collect()] == [None]
+    short = spark.createDataFrame([(10**9, None, "No.", told)], rows.schema)
+    assert [r.residue for r in residue.residue(rows.unionByName(short)).filter("row_id = 1000000000").collect()] == ["error_page"]
+    many = rows.unionByName(late).unionByName(spark.range(5000).selectExpr("id + 2000000 as row_id", "concat('q', id, ' why?') as user_prompt", "null as source_passage", "concat('z', id, ' is so.') as assistant_response"))
+    given = many.collect()
+    one = residue.train_tables([x for r in given for x in (r.user_prompt, r.source_passage) if x], [r.assistant_response for r in given if r.assistant_response])
+    for a, b in zip(residue.corpus_tables(many.repartition(3)), one, strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_repeated_word():
+    tables = residue.train_tables(["The content of the mind is a content of thought."] * 50, [])
+    given = ["content " * 9, "12345, " * 8 + "12345", "No. No. No.", "content content content content contents of it"]
+    assert [k for k, _ in residue.classify(given, tables)][:3] == ["filler", "filler", None] and not residue._REPEATED.fullmatch(given[3])
+
+
+def test_gram_counts(monkeypatch):
+    """Counts by place are those of a count text by text, also where they are added up in between, and prose does not fall on class n-grams."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcd é", k=rng.randint(0, 60))) for _ in range(300)]
+    tags = ml.class_tags([texts[:5]])
+    whole = ml.GramCounts(tags).add(texts).parts()
+    size = sum(len(t.encode()) + len(ml.GAP) for t in texts)
+    assert all(n.sum() == size for _, n in whole[: ml.ORDERS])
+    assert dict(zip(*np.unique(np.concatenate([ml.fold(t) for t in texts]), return_counts=True)))[ord("a")] in whole[0][1]
+    monkeypatch.setattr(ml, "PIECE", 64)
+    monkeypatch.setattr(ml, "HELD", 100)
+    split = ml.GramCounts(tags).add(texts).parts()
+    rest = ml.merged(ml.GramCounts(tags).add(texts[:100]).parts(), ml.GramCounts(tags).add(texts[100:]).parts())
+    for got in (split, rest):
+        assert all(np.array_equal(x, y) for a, b in zip(got, whole, strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_blank():
     assert is_blank(None) and is_blank("...") and is_blank("\xa0") and not is_blank("No.") and not is_blank("__NAME__") and not is_blank("x" * 100)
 
